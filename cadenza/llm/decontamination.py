@@ -87,10 +87,12 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     seeds = seeds.join(small(items, n_items, 20_000), "ik").filter((F.col("lists") > 1) | (F.size("iw") == 1))
     found = seeds.groupBy("rid").agg(F.collect_list(F.struct("item_id", "iw", "diag")).alias("found"))
     texts = _docs(docs, id_col, text_col).select("rid", "text")
-    d = found.join(texts, "rid").select("rid", "found", words(F.col("text")).alias("dw"))
-    d = d.select("rid", "dw", F.explode("found").alias("f")).select("rid", "f.item_id", _along(F.col("dw"), F.col("f.iw"), F.col("f.diag"), window).alias("at"))
-    d = d.filter(F.size("at") > 0)
-    return d.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"), F.collect_set("item_id").alias("items"))
+    # the words are bound once for a document, not split anew for every candidate
+    bound = F.array(F.struct(words(F.col("text")).alias("dw"), F.col("found").alias("fs")))
+    match = lambda b: F.transform(b["fs"], lambda f: F.struct(f["item_id"].alias("item_id"), _along(b["dw"], f["iw"], f["diag"], window).alias("at")))
+    d = found.join(texts, "rid").select("rid", F.get(F.transform(bound, match), F.lit(0)).alias("m")).dropDuplicates(["rid"])
+    d = d.select("rid", F.filter("m", lambda f: F.size(f["at"]) > 0).alias("m")).filter(F.size("m") > 0)
+    return d.select("rid", F.array_distinct(F.flatten(F.col("m.at"))).alias("hit"), F.array_distinct(F.col("m.item_id")).alias("items"))
 
 
 def _along(dw: Column, iw: Column, diag: Column, window: int) -> Column:

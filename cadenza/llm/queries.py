@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, lines, packing, simhash, toxicity
+from cadenza.llm import decontamination, licenses, lines, neighbours, packing, pii, simhash, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,6 +41,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+#: The rules of op 6.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", *(F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,12 +59,25 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_neighbours": op2_neighbours,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 OP1_SQL = r"""
@@ -75,4 +105,20 @@ k AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT
 SELECT d.doc_id, k.text, CAST(coalesce(n_lines, 0) AS BIGINT) n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op8_line_dedup": OP8_SQL}
+def _op9_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH lic(license, text) AS (VALUES {values}),
+t AS (SELECT license, regexp_extract_all(lower(text), '{word}') w FROM lic),
+ts AS (SELECT DISTINCT license, len(w) n, array_to_string(w[i:i + 4], ' ') sh FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) i FROM t)),
+tn AS (SELECT license, count(*) m FROM ts GROUP BY license),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') w FROM documents),
+ds AS (SELECT doc_id, i - 1 pos, array_to_string(w[i:i + 4], ' ') sh FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) i FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, license, n, pos, sh, unnest([pos // n, pos // n - 1]) k FROM ds JOIN ts USING (sh)),
+win AS (SELECT doc_id, license, k, count(DISTINCT sh) c FROM hit WHERE k >= 0 AND pos <= k * n + 2 * n - 5 GROUP BY doc_id, license, k)
+SELECT doc_id, license, count(*) n_windows, max(c / m) containment FROM win JOIN tn USING (license) WHERE c / m >= 0.8 GROUP BY doc_id, license
+"""
+
+
+ORACLES = {"op1_decontamination": OP1_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}

@@ -132,7 +132,8 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: st
                 if k:
                     present.update(k)
             out[i] = m.margin(np.fromiter(sorted(present), np.int64, len(present)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
+        with np.errstate(over="ignore"):
+            return pd.Series(1 / (1 + np.exp(-out)))
 
     return docs.withColumn(out_col, of(F.col(text_col)))
 
