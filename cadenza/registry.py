@@ -1,4 +1,6 @@
 """All queries of the reference's operators, by key."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cadenza.plans import aggregates, columns, rows  # noqa: F401
+from cadenza.plans.suite import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
