@@ -58,7 +58,7 @@ class Machine:
         return self.w0 + self.w[present].sum() + 0.5 * float((s * s).sum() - (self.v[present] ** 2).sum())
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, ids: np.ndarray, rank: int = 4, rounds: int = 300, decay: float = 2e-3, seed: int = 7) -> Machine:
+def fit_machine(x: np.ndarray, y: np.ndarray, ids: np.ndarray, rank: int = 4, rounds: int = 400, decay: float = 2e-5, seed: int = 7) -> Machine:
     """Full-batch Adam on logistic loss with weight decay; x is rows by terms, 0 or 1."""
     rng = np.random.default_rng(seed)
     n, m = x.shape
@@ -84,7 +84,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000, features: int = 2048, least: int = 5) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000, features: int = 256, least: int = 3) -> Machine:
     """The machine for labels of documents that are not held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
