@@ -13,6 +13,7 @@ empty table gives an empty table. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,49 +23,85 @@ from pyspark.sql import functions as F
 from cadenza.runtime import materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Cached word encodings a Python worker holds at most; the cache restarts when full.
-CACHE_WORDS = 300_000
+#: Word encodings that a Python worker keeps at most (about 200 bytes each); later words are encoded anew.
+CACHE_WORDS = 400_000
+#: How byte-level vocabularies split text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable in Latin-1, else the next one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class WordEncoder:
     """Encodes text by a byte-level BPE file, caching the ids of space-separated words.
 
     Such a tokenizer splits before every single space, so ids of a text are the joined ids of its
-    words with their leading space, unless white space meets on both sides of a space: then the text is
-    encoded as a whole.
+    words with their leading space, unless a word ends in white space: then the text is encoded whole.
+    Words of ASCII and letters go straight to the merge model; others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.split = regex.compile(SPLIT).findall
+        self.plain = regex.compile(r"[\t\n\x20-\x7e\p{L}]*").fullmatch
+        self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
         self.cache: dict[str, bytes] = {}
-        self.runs = re.compile(r"\s \s|  |\s $")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [None if self.runs.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        out = []
-        for t, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(self.whole(t))
-                continue
-            new = [w for w in set(ws) if w not in cache]
-            if new:
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[w] = np.asarray(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(cache.__getitem__, ws)))
-        return out
+    def part(self, p: str) -> bytes:
+        """Ids of a piece that is merged as one."""
+        got = self.cache.get(p)
+        if got is None:
+            shown = "Ġ" + p[1:] if p.isascii() and p[0] == " " and p[1:].isalpha() else p.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return got
+
+    def word(self, w: str) -> bytes:
+        core = w[1:] if w[:1] == " " else w
+        if core.isalpha():
+            return self.part(w)
+        if core[:-1].isalpha() and core[-1] in ".,":
+            return self.part(w[:-1]) + self.part(w[-1])
+        if "<|" in w or not self.plain(w):
+            return self.whole(w)
+        return b"".join(map(self.part, self.split(w)))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if "\0" in text:
+            return self.whole(text)
+        words, cache = text.replace(" ", "\0 ").split("\0"), self.cache
+        new = set(words).difference(cache)
+        if any(w[-1:].isspace() for w in new):
+            return self.whole(text)
+        extra = {w: self.word(w) for w in new}
+        if len(cache) + len(extra) <= CACHE_WORDS:
+            cache.update(extra)
+            return b"".join(map(cache.__getitem__, words))
+        return b"".join([extra[w] if w in extra else cache[w] for w in words])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for a Python worker, whatever tasks it runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -77,15 +114,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, id_col: str = "doc_i
     """One row per piece of each document, whose ids are its text's and then end_id."""
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for at in range(0, len(ids), 256):
                 rows = []
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                for d, buf in zip(ids[at : at + 256], encoder.encode(part), strict=True):
-                    buf += end
+                for d, t in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
+                    buf = encoder.encode(t or "") + end
                     rows += [(d, k, s, n, zlib.crc32(buf[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(buf) // 4, size))]
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
