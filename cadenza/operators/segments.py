@@ -24,7 +24,6 @@ def hysteresis_segments(frames: DataFrame, threshold: float, min_silence: int, m
 
     Runs under min_frames go; runs over max_frames split into equal whole parts, the remainder in the last, parts under min_frames go.
     """
-    w = W.partitionBy(key).orderBy(idx)
     s = frames.filter(F.col(p) >= threshold).select(key, F.col(idx).alias("i"))
     w = W.partitionBy(key).orderBy("i")
     s = s.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(w) - 1 >= min_silence, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w))
@@ -52,78 +51,69 @@ class VadConfig:
     interim_interval_ms: int = 1000
 
     def frames(self, ms: int) -> int:
-        return ms // 32
+        return max(1, ms // 32)
+
+
+START = ("silence", 0, 0, 0, 0.0, 0, 0.0, 0)
 
 
 class SpeechMachine:
-    """Silence, potential speech, speech, ending. ``step`` takes a frame and gives the finished or provisional segments."""
+    """Silence, potential speech, speech, ending. ``step`` takes a frame and gives the finished or provisional segments.
+
+    state: mode, frames in the pre-buffer, speech and silent counts, start, frames held, and the time and
+    held frames of the last provisional row. Provisional rows follow the frames' clock.
+    """
 
-    def __init__(self, config: VadConfig, state: tuple | None = None):
+    def __init__(self, config: VadConfig, state: tuple = START):
         self.c = config
-        self.min_speech = config.frames(config.min_speech_ms)
-        self.min_silence = config.frames(config.min_silence_ms)
-        self.pad = config.frames(config.speech_pad_ms)
-        self.most = config.frames(config.max_speech_ms)
-        # mode, frames in the pre-buffer, speech and silent counts, start, frames held, last provisional row
-        self.s = list(state or ("silence", 0, 0, 0, 0.0, 0, 0.0))
+        self.min_speech, self.min_silence, self.pad = (config.frames(ms) for ms in (config.min_speech_ms, config.min_silence_ms, config.speech_pad_ms))
+        self.mode, self.pre, self.loud, self.quiet, self.start, self.held, self.told_at, self.told = state
 
     @property
     def state(self) -> tuple:
-        return tuple(self.s)
+        return (self.mode, self.pre, self.loud, self.quiet, self.start, self.held, self.told_at, self.told)
 
     def _reset(self) -> None:
-        self.s = ["silence", 0, 0, 0, 0.0, 0, 0.0]
+        self.mode, self.pre, self.loud, self.quiet, self.start, self.held, self.told_at, self.told = START
 
-    def _end(self, t: float) -> tuple:
-        out = (self.s[4], t, True)
+    def _end(self, t: float) -> list[tuple[float, float, bool]]:
+        out = [(self.start, t, True)]
         self._reset()
         return out
 
     def step(self, p: float, t: float, interim: bool = False) -> list[tuple[float, float, bool]]:
         """t is the frame's end time. Segments are (start, end, is_final)."""
-        s, speech = self.s, p >= self.c.threshold
-        out: list[tuple[float, float, bool]] = []
-        if s[0] == "silence":
-            s[1] = min(s[1] + 1, max(self.pad, 1)) if self.pad else 0
+        speech = p >= self.c.threshold
+        if self.mode == "silence":
+            self.pre = min(self.pre + 1, self.pad)
+            if speech:  # the onset frame stands in the pre-buffer and once more in the segment
+                self.mode, self.loud, self.start, self.held = "potential", 1, max(0.0, t - self.pre * FRAME_S), self.pre + 1
+            return []
+        self.held += 1
+        self.quiet = 0 if speech else self.quiet + 1  # not set back on entering the ending
+        if self.mode == "potential":
+            self.loud += speech
+            if speech and self.loud >= self.min_speech:
+                self.mode = "speech"
+            elif self.quiet >= self.min_silence:
+                self._reset()
+            return []
+        if self.mode == "ending":
             if speech:
-                # the onset frame stands in the pre-buffer and once more in the segment
-                s[:] = ["potential", 0, 1, 0, max(0.0, t - s[1] * FRAME_S), s[1] + 1, t]
-            return out
-        s[5] += 1
-        if s[0] == "potential":
-            if speech:
-                s[2], s[3] = s[2] + 1, 0
-                if s[2] >= self.min_speech:
-                    s[0] = "speech"
-            else:
-                s[3] += 1
-                if s[3] >= self.min_silence:
-                    self._reset()
-            return out
-        if s[0] == "speech":
-            if speech:
-                s[3] = 0
-            else:
-                s[3] += 1
-                if s[3] >= self.min_silence:
-                    s[0] = "ending"
-            if self.most and s[5] >= self.most:
-                return [self._end(t)]
-        else:
-            if speech:
-                s[0], s[3] = "speech", 0
-            else:
-                s[3] += 1  # the count goes on from the silence before
-                if s[3] >= self.pad:
-                    return [self._end(t)]
-        if interim and t - s[4] >= self.c.interim_min_ms / 1000 and t - s[6] >= self.c.interim_interval_ms / 1000:
-            s[6] = t
-            out.append((s[4], t, False))
-        return out
+                self.mode = "speech"
+            return self._end(t) if self.quiet >= self.pad else []
+        if self.quiet >= self.min_silence:
+            self.mode = "ending"
+        if self.c.max_speech_ms and self.held * 32 >= self.c.max_speech_ms:
+            return self._end(t)
+        if interim and (self.held - self.told) * 32 >= self.c.interim_min_ms and (t - self.told_at) * 1000 >= self.c.interim_interval_ms:
+            self.told_at, self.told = t, self.held
+            return [(self.start, t, False)]
+        return []
 
     def finish(self, t: float) -> list[tuple[float, float, bool]]:
         """At the end of a source; unconfirmed speech counts too."""
-        return [] if self.s[0] == "silence" else [self._end(t)]
+        return [] if self.mode == "silence" else self._end(t)
 
 
 def silent_cuts(frames: DataFrame, config: VadConfig, key: str = "source_id", idx: str = "frame_idx") -> DataFrame:
