@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cadenza.runtime import materialise
+
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by order."""
@@ -49,8 +51,12 @@ def stride_position(i: Column, n: Column, pool: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with consecutive numbers from 0 by order, without gathering it in one task: counts per range partition are added up first."""
+    """df with consecutive numbers from 0 by order, without gathering it in one task: counts per range partition are added up first.
+
+    The ranges are stored, since bounds are sampled and would differ between two evaluations.
+    """
     d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    d = materialise(d, "ranges")
     per = d.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     base = per.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__first", "__base")
     return d.join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__first", "__base")
