@@ -9,7 +9,8 @@ subtrees that already belong to one tree of it are skipped, so no group is expan
 Deals of more than ``hot`` nodes are dealt again by blocks of the remaining bits, which loses no link.
 
 Null text is empty; a document without words has fingerprint zero and links like any other. Repeated
-rows share a fingerprint. An empty table gives an empty table. Extra columns are ignored.
+rows share a fingerprint; rows without id take part but give no component its id. An empty table gives
+an empty table. Extra columns are ignored; ``keep_one`` passes them through.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, rid, fp): rid hashes a row's id and text; fp is the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "rid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, rid long, fp long")
 
 
 class Forest:
@@ -203,22 +204,31 @@ def links(nodes: DataFrame, budget: int = 3, hot: int = 50_000) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
 
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str, words: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, rid, fp), and (fp, root) of all their fingerprints."""
+    rows = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    nodes = rows.select("fp").distinct()
+    roots = connected_components(links(nodes, budget)).withColumnRenamed("node", "fp")
+    return rows, materialise(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links lead to, its own included."""
-    fp = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(nodes.select("fp"), budget))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rows, rooted = rooted_rows(docs, id_col, text_col, words, budget)
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fp.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of rows that repeat a kept doc_id, one."""
-    c = materialise(components(docs, id_col, text_col, words, budget), "components")
-    gone = c.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    twice = c.groupBy("doc_id").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([id_col])
+    """One row of docs of each component: that of the smallest doc_id (null ids last), then of the smallest hash of id and text."""
+    rows, rooted = rooted_rows(docs, id_col, text_col, words, budget)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    least = first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    of_fp = rooted.join(least, "root").select("fp", F.col("least.rid").alias("stays"))
+    gone = rows.join(of_fp, "fp").filter(F.col("rid") != F.col("stays")).select(F.col("rid").alias("__gone")).distinct()
+    kept = docs.join(gone, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__gone"), "left_anti")
+    twice = rows.groupBy("rid").count().filter("count > 1")
+    return kept if twice.isEmpty() else kept.withColumn("__rid", F.xxhash64(id_col, text_col)).dropDuplicates(["__rid"]).drop("__rid")
