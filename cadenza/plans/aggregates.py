@@ -189,19 +189,23 @@ def run_stats(spark, sf):
 
 
 @query("pipeline_rates", """
-WITH seg AS (SELECT doc_id, unnest(range(doc_id % 4)) s FROM v_samples), i AS (SELECT v.doc_id, label = 'non_speech' neg, v.n_chars < 800 short, count(s) segs, count(s) FILTER (coalesce(signal >= 0.5, true)) kept FROM v_samples v LEFT JOIN seg USING (doc_id) GROUP BY ALL)
+WITH seg AS (SELECT doc_id, unnest(range(doc_id % 4)) s FROM v_samples), i AS (SELECT v.doc_id, label = 'non_speech' neg, v.n_chars < 800 short, v.n_chars / 1000 latency, count(s) FILTER (v.doc_id % 5 <> 0) texts, count(s) segs, count(s) FILTER (v.doc_id % 5 <> 0 AND coalesce(signal >= 0.5, true)) kept FROM v_samples v LEFT JOIN seg USING (doc_id) GROUP BY ALL)
 SELECT neg_run AS run, round(count_if(neg AND segs > 0) / nullif(count_if(neg), 0), 6) false_trigger_rate, round(count_if(NOT neg AND segs > 0) / nullif(count_if(NOT neg), 0), 6) recall, round(count_if(NOT neg AND short AND segs > 0) / nullif(count_if(NOT neg AND short), 0), 6) short_recall,
-round(count_if(neg AND kept > 0) / nullif(count_if(neg), 0), 6) hallucination_post, round(count_if(NOT neg AND kept > 0) / nullif(count_if(NOT neg), 0), 6) recall_post
+round(count_if(neg AND texts > 0) / nullif(count_if(neg), 0), 6) hallucination_pre, round(count_if(neg AND kept > 0) / nullif(count_if(neg), 0), 6) hallucination_post, round(count_if(NOT neg AND kept > 0) / nullif(count_if(NOT neg), 0), 6) recall_post,
+round(count_if(NOT neg AND short AND kept > 0) / nullif(count_if(NOT neg AND short), 0), 6) short_recall_post, round(quantile_cont(latency, 0.5), 6) latency_p50, round(quantile_cont(latency, 0.95), 6) latency_p95
 FROM (SELECT *, doc_id % 3 neg_run FROM i) GROUP BY neg_run""")
 def pipeline_rates(spark, sf):
     """Items with their segments (0 to 3 each), of which a filter keeps those of a confident item."""
     s = S.samples(spark, sf).withColumn("seg", F.explode_outer(F.when(F.col("doc_id") % 4 > 0, F.sequence(F.lit(1), F.col("doc_id") % 4))))
-    keep = F.coalesce(F.col("signal") >= 0.5, F.lit(True)) & F.col("seg").isNotNull()
-    items = s.groupBy("doc_id").agg(F.first(C.positive()).alias("neg"), F.first(F.col("n_chars") < 800).alias("short"), F.count("seg").alias("segs"), F.count_if(keep).alias("kept"))
+    text = F.col("seg").isNotNull() & (F.col("doc_id") % 5 != 0)  # every fifth item's segments give no text
+    keep = F.coalesce(F.col("signal") >= 0.5, F.lit(True)) & text
+    items = s.groupBy("doc_id").agg(F.first(C.positive()).alias("neg"), F.first(F.col("n_chars") < 800).alias("short"), F.first(F.col("n_chars") / 1000).alias("latency"), F.count("seg").alias("segs"), F.count_if(text).alias("texts"), F.count_if(keep).alias("kept"))
     rate = lambda hit, of: F.try_divide(F.count_if(hit & of), F.count_if(of))
-    neg, seg, kept = F.col("neg"), F.col("segs") > 0, F.col("kept") > 0
-    g = items.groupBy((F.col("doc_id") % 3).alias("run")).agg(rate(seg, neg).alias("false_trigger_rate"), rate(seg, ~neg).alias("recall"), rate(seg, ~neg & F.col("short")).alias("short_recall"), rate(kept, neg).alias("hallucination_post"), rate(kept, ~neg).alias("recall_post"))
-    return round_doubles(g)
+    neg, short, seg, texts, kept = F.col("neg"), F.col("short"), F.col("segs") > 0, F.col("texts") > 0, F.col("kept") > 0
+    rates = {"false_trigger_rate": rate(seg, neg), "recall": rate(seg, ~neg), "short_recall": rate(seg, ~neg & short), "hallucination_pre": rate(texts, neg), "hallucination_post": rate(kept, neg), "recall_post": rate(kept, ~neg), "short_recall_post": rate(kept, ~neg & short)}
+    q = F.percentile("latency", F.lit([0.5, 0.95]))
+    g = items.groupBy((F.col("doc_id") % 3).alias("run")).agg(*(c.alias(n) for n, c in rates.items()), q.alias("q"))
+    return round_doubles(g.select("run", *rates, F.col("q")[0].alias("latency_p50"), F.col("q")[1].alias("latency_p95")))
 
 
 CELL = "preset, backend, engine, corpus"
