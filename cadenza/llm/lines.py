@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.runtime import materialise
+
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
     """One narrow row per eligible line: rid (of the row), doc, line number, two hashes of the line, site."""
@@ -28,7 +30,8 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     """(h1, h2, first) of the lines on at least min_sites distinct sites; first is their earliest (doc, no)."""
     key = ["h1", "h2"]
     seen = lines.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("est"), F.min(F.struct("doc", "no")).alias("first"))
-    seen = seen.filter(F.col("est") * 2 >= min_sites)
+    # stored and small: joins with it are broadcast by its size, or split where a line is very common
+    seen = materialise(seen.filter(F.col("est") * 2 >= min_sites), "spread-lines")
     sure = seen.filter(F.col("est") > 2 * min_sites).select(*key, "first")
     near = seen.filter(F.col("est") <= 2 * min_sites).select(*key, "first")
     pairs = lines.filter(F.col("site").isNotNull()).join(near.select(*key), key, "left_semi").select(*key, "site").distinct()
@@ -45,7 +48,7 @@ def _kept(text: Column, gone: Column) -> Column:
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 10) -> DataFrame:
     """docs with text_col rid of boilerplate lines, plus __n_lines and __n_removed."""
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
-    bad = boilerplate(lines, min_sites)
+    bad = materialise(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.select("rid", "doc", "no", "h1", "h2").join(bad, ["h1", "h2"])
     hits = hits.filter(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.no") == F.col("no"))))
     gone = hits.groupBy("rid").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("rid", "__rid")
