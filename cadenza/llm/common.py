@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows up to which a table of short fixed-width rows is broadcast (a few MB); beyond it a shuffle join is used.
-BROADCAST_ROWS = 50_000
+#: Bytes of strings (and 32 a row) up to which a table is broadcast; beyond it the join is left to Spark.
+BROADCAST_BYTES = 8 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -15,6 +15,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df if its counted rows are few enough; otherwise leave the join to Spark."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast df if it is small enough by a measured sum of ``size`` (the bytes of a row's strings)."""
+    total = df.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

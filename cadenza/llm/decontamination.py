@@ -42,7 +42,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
 def _within(tokens: DataFrame, terms: DataFrame | None) -> DataFrame:
     """Tokens whose term is among terms; those are broadcast if they are few."""
-    return tokens if terms is None else tokens.join(small(terms, terms.count()), "term")
+    return tokens if terms is None else tokens.join(small(terms, F.octet_length("term")), "term")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,9 +82,8 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     anchors = materialise(anchors_of(items, counts, window), "anchors")
     index = build_index(docs, anchors.select("term").distinct(), id_col, text_col)
     # offset-adjusted lists meet where document position - item position agree
-    seeds = index.join(small(anchors, anchors.count()), "term").groupBy("rid", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.count("*").alias("lists"))
-    n_items = items.count()
-    seeds = seeds.join(small(items, n_items, 20_000), "ik").filter((F.col("lists") > 1) | (F.size("iw") == 1))
+    seeds = index.join(small(anchors, F.octet_length("term")), "term").groupBy("rid", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.count("*").alias("lists"))
+    seeds = seeds.join(small(items, F.octet_length(F.array_join("iw", ""))), "ik").filter((F.col("lists") > 1) | (F.size("iw") == 1))
     found = seeds.groupBy("rid").agg(F.collect_list(F.struct("item_id", "iw", "diag")).alias("found"))
     texts = _docs(docs, id_col, text_col).select("rid", "text")
     # the words are bound once for a document, not split anew for every candidate

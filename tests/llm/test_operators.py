@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cadenza.llm import boosting, decontamination, licenses, lines, neighbours, packing, pii, simhash, suffixes, toxicity, urls
+from cadenza.llm import boosting, common, decontamination, licenses, lines, neighbours, packing, pii, simhash, suffixes, toxicity, urls
 from cadenza.llm import queries as Q
 from cadenza.llm.components import connected_components
 
@@ -75,7 +75,9 @@ def brute_contamination(texts, items):
     return out
 
 
-def test_contamination_equals_brute_force(spark, sf, docs, texts):
+@pytest.mark.parametrize("broadcast", [8 << 20, 0])
+def test_contamination_equals_brute_force(spark, sf, docs, texts, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     items = [tuple(r) for r in Q.table(spark, sf, "benchmark").select("item_id", "text").collect()]
     got = {r["doc_id"]: tuple(r.values())[1:] for r in rows(Q.op1_decontamination(spark, sf))}
     assert got == brute_contamination(texts.items(), items)
@@ -473,15 +475,57 @@ def test_pii_edges(spark, odd, none):
 
 
 # pipeline -----------------------------------------------------------------------------------------
-def test_pipeline(spark, sf, docs):
+def brute_lines(docs, min_sites=10, min_chars=10):
+    """docs: (id, text, site). Texts without later occurrences of lines on many sites."""
+    sites, first = {}, {}
+    for d, t, s in docs:
+        for i, line in enumerate(t.split("\n")):
+            if len(line) >= min_chars:
+                sites.setdefault(line, set()).add(s)
+                first[line] = min(first.get(line, (d, i)), (d, i))
+    bad = {line for line, s in sites.items() if len(s) >= min_sites}
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if x not in bad or first[x] == (d, i)) for d, t, _ in docs}
+
+
+def test_every_stage_equals_brute_force(spark, sf, docs):
+    """Each stage on its own input; the packing's ids are encoded anew."""
     import corpus_pipeline as P
 
-    assert 4 <= len(P.STAGES) <= 5
-    at, before = docs, docs.count()
-    for _, stage in P.STAGES[:-1]:
-        at = stage(spark, at, sf)
+    assert [n for n, _ in P.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "packing"]
+    of = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    site = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    at, before = docs, of(docs)
+    for name, stage in P.STAGES[:-1]:
+        at = P.materialise(stage(spark, at, sf), "stage")
         assert at.columns == docs.columns
-        after = at.count()
-        assert 0 < after <= before
+        after = of(at)
+        if name == "toxicity":
+            m = toxicity.fit(docs, Q.table(spark, sf, "labels"))
+            place = {int(h): i for i, h in enumerate(m.ids)}
+            margin = lambda t: m.margin(np.array(sorted({place[h] for w in toxicity.vocabulary(t) for h in toxicity.terms(w) if h in place}), np.int64))  # noqa: E731, B023
+            want = {d: t for d, t in before.items() if 1 / (1 + np.exp(-margin(t))) < 0.7}
+        elif name == "line dedup":
+            want = brute_lines([(d, t, site[d]) for d, t in before.items()])
+        elif name == "near-dedup":
+            least = brute_components(sorted((d, brute_fingerprint(t)) for d, t in before.items()))
+            want = {d: t for d, t in before.items() if least[d] == d}
+        else:
+            items = [tuple(r) for r in Q.table(spark, sf, "benchmark").select("item_id", "text").collect()]
+            hit = brute_contamination(before.items(), items)
+            want = {d: t for d, t in before.items() if not hit[d][4]}
+        assert after == want, name
+        assert 0 < len(after) <= len(before)
         before = after
-    assert P.run(spark, sf).select("doc_id").distinct().count() == before
+    check_packing(rows(P.STAGES[-1][1](spark, at, sf)), before, 2048)
+    assert P.run(spark, sf).select("doc_id").distinct().count() == len(before)
+
+
+def test_pipeline_survives_odd_rows(spark, sf, odd, none):
+    import corpus_pipeline as P
+
+    for start in (odd, none):
+        at = start
+        for _, stage in P.STAGES[:-1]:
+            at = P.materialise(stage(spark, at, sf), "stage")
+            assert at.columns == start.columns
+        assert P.STAGES[-1][1](spark, at, sf).count() >= (1 if start is odd else 0)
