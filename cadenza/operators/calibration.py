@@ -57,7 +57,8 @@ def threshold_sweep(samples: DataFrame, thresholds: list[float], direction: str
     s = F.col(signal)
     # less: thresholds from the first one above s on reject; greater: those below s reject
     above = F.lit(ts)
-    bucket = F.size(F.filter(above, lambda t: t <= s)) if direction == "less" else F.size(F.filter(above, lambda t: t < s))
+    below = (lambda x: F.size(F.filter(above, lambda t: t <= x))) if direction == "less" else (lambda x: F.size(F.filter(above, lambda t: t < x)))
+    bucket = F.get(F.transform(F.array(s), below), F.lit(0))  # binds the signal once, not for every threshold
     n = F.count_if(F.lit(True))
     hist = samples.filter(s.isNotNull()).groupBy(*by, bucket.alias("bucket")).agg(F.count_if(pos).alias("p"), (n - F.count_if(pos)).alias("n"))
     # one array of running counts per group; the grid bounds its size
