@@ -1,0 +1,126 @@
+"""Near copies by exact similarity: the distinct five-word shingles of two texts overlap by at least 0.8 (Jaccard).
+
+Shingles are hashed to 64 bits and put in one order for all texts, common ones last. Two sets that
+reach the similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, so these prefixes
+are dealt by shingle, and what meets is compared on whole sets: no pair is missed and none is guessed.
+Equal sets are one node. Neighbours within a shingle's group, in an order that differs by shingle, are
+compared first; only members of groups that are not connected by then are paired with each other.
+
+Which shingles count as common comes from a bounded sample of rows and decides the work, not the result.
+Texts below five words are one shingle; those without words are copies of each other. Null text is empty.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from cadenza.llm import simhash
+from cadenza.llm.components import connected_components
+from cadenza.runtime import materialise
+
+WORDS = 5
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct XXH64 hashes (seed 42) of the text's shingles, as signed longs."""
+    import xxhash
+
+    ws = (text or "").encode().lower().split()
+    if not ws:
+        return np.zeros(0, np.int64)
+    h = xxhash.xxh64_intdigest
+    joined = b" ".join(ws)
+    if len(ws) <= WORDS:
+        return np.array([h(joined, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(ws) - WORDS + 1].tolist()
+    ends = (ends[WORDS - 1 :] - 1).tolist()
+    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+
+
+def common_shingles(texts: DataFrame, sample_rows: int = 10_000, least: int = 5) -> np.ndarray:
+    """Sorted hashes that at least ``least`` of about ``sample_rows`` different rows of (rid, text) have."""
+    share = sample_rows / max(texts.count(), sample_rows)
+    some = texts.select("rid", "text").filter(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["rid"])
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()))], names=["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least).select("h")
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64))
+
+
+def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, rid, fp, n, prefix): fp hashes the set of shingles, n is its size."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        import xxhash
+
+        last = shared.value
+        for b in batches:
+            fps, sizes, firsts = [], [], []
+            for t in b.column(2):
+                s = shingles(t.as_py())
+                n = len(s)
+                fps.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
+                sizes.append(n)
+                late = np.isin(s, last) if len(last) else np.zeros(n, bool)
+                firsts.append(np.concatenate((s[~late], s[late]))[: n - (4 * n + 4) // 5 + 1])
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["doc_id", "rid", "fp", "n", "prefix"])
+
+    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, fp long, n int, prefix array<long>")
+
+
+def may_match(n: str, p: str, m: str, q: str) -> Column:
+    """Whether sets of n and m shingles whose first common one has the places p and q can overlap by 0.8."""
+    n, p, m, q = map(F.col, (n, p, m, q))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m))
+
+
+def similar(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of fp whose whole sets overlap by at least 0.8."""
+    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    rids = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("rid").alias("rid"))
+    one = texts.select("rid", "text").join(rids, "rid").dropDuplicates(["fp"]).select("fp", "text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], names=["fp", "s"])
+
+    sets = materialise(one.mapInArrow(run, "fp long, s array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    return materialise(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "near-copies")
+
+
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, rid, fp), and (fp, root) of all their sets."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    rows = materialise(prefixes(texts, common_shingles(texts)), "prefixes")
+    dealt = rows.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("p", "h"))
+    w = W.partitionBy("h").orderBy(F.xxhash64("h", "fp"))
+    near = dealt.select("*", *(F.lag(c).over(w).alias(f"{c}1") for c in ("fp", "n", "p")), F.lead("fp").over(w).alias("next"))
+    met = materialise(near.filter("fp1 is not null or next is not null").drop("next"), "met")
+    first = similar(met.filter(F.col("fp1").isNotNull() & may_match("n", "p", "n1", "p1")).select(F.col("fp").alias("u"), F.col("fp1").alias("v")), rows, texts)
+    roots = materialise(connected_components(first).withColumnRenamed("node", "fp"), "first-roots")
+    left = met.select("h", "fp", "n", "p").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    right = left.select("h", *(F.col(c).alias(f"{c}1") for c in ("fp", "n", "p", "root")))
+    apart = left.join(right, "h").filter((F.col("fp") < F.col("fp1")) & (F.col("root") != F.col("root1")) & may_match("n", "p", "n1", "p1"))
+    rest = similar(apart.select(F.col("fp").alias("u"), F.col("fp1").alias("v")), rows, texts)
+    roots = connected_components(first.union(rest)).withColumnRenamed("node", "fp")
+    rows = rows.select("doc_id", "rid", "fp")
+    return rows, materialise(rows.select("fp").distinct().join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each component of near copies, chosen as in simhash.keep_one."""
+    return simhash.one_of_each(docs, *rooted_rows(docs, id_col, text_col), id_col, text_col)

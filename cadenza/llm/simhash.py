@@ -223,7 +223,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
     """One row of docs of each component: that of the smallest doc_id (null ids last), then of the smallest hash of id and text."""
-    rows, rooted = rooted_rows(docs, id_col, text_col, words, budget)
+    return one_of_each(docs, *rooted_rows(docs, id_col, text_col, words, budget), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs that keep_one keeps, for each root of rooted (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     least = first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("least"))
