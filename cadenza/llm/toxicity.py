@@ -8,7 +8,7 @@ in that sample depend most on the label (chi-squared); the model's size is bound
 parameters, and it is broadcast. Scoring is one narrow pass over whole texts.
 
 Null and empty texts have no terms and get the machine's base score. With no labelled rows every score
-is 0. Repeated rows score alike. Rows with null labels or ids teach nothing; of contradicting labels
+is 0. Repeated rows score alike; of rows with one doc_id, that of the least hash of its text teaches. Rows with null labels or ids teach nothing; of contradicting labels
 for one doc_id, toxic wins. Extra columns pass through ``score`` untouched.
 """
 
@@ -95,8 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = [sorted({h for w in vocabulary(t.as_py()) for h in terms(w)}) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "fs"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "text")
-    sample = materialise(texts.mapInArrow(run, "y int, fs array<int>"), "labelled-sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    one = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("y", "m.text")
+    sample = materialise(one.mapInArrow(run, "y int, fs array<int>"), "labelled-sample")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
         return Machine(np.zeros(0, np.int32), -np.inf, np.zeros(0), np.zeros((0, 1)))
