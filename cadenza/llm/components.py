@@ -32,5 +32,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             found = up
         else:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            found = materialise(found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
     return found if found is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -507,8 +507,9 @@ def test_every_stage_equals_brute_force(spark, sf, docs):
         elif name == "line dedup":
             want = brute_lines([(d, t, site[d]) for d, t in before.items()])
         elif name == "near-dedup":
-            least = brute_components(sorted((d, brute_fingerprint(t)) for d, t in before.items()))
-            want = {d: t for d, t in before.items() if least[d] == d}
+            from tests.llm.test_similar import brute_kept
+
+            want = {d: before[d] for d in brute_kept(before)}
         else:
             items = [tuple(r) for r in Q.table(spark, sf, "benchmark").select("item_id", "text").collect()]
             hit = brute_contamination(before.items(), items)
