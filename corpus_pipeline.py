@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, lines, overlap, packing, toxicity
+from cadenza.llm import decontamination, lines, packing, simhash, toxicity
 from cadenza.llm.queries import table, tokenizer_path
 from cadenza.runtime import materialise
 
@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each component of documents whose five-word shingles overlap by 0.8 or more."""
-    return overlap.keep_one(docs)
+    return simhash.keep_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", toxic), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("packing", packing_stage)]
+STAGES = [
+    ("toxicity", toxic),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", packing_stage),
+]
 
 ORACLE_SQL = None
 
