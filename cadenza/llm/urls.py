@@ -1,31 +1,31 @@
 """Op 6: URL filter by rules, then by gradient-boosted trees on lexical features.
 
 The longest rule that fits decides. URLs that a rule decides are the labelled ones: at most
-``sample_rows`` of them, the first by hash, train the trees, which judge the URLs that no rule fits. The
-features are lengths, depth, digit ratio, entropy, parameter counts and, for the host's last label, how
-often it is blocked among the labelled. Everything is one narrow pass; only the sample leaves it.
+``sample_rows`` different ones, the first by hash, train the trees, which judge the URLs that no rule
+fits. The features are lengths, depth, digit ratio, entropy, parameter counts and two suffix statistics:
+the share of blocked ones among the labelled hosts under the host's last label, and among those with the
+same first path segment. Shares count hosts, not URLs, are drawn to the overall share, and are taken for
+a labelled URL from the other hosts only, so that no URL's own label is among its features. Everything is
+one narrow pass; only the sample leaves it.
 
 Null URLs and those without "://" have an empty host and path; no rule fits them and the trees judge
-them by their features. Without labelled rows the trees allow. Repeated rows are judged alike.
+them by their features. Without labelled rows the trees allow. Repeated rows are judged alike and teach
+once.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadenza.llm import boosting
 from cadenza.llm.common import ascii_lower
 
-FEATURES = ("url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digits", "entropy", "hyphens", "parameters", "query_length", "fragment", "https", "extension", "longest_label")
-
-
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path)."""
     at = F.instr(url, "://")
@@ -51,12 +51,55 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(u).values()) if n else 0.0
     labels = host.split(".") if host else []
     digits = sum(c.isdigit() for c in u)
-    return [float(x) for x in (n, len(host), len(path), len(labels), path.count("/"), digits / n if n else 0, sum(c.isdigit() for c in host), entropy, u.count("-"), query.count("=") + query.count("&"), len(query), "#" in u, u[:8].lower() == "https://", "." in path.rpartition("/")[2], max(map(len, labels), default=0))]
+    features = (n, len(host), len(path), len(labels), path.count("/"), digits / n if n else 0, sum(c.isdigit() for c in host), entropy, u.count("-"), query.count("=") + query.count("&"), len(query), "#" in u, u[:8].lower() == "https://", "." in path.rpartition("/")[2], max(map(len, labels), default=0))
+    return [float(x) for x in features]
+
+
+class Shares:
+    """For each token (a host's last label, a path's first segment) the share of blocked among its labelled hosts, drawn to the overall share."""
+
+    def __init__(self, tokens: list[str], hosts: list[str], blocked: np.ndarray, drawn: float = 5.0):
+        self.of_host: dict[tuple[str, str], list[float]] = defaultdict(list)
+        for t, h, y in zip(tokens, hosts, blocked, strict=True):
+            self.of_host[t, h].append(float(y))
+        self.sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for (t, _), ys in self.of_host.items():
+            self.sums[t][0] += sum(ys) / len(ys)
+            self.sums[t][1] += 1
+        self.prior, self.drawn = (float(np.mean(blocked)) if len(blocked) else 0.0), drawn
+        self.share = {t: (b + drawn * self.prior) / (n + drawn) for t, (b, n) in self.sums.items()}
+
+    def without(self, token: str, host: str) -> float:
+        """The share but for one host."""
+        ys = self.of_host[token, host]
+        b, n = self.sums[token]
+        return (b - sum(ys) / len(ys) + self.drawn * self.prior) / (n - 1 + self.drawn)
+
+
+def suffix(host: str) -> str:
+    return host.rpartition(".")[2]
+
+
+def head(path: str) -> str:
+    return path.split("/")[1] if "/" in path else ""
+
+
+class Judge:
+    """Trees over lexical features and suffix statistics, learned from labelled URLs: (url, host, path, blocked)."""
 
+    def __init__(self, labelled: list[tuple[str, str, str, int]]):
+        y = np.array([r[3] for r in labelled], float)
+        hosts = [r[1] for r in labelled]
+        self.stats = [(f, i, Shares([f(r[i]) for r in labelled], hosts, y)) for f, i in ((suffix, 1), (head, 2))]
+        x = [[*lexical(u, h, p), *(s.without(f((u, h, p)[i]), h) for f, i, s in self.stats)] for u, h, p, _ in labelled]
+        self.trees = boosting.fit(np.array(x), y) if len(y) else boosting.Trees(-1.0, 1)
+        self.shares = [(f, i, s.share, s.prior) for f, i, s in self.stats]
+        del self.stats
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def features(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([lexical(*x) for x in zip(url, host, path, strict=True)])
+    def probability(self, urls: list[tuple[str | None, str, str]]) -> np.ndarray:
+        """Of each (url, host, path) to be blocked."""
+        x = [[*lexical(*r), *(share.get(f(r[i]), prior) for f, i, share, prior in self.shares)] for r in urls]
+        return self.trees.probability(np.array(x)) if x else np.zeros(0)
 
 
 def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", sample_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
@@ -67,25 +110,13 @@ def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", sample_
     verdicts = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         verdicts = F.when(F.col("__rule") == rule, verdict).otherwise(verdicts)
-    labelled = d.filter("__rule is not null").select(F.col(url_col).alias("u"), "__host", "__path", verdicts.alias("v"))
-    sample = labelled.orderBy(F.xxhash64("u"), "u").limit(sample_rows).select((F.col("v") == "block").cast("int").alias("y"), F.element_at(F.split("__host", r"\."), -1).alias("suffix"), features("u", "__host", "__path").alias("x")).toPandas()
-    y = sample["y"].to_numpy(float)
-    seen, blocked = Counter(sample["suffix"]), Counter(sample["suffix"][y == 1])
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    # smoothed so that a suffix alone does not settle the label
-    rate = {s: (blocked[s] + 20 * prior) / (c + 20) for s, c in seen.items()}
-    x = np.array([[*r, rate[s], math.log1p(seen[s])] for r, s in zip(sample["x"], sample["suffix"], strict=True)]).reshape(len(sample), len(FEATURES) + 2)
-    model = boosting.fit(x, y) if len(y) else boosting.Trees(-1.0, 1)
-    shared = pages.sparkSession.sparkContext.broadcast((model, rate, dict(seen), prior))
+    labelled = d.filter("__rule is not null").select(F.col(url_col).alias("u"), "__host", "__path", (verdicts == "block").cast("int").alias("y")).distinct()
+    sample = labelled.orderBy(F.xxhash64("u"), "u").limit(sample_rows).collect()
+    shared = pages.sparkSession.sparkContext.broadcast(Judge([tuple(r) for r in sample]))
 
     @F.pandas_udf("double")
     def blocks(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        trees, rates, counts, base = shared.value
-        rows = []
-        for u, h, p in zip(url, host, path, strict=True):
-            s = h.rpartition(".")[2]
-            rows.append([*lexical(u, h, p), rates.get(s, base), math.log1p(counts.get(s, 0))])
-        return pd.Series(trees.probability(np.array(rows).reshape(len(rows), -1)) if rows else np.zeros(0))
+        return pd.Series(shared.value.probability(list(zip(url, host, path, strict=True))), dtype=float)
 
     model_says = F.when(blocks(F.col(url_col), "__host", "__path") >= threshold, "block").otherwise("allow")
     return d.withColumn("__verdict", F.coalesce(verdicts, model_says))
