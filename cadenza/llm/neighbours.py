@@ -1,13 +1,17 @@
 """Op 2: approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-Codes: centred principal directions of a bounded sample, turned by an iteratively learned rotation, one
-bit per direction by sign. Rows are dealt evenly into shards of about ``shard_rows``; a shard indexes its
-codes by each 8-bit substring. By the pigeonhole principle a code within Hamming radius r of a query
-agrees with it to r // substrings bits in at least one substring, so probing all such values in every
-substring finds every code within r. Those are ranked by exact distance, and a shard hands on each
-query's nearest ``k``. The radius is the sample's ``cover`` quantile of code distances between rows and
-their true neighbours. A query that finds fewer than k rows of a shard within the radius is compared
-with all of them, so queries always get k rows if there are as many. Query blocks meet shards by key.
+Codes: centred principal directions of a bounded sample, turned by iteratively learned rotations, one bit
+per direction by sign; as many rotations from different starts as the substrings take bits. Equal vectors
+are one node. Substrings of ``width`` bits (about the logarithm of the nodes) are indexed: a node has one
+row for each, keyed by (substring, value), and a query has one row for each value within ``reach`` bits of
+its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a query, for m
+substrings, meets it at some key. Pairs that meet and whose whole codes differ by at most ``radius`` bits
+are ranked by exact distance.
+
+How many substrings to index is measured: probe vectors, the first by hash, are compared with all nodes,
+and m is the least (in steps of four) for which their true neighbours meet them with the share ``recall``;
+``radius`` is then the ``cover`` quantile of the code distances of those that meet. Queries that find fewer
+than k others are compared with all nodes, in blocks, so queries get k rows if there are as many.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without id. Of rows that repeat an id one counts (the least vector). Equal distances
@@ -16,87 +20,58 @@ go by id. Extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BYTE_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-NEAREST = "query_id long, vec_id long, score double"
+from cadenza.llm.common import small
+from cadenza.runtime import materialise
+
+#: Most substrings that are indexed.
+MOST = 64
 
 
 class Codes:
-    """Rotated binary codes of bits bits (a multiple of 8, zero bits beyond the dimensions)."""
+    """Rotated binary codes of at least bits bits: blocks of learned rotations of the sample's principal directions."""
 
-    def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 7):
+    def __init__(self, sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 7):
         dims = sample.shape[1]
-        use = min(bits, dims)
-        self.bytes = -(-use // 8)
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         _, _, vt = np.linalg.svd(centred, full_matrices=False)
-        rng = np.random.default_rng(seed)
-        directions = np.zeros((dims, use))
-        directions[:, : min(use, len(vt))] = vt[:use].T
+        directions = np.zeros((dims, dims))
+        directions[:, : len(vt)] = vt.T
         p = centred @ directions
-        r, _ = np.linalg.qr(rng.normal(size=(use, use)))
-        for _ in range(rounds):
-            u, _, wt = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
-            r = (u @ wt).T
-        self.project = directions @ r
+        blocks = []
+        for block in range(-(-bits // dims)):
+            r, _ = np.linalg.qr(np.random.default_rng([seed, block]).normal(size=(dims, dims)))
+            for _ in range(rounds):
+                u, _, wt = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
+                r = (u @ wt).T
+            blocks.append(directions @ r)
+        self.project = np.concatenate(blocks, axis=1)[:, :bits]
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.project >= 0, axis=1)
+        """0/1 for every row and bit."""
+        return ((x - self.mean) @ self.project >= 0).astype(np.uint8)
 
 
-def distance(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return BYTE_DISTANCE[codes, code].sum(axis=1, dtype=np.int64)
+def masks_within(width: int, reach: int) -> list[int]:
+    """All values of width bits with at most reach set."""
+    return [sum(1 << i for i in c) for n in range(reach + 1) for c in combinations(range(width), n)]
 
 
-def radius_for(codes: Codes, sample: np.ndarray, k: int, cover: float, queries: int = 256) -> int:
-    """The cover quantile of code distances between rows of the sample and their k true nearest."""
-    packed, found = codes.of(sample), []
-    for i in range(min(queries, len(sample))):
-        d = ((sample - sample[i]) ** 2).sum(axis=1)
-        d[i] = np.inf
-        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        found.append(distance(packed[near], packed[i]))
-    return int(np.quantile(np.concatenate(found), cover, method="higher")) if found and len(found[0]) else 8 * codes.bytes
+def substrings(bits: np.ndarray, width: int) -> np.ndarray:
+    """The values of the substrings of 0/1 rows."""
+    return bits.reshape(len(bits), -1, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
 
 
-class Index:
-    """Substring tables over the codes of a shard."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.bounds = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code differs from the given one in at most radius bits."""
-        m = len(code)
-        seen = np.zeros(len(self.codes), bool)
-        for s in range(m):
-            b = self.bounds[s]
-            for value in np.flatnonzero(BYTE_DISTANCE[code[s]] <= radius // m):
-                seen[self.order[s][b[value] : b[value + 1]]] = True
-        rows = np.flatnonzero(seen)
-        return rows[distance(self.codes[rows], code) <= radius]
-
-
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, codes: Codes, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    index, packed = Index(codes.of(x)), codes.of(q)
-    out = []
-    for qid, v, code in zip(query_ids, q, packed, strict=True):
-        rows = index.within(code, radius)
-        rows = rows[ids[rows] != qid]
-        if len(rows) < k:
-            rows = np.flatnonzero(ids != qid)
-        d = np.sqrt(((x[rows] - v) ** 2).sum(axis=1))
-        best = np.lexsort((ids[rows], d))[:k]
-        out.append((np.full(len(best), qid), ids[rows[best]], d[best]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _usable(v: Column) -> Column:
@@ -104,35 +79,138 @@ def _usable(v: Column) -> Column:
     return F.coalesce(fine & F.exists(v, lambda e: e != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, cover: float = 0.995, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+def nodes_of(rows: DataFrame, queries: Column, k: int) -> DataFrame:
+    """(cid, v, ids, asked): different vectors by their least id, their k + 1 least ids, whether one of the ids is a query.
+
+    Copies beyond k + 1 are dropped before the shuffle is read, as none of them can be among the k nearest.
+    """
+    w = W.partitionBy("v").orderBy("vec_id")
+    asked = rows.filter(queries).select("v").distinct().withColumn("asked", F.lit(True))
+    least = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    nodes = least.groupBy("v").agg(F.min("vec_id").alias("cid"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return nodes.join(asked, "v", "left").select("cid", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
+def all_nearest(nodes: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(qid, cid, score): for a block of queries the k nearest nodes of every batch, by exact distance."""
+    shared = nodes.sparkSession.sparkContext.broadcast((query_ids, q))
+
+    def run(batches):
+        ids, block = shared.value
+        for b in batches:
+            cid, x = b.column(0).to_numpy(), _matrix(b.column(1))
+            out = []
+            for i, v in enumerate(block):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                best = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                best = np.flatnonzero(d <= d[best].max(initial=0))
+                best = best[np.lexsort((cid[best], d[best]))][:k]
+                out.append((np.full(len(best), ids[i]), cid[best], d[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["qid", "cid", "score"])
+
+    return nodes.select("cid", "v").mapInArrow(run, "qid long, cid long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    r = F.row_number().over(W.partitionBy("qid").orderBy("score", "cid"))
+    return found.withColumn("r", r).filter(F.col("r") <= k).drop("r")
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+class Index:
+    """Substring tables of the nodes' codes, with their reach and radius; see the module's text."""
+
+    def __init__(self, nodes: DataFrame, n: int, k: int, sample_rows: int = 4096, probes: int = 64, recall: float = 0.95, cover: float = 0.99, reach: int = 3):
+        first = [(r["cid"], r["v"]) for r in nodes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).collect()]
+        sample = np.array([v for _, v in first])
+        self.width, self.reach = min(max(16, n.bit_length()), 24), reach
+        self.codes = Codes(sample, MOST * self.width)
+        ids = np.array([c for c, _ in first[:probes]])
+        near = _best(all_nearest(nodes, ids, sample[:probes], k + 1), k + 1).filter("qid != cid").join(nodes.select("cid", "v"), "cid")
+        near = [(r["qid"], r["v"]) for r in near.select("qid", "v").collect()]
+        self.m, self.radius = 4, 4 * self.width
+        if near:
+            place = {c: i for i, c in enumerate(ids.tolist())}
+            a, b = self.codes.of(sample[:probes])[[place[c] for c, _ in near]], self.codes.of(np.array([v for _, v in near]))
+            off = (a != b).reshape(len(near), MOST, self.width).sum(axis=2)
+            met = np.logical_or.accumulate(off <= self.reach, axis=1).mean(axis=0)
+            enough = [m for m in range(4, MOST + 1, 4) if met[m - 1] >= recall]
+            self.m = enough[0] if enough else MOST
+            far = off[:, : self.m].sum(axis=1)[(off[:, : self.m] <= self.reach).any(axis=1)]
+            self.radius = int(np.quantile(far, cover, method="higher")) if len(far) else self.m * self.width
+        self.used = self.m * self.width
+        self.lanes = -(-self.used // 64)
+        self.nodes = nodes
+
+    def coded(self) -> DataFrame:
+        """(cid, asked, subs, code): values of the substrings, and all their bits in longs."""
+        shared = self.nodes.sparkSession.sparkContext.broadcast(self.codes)
+        used, width, lanes = self.used, self.width, self.lanes
+
+        def run(batches):
+            for b in batches:
+                bits = shared.value.of(_matrix(b.column(2)))[:, :used] if b.num_rows else np.zeros((0, used), np.uint8)
+                packed = np.packbits(np.pad(bits, ((0, 0), (0, 64 * lanes - used))), axis=1, bitorder="little").view(np.int64)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (substrings(bits, width), packed)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["cid", "asked", "subs", "code"])
+
+        return self.nodes.select("cid", "asked", "v").mapInArrow(run, "cid long, asked boolean, subs array<long>, code array<long>")
+
+    def _apart(self, a: Column, b: Column) -> Column:
+        """Bits by which codes differ."""
+        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(self.lanes)), F.lit(0))
+
+    def meetings(self) -> DataFrame:
+        """(qid, cid): pairs of different nodes that meet in a substring and are within the radius, once each."""
+        coded = materialise(self.coded(), "codes")
+        rows = coded.select("cid", "code", F.posexplode("subs").alias("s", "value"))
+        asked = coded.filter("asked").select(F.col("cid").alias("qid"), F.posexplode("subs").alias("s", "own"))
+        masks = F.expr("array(" + ", ".join(f"{x}L" for x in masks_within(self.width, self.reach)) + ")")
+        asked = asked.select("qid", "s", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
+        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "code")
+        own = small(coded.filter("asked").select(F.col("cid").alias("qid"), F.col("code").alias("own")), F.lit(8 * self.lanes))
+        near = met.join(own, "qid").filter(self._apart(F.col("code"), F.col("own")) <= self.radius)
+        return near.select("qid", "cid").distinct()
+
+
+def nearest(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, recall: float = 0.95, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of every row for which ``queries`` (over vec_id) holds."""
     d = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     lengths = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = d.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     if lengths is None:
         return empty
     d = d.filter(F.size("v") == lengths["n"])
     if not d.groupBy("vec_id").count().filter("count > 1").isEmpty():
         d = d.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, n_queries = d.agg(F.count("*"), F.count_if(queries)).first()
-    if not n_queries:
+    nodes = materialise(nodes_of(d, queries, k), "nodes")
+    n, n_asked = nodes.agg(F.count("*"), F.count_if("asked")).first()
+    if not n_asked:
         return empty
-    sample = np.array([r["v"] for r in d.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()])
-    codes = Codes(sample)
-    shared = rows.sparkSession.sparkContext.broadcast((codes, radius_for(codes, sample, k, cover)))
-    shards, blocks = -(-n // shard_rows), -(-n_queries // block_rows)
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = d.withColumn("shard", deal(shards)).withColumn("block", every(blocks))
-    right = d.filter(queries).withColumn("block", deal(blocks)).withColumn("shard", every(shards))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        c, radius = shared.value
-        got = search(a["vec_id"].to_numpy(), np.stack(a["v"]), b["vec_id"].to_numpy(), np.stack(b["v"]), c, radius, k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, NEAREST)
+    index = Index(nodes, n, k, sample_rows, recall=recall)
+    vectors = nodes.select("cid", "v")
+    asked = nodes.filter("asked").select(F.col("cid").alias("qid"), F.col("v").alias("q"))
+    asked = small(asked, F.lit(8 * lengths["n"]))
+    found = index.meetings().join(vectors, "cid").join(asked, "qid").select("qid", "cid", distance(F.col("v"), F.col("q")).alias("score"))
+    found = materialise(_best(found, k), "met")
+    own = asked.select("qid", F.col("qid").alias("cid"), F.lit(0.0).alias("score"))
+    found = found.unionByName(own)
+    # a query with too few is compared with all nodes; k nodes and itself are enough, whatever their copies
+    counts = found.join(nodes.select("cid", F.size("ids").alias("c")), "cid").groupBy("qid").agg(F.sum("c").alias("c"))
+    blocks = max(1, -(-n_asked // block_rows))
+    few = asked.join(counts.filter(F.col("c") <= k), "qid", "left_semi").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    few = materialise(few, "few")
+    found = found.join(small(few.select("qid"), F.lit(8)), "qid", "left_anti")
+    for r in few.select("block").distinct().collect():
+        block = few.filter(F.col("block") == r["block"]).collect()
+        found = found.unionByName(_best(all_nearest(vectors, np.array([x["qid"] for x in block]), np.array([x["q"] for x in block]), k + 1), k + 1))
+    # nodes to ids: the k + 1 nearest ids of a vector serve all queries that have it
+    spread = found.join(nodes.select("cid", F.explode("ids").alias("vec_id")), "cid")
+    near = spread.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1).select("qid", "vec_id", "score")
+    asking = d.filter(queries).select(F.col("vec_id").alias("query_id"), "v").join(nodes.filter("asked").select("v", F.col("cid").alias("qid")), "v").select("query_id", "qid")
+    pairs = asking.join(near, "qid").filter("query_id != vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -242,9 +242,8 @@ def one_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame, id_col: str
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     least = first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    of_fp = rooted.join(least, "root").select("fp", F.col("least.rid").alias("stays"))
-    gone = rows.join(of_fp, "fp").filter(F.col("rid") != F.col("stays")).select(F.col("rid").alias("__gone"), F.col("doc_id").alias("__gone_id")).distinct()
-    kept = docs.join(gone, (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__gone")) & docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    stays = least.select(F.col("least.rid").alias("__stays"), F.col("least.doc_id").alias("__stays_id"))
+    kept = docs.join(stays, (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__stays")) & docs[id_col].cast("long").eqNullSafe(F.col("__stays_id")), "left_semi")
     twice = rows.groupBy("doc_id", "rid").count().filter("count > 1")
     return kept if twice.isEmpty() else kept.withColumn("__rid", F.xxhash64(id_col, text_col)).dropDuplicates([id_col, "__rid"]).drop("__rid")
 

@@ -128,13 +128,43 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9, hits / total
 
 
-def test_index_finds_every_code_within_the_radius():
-    rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
-    codes[1] = codes[0]
-    index = neighbours.Index(codes)
-    for r in (0, 5, 20, 29):
-        assert index.within(codes[0], r).tolist() == np.flatnonzero(neighbours.distance(codes, codes[0]) <= r).tolist()
+def clusters(seed, n, groups, dims=32, spread=0.15):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + spread * rng.normal(size=(n, dims))
+
+
+def test_index_finds_every_code_within_the_radius(spark):
+    x = clusters(1, 600, 20)
+    nodes = spark.createDataFrame([(i, v.tolist(), [i], i % 10 == 0) for i, v in enumerate(x)], "cid long, v array<double>, ids array<long>, asked boolean")
+    index = neighbours.Index(nodes, 600, 5)
+    index.radius = index.used
+    got = {(r["qid"], r["cid"]) for r in rows(index.meetings())}
+    bits = index.codes.of(x)[:, : index.used]
+    off = (bits[:, None] != bits[None]).reshape(600, 600, index.m, index.width).sum(axis=3)
+    asked = np.arange(0, 600, 10)
+    met = {(int(i), int(j)) for i in asked for j in np.flatnonzero((off[i] <= index.reach).any(axis=1)) if i != j}
+    sure = {(int(i), int(j)) for i in asked for j in np.flatnonzero(off[i].sum(axis=1) <= index.m * (index.reach + 1) - 1) if i != j}
+    assert got == met and sure <= got and sure
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_neighbours_of_clusters(spark, monkeypatch, block):
+    """Found through few keys where vectors have neighbours; lone vectors are compared with all, in several blocks."""
+    x = np.concatenate([clusters(2, 3000, 100), 9 * np.random.default_rng(3).normal(size=(60, 32))])
+    x[500:520] = x[500]
+    order = np.random.default_rng(4).permutation(len(x))
+    x = x[order]
+    seen = []
+    whole = neighbours.Index.meetings
+    monkeypatch.setattr(neighbours.Index, "meetings", lambda self: seen.append(whole(self)) or seen[0])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in rows(neighbours.nearest(d, Q.F.col("vec_id") % 10 == 0, block_rows=block).orderBy("query_id", "rank")):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = [len({i for i, _ in found} & {i for i, _ in exact_nearest(np.arange(len(x)), x, q, x[q], 10)}) for q, found in got.items()]
+    assert len(got) == len(range(0, len(x), 10)) and all(len(f) == 10 for f in got.values())
+    assert sum(hits) / len(hits) / 10 > 0.9
+    assert seen[0].count() < 0.05 * len(x) * len(got)
 
 
 def test_neighbours_edges(spark):
