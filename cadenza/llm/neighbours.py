@@ -5,7 +5,7 @@ per direction by sign; as many rotations from different starts as the substrings
 are one node. Substrings of ``width`` bits (about the logarithm of the nodes) are indexed: a node has one
 row for each, keyed by (substring, value), and a query has one row for each value within ``reach`` bits of
 its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a query, for m
-substrings, meets it at some key. Pairs that meet and whose whole codes differ by at most ``radius`` bits
+substrings, meets it at some key; the first one counts. Pairs that meet and whose whole codes differ by at most ``radius`` bits
 are ranked by exact distance.
 
 How many substrings to index is measured: probe vectors, the first by hash, are compared with all nodes,
@@ -20,6 +20,7 @@ go by id. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -142,38 +143,40 @@ class Index:
             far = off[:, : self.m].sum(axis=1)[(off[:, : self.m] <= self.reach).any(axis=1)]
             self.radius = int(np.quantile(far, cover, method="higher")) if len(far) else self.m * self.width
         self.used = self.m * self.width
-        self.lanes = -(-self.used // 64)
+        # each substring has a slot of its own in the longs that hold a code
+        self.slot = next(x for x in (16, 21, 32) if x >= self.width)
         self.nodes = nodes
 
     def coded(self) -> DataFrame:
-        """(cid, asked, subs, code): values of the substrings, and all their bits in longs."""
+        """(cid, asked, subs, code): values of the substrings, and the longs that hold them all."""
         shared = self.nodes.sparkSession.sparkContext.broadcast(self.codes)
-        used, width, lanes = self.used, self.width, self.lanes
+        used, width, slot, each = self.used, self.width, self.slot, 64 // self.slot
 
         def run(batches):
             for b in batches:
-                bits = shared.value.of(_matrix(b.column(2)))[:, :used] if b.num_rows else np.zeros((0, used), np.uint8)
-                packed = np.packbits(np.pad(bits, ((0, 0), (0, 64 * lanes - used))), axis=1, bitorder="little").view(np.int64)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (substrings(bits, width), packed)]
+                subs = substrings(shared.value.of(_matrix(b.column(2)))[:, :used], width) if b.num_rows else np.zeros((0, used // width), np.int64)
+                slots = np.pad(subs, ((0, 0), (0, -subs.shape[1] % each))).reshape(len(subs), -1, each)
+                code = (slots << (slot * np.arange(each, dtype=np.int64))).sum(axis=2)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (subs, code)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["cid", "asked", "subs", "code"])
 
         return self.nodes.select("cid", "asked", "v").mapInArrow(run, "cid long, asked boolean, subs array<long>, code array<long>")
 
-    def _apart(self, a: Column, b: Column) -> Column:
-        """Bits by which codes differ."""
-        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(self.lanes)), F.lit(0))
-
     def meetings(self) -> DataFrame:
-        """(qid, cid): pairs of different nodes that meet in a substring and are within the radius, once each."""
+        """(qid, cid): pairs of different nodes that meet in a substring and are within the radius, in the first substring they meet in."""
         coded = materialise(self.coded(), "codes")
         rows = coded.select("cid", "code", F.posexplode("subs").alias("s", "value"))
         asked = coded.filter("asked").select(F.col("cid").alias("qid"), F.posexplode("subs").alias("s", "own"))
         masks = F.expr("array(" + ", ".join(f"{x}L" for x in masks_within(self.width, self.reach)) + ")")
         asked = asked.select("qid", "s", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
-        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "code")
-        own = small(coded.filter("asked").select(F.col("cid").alias("qid"), F.col("code").alias("own")), F.lit(8 * self.lanes))
-        near = met.join(own, "qid").filter(self._apart(F.col("code"), F.col("own")) <= self.radius)
-        return near.select("qid", "cid").distinct()
+        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "s", "code")
+        each = 64 // self.slot
+        lanes = -(-self.m // each)
+        own = small(coded.filter("asked").select(F.col("cid").alias("qid"), F.col("code").alias("own")), F.lit(8 * lanes))
+        apart = [F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("own", F.lit(i)))) for i in range(lanes)]
+        off = lambda t: F.bit_count(F.shiftrightunsigned(F.get("code", F.lit(t // each)).bitwiseXOR(F.get("own", F.lit(t // each))), self.slot * (t % each)).bitwiseAND(F.lit((1 << self.slot) - 1)))
+        before = reduce(lambda x, y: x | y, [(F.col("s") > t) & (off(t) <= self.reach) for t in range(self.m)])
+        return met.join(own, "qid").filter((sum(apart, F.lit(0)) <= self.radius) & ~before).select("qid", "cid")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, recall: float = 0.95, block_rows: int = 2048) -> DataFrame:
