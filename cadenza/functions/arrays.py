@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(values: dict[str, Column], use) -> Column:
+    """use(struct) with the values computed once for a row, not once for every element of a lambda that names them."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use), F.lit(0))
+
+
 def total(a: Column | str, of=lambda x: x) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + of(x))
 
@@ -42,6 +47,18 @@ def chunks(a: Column | str, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(size)), lambda i: F.slice(a, i + 1, size))
 
 
+def padded_windows(a: Column | str, size: int) -> Column:
+    """Neighbouring windows of ``size`` elements, the last one filled up with zeros; none of an empty array."""
+    return F.when(F.size(col(a)) > 0, F.transform(chunks(a, size), lambda w: F.concat(w, F.array_repeat(F.lit(0.0), size - F.size(w))))).otherwise(F.array().cast("array<array<double>>"))
+
+
+def overlapping_frames(a: Column | str, size: int, step: int) -> Column:
+    """Whole frames of ``size`` elements that start every ``step``; none of an array under a frame."""
+    a = col(a)
+    starts = F.sequence(F.lit(1), F.size(a) - size + 1, F.lit(step))
+    return F.when(F.size(a) >= size, F.transform(starts, lambda i: F.slice(a, i, size))).otherwise(F.array().cast("array<array<double>>"))
+
+
 def quantile(a: Column | str, q: float) -> Column:
     """Linear interpolation over the sorted elements."""
     s = F.array_sort(col(a))
@@ -100,10 +117,14 @@ def flux(now: Column | str, before: Column | str) -> Column:
 def voiced_confidence(a: Column | str, low: int, high: int) -> Column:
     """Largest autocorrelation at lags low..high over that at lag 0, of the centred samples; 0 for constant ones."""
     a = col(a)
-    n = F.size(a)
-    x = F.transform(a, lambda v: v - total(a) / n)
-    r = lambda k: total(F.zip_with(F.slice(x, F.lit(1), n - k), F.slice(x, k + 1, n - k), lambda p, q: p * q))
-    return F.when(total(x, lambda v: v * v) > 0, F.greatest(F.array_max(F.transform(F.sequence(F.lit(low), F.lit(high)), r)) / total(x, lambda v: v * v), F.lit(0.0))).otherwise(0.0)
+    product = lambda x, k: total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - k), F.slice(x, k + 1, F.size(x) - k), lambda p, q: p * q))
+
+    def of(x: Column, zero: Column) -> Column:
+        best = F.array_max(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: product(x, k)))
+        return F.when(zero > 0, F.greatest(best / zero, F.lit(0.0))).otherwise(0.0)
+
+    centred = bound({"a": a, "m": total(a) / F.size(a)}, lambda s: F.transform(s["a"], lambda v: v - s["m"]))
+    return bound({"x": centred}, lambda s: bound({"x": s["x"], "z": total(s["x"], lambda v: v * v)}, lambda t: of(t["x"], t["z"])))
 
 
 def fit_length(noise: Column | str, n: Column) -> Column:
@@ -118,18 +139,26 @@ def power(a: Column | str) -> Column:
 
 def mix_at_snr(speech: Column | str, noise: Column | str, snr_db: Column) -> Column:
     """speech plus noise scaled to the SNR; speech alone if either has no power."""
-    speech = col(speech)
-    fitted = fit_length(noise, F.size(speech))
-    gain = F.sqrt(power(speech) / (power(fitted) * F.pow(F.lit(10.0), snr_db / 10)))
-    mixed = F.zip_with(speech, fitted, lambda s, x: s + gain * x)
-    return F.when((power(speech) > 0) & (power(fitted) > 0), mixed).otherwise(speech)
+    speech, noise = col(speech), col(noise)
+
+    def mixed(b: Column) -> Column:
+        gain = F.sqrt(b["ps"] / (b["pn"] * F.pow(F.lit(10.0), b["snr"] / 10)))
+        add = bound({"s": b["s"], "n": b["n"], "g": gain}, lambda c: F.zip_with(c["s"], c["n"], lambda x, y: x + c["g"] * y))
+        return F.when((b["ps"] > 0) & (b["pn"] > 0), add).otherwise(b["s"])
+
+    fitted = bound({"n": noise, "k": F.size(speech)}, lambda b: fit_length(b["n"], b["k"]))
+    powers = lambda b: bound({"s": b["s"], "n": b["n"], "snr": b["snr"], "ps": power(b["s"]), "pn": power(b["n"])}, mixed)
+    return bound({"s": speech, "n": fitted, "snr": snr_db}, powers)
 
 
 def renorm(a: Column | str, target: float = 0.95) -> Column:
     """Struct (samples, clipped): scaled to the target peak if the peak is over 1."""
-    a = col(a)
-    over = peak(a) > 1
-    return F.struct(F.when(over, F.transform(a, lambda x: x * (target / peak(a)))).otherwise(a).alias("samples"), over.alias("clipped"))
+
+    def scaled(b: Column) -> Column:
+        samples = F.when(b["p"] > 1, F.transform(b["a"], lambda x: x * (target / b["p"]))).otherwise(b["a"])
+        return F.struct(samples.alias("samples"), (b["p"] > 1).alias("clipped"))
+
+    return bound({"a": col(a)}, lambda b: bound({"a": b["a"], "p": peak(b["a"])}, scaled))
 
 
 def uniform_windows(a: Column | str, size: int, most: int) -> Column:

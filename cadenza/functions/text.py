@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -68,33 +70,98 @@ def katakana_to_hiragana(c: Column) -> Column:
     return F.translate(c, kata, "".join(chr(ord(k) - 0x60) for k in kata))
 
 
+#: Kanji digits, places within four digits, names of every fourth place, marks that alignment drops.
+KANJI_DIGITS, KANJI_PLACES, KANJI_GROUPS = "〇一二三四五六七八九", ("", "十", "百", "千"), ("", "万", "億", "兆", "京")
+ALIGN_MARKS = "、。，．・〜「」『』（）()！？!?.,;:\"'-"
+DIGITS_BY_CJK = re.compile("(?<=[぀-ヿ一-鿿])[0-9]+|[0-9]+(?=[぀-ヿ一-鿿])")
+
+
+def kanji_number(digits: str) -> str:
+    """A number in kanji, without 一 before 十, 百 and 千; digits beyond the names stay."""
+    n = digits.lstrip("0")
+    if not n:
+        return "零"
+    if len(n) > 4 * len(KANJI_GROUPS):
+        return digits
+    out = ""
+    for at, d in enumerate(n):
+        group, place = divmod(len(n) - 1 - at, 4)
+        if d != "0":
+            out += (KANJI_DIGITS[int(d)] if d != "1" or not place else "") + KANJI_PLACES[place]
+        if not place and n[max(0, at - 3) : at + 1].strip("0"):
+            out += KANJI_GROUPS[group]
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def kanji_width(s: pd.Series) -> pd.Series:
+    """Unicode compatibility composition; then digits beside kana or kanji as kanji numerals."""
+    number = lambda m: kanji_number(m.group())
+    return s.map(lambda t: None if t is None else DIGITS_BY_CJK.sub(number, unicodedata.normalize("NFKC", t)))
+
+
 def alignment_text(c: Column | str, reading=lambda c: c) -> Column:
-    """Width-normal, without marks and space, in hiragana; ``reading`` is a hook for a user's dictionary of readings."""
-    return katakana_to_hiragana(normalize_ja(reading(nfkc(col(c)))))
+    """Width-normal, digits in Japanese text as kanji numerals, in hiragana, without marks and space; ``reading`` is a hook for a user's dictionary of readings."""
+    return F.regexp_replace(F.translate(katakana_to_hiragana(reading(kanji_width(col(c)))), ALIGN_MARKS, ""), r"(?U)\s+", "")
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences of hashable items, by Myers' bit vectors: one pass over b with integers of len(a) bits."""
+    if len(a) < len(b):
+        a, b = b, a
+    lo, most = 0, len(b)
+    while lo < most and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < most - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    m = len(a)
+    if not b:
+        return m
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    at = {}
+    for x in set(b) & places.keys():
+        bits = bytearray(m // 8 + 1)
+        for i in places[x]:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[x] = int.from_bytes(bits, "little")
+    full, last, distance = (1 << m) - 1, 1 << (m - 1), m
+    up, down = full, 0
+    for y in b:
+        equal = at.get(y, 0)
+        vertical = equal | down
+        horizontal = ((((equal & up) + up) ^ up) | equal) & full
+        rise, fall = down | (full ^ (horizontal | up)), up & horizontal
+        distance += 1 if rise & last else -1 if fall & last else 0
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full ^ (vertical | rise)), rise & vertical
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edit distance of two texts by characters, or of two arrays by elements; null with either."""
+    whole = lambda x: x if isinstance(x, str) else x.tolist()
+    return pd.Series([None if r is None or h is None else edit_distance(whole(r), whole(h)) for r, h in zip(ref, hyp, strict=True)], dtype="Int64")
 
 
 def cer(ref: Column | str, hyp: Column | str) -> Column:
     """Character edits over the reference's length; an empty reference gives 0 for an empty hypothesis, else 1."""
     ref, hyp = col(ref), col(hyp)
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edits(ref, hyp) / F.length(ref))
 
 
 def word_list(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word becomes one character, so the JVM's string distance counts words (up to 20,000 distinct words a pair)."""
-    known = F.array_distinct(F.concat(ref, hyp))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")
-    spell = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.levenshtein(spell(ref), spell(hyp))
-
-
 def wer(ref: Column | str, hyp: Column | str) -> Column:
     """Word edits over reference words; an empty reference gives 0 for an empty hypothesis, else 1."""
     r, h = word_list(col(ref)), word_list(col(hyp))
-    return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(word_edits(r, h) / F.size(r))
+    return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(edits(r, h) / F.size(r))
 
 
 def truncated_side(a: Column | str, b: Column | str, least: int = 2) -> Column:
@@ -154,6 +221,7 @@ def last_sentence(text: Column | str, context: int) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sorts digits as numbers (up to 20 of them) and letters without case."""
+    """Sorts digits as numbers of any length and letters without case."""
     parts = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))
+    number = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(number(x)).cast("string"), 10, "0"), F.lit(" "), number(x))).otherwise(x))

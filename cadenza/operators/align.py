@@ -1,34 +1,102 @@
-"""Longest common substrings of transcripts and references, as joins on k-grams."""
+"""Longest common substrings of transcripts and the references of their language."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+#: Characters of all references together up to which they are sent to every worker; a corpus has one chapter a language.
+REFERENCE_CHARS = 4_000_000
 
-def grams(texts: DataFrame, key: str, k: int, place: str) -> DataFrame:
-    """(key, place, gram) of every k characters."""
-    n = F.length("text") - k + 1
-    at = texts.filter(n > 0).select(key, "text", F.explode(F.sequence(F.lit(0), n - 1)).alias(place))
-    return at.select(key, place, F.xxhash64(F.substring(F.col("text"), F.col(place) + 1, F.lit(k))).alias("gram"))
 
+class Automaton:
+    """The suffix automaton of a reference: finds any text's longest common substring in one pass over that text."""
 
-def longest_common(transcripts: DataFrame, references: DataFrame, on: list[str], k: int = 8) -> DataFrame:
-    """Per (tid, rid) of equal ``on`` columns: the longest common substring of at least k characters, the earliest in transcript, then reference.
+    def __init__(self, reference: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first_end = [-1], [0], [-1]
+        last = 0
+        for at, c in enumerate(reference):
+            new = self._state(self.length[last] + 1, at, {})
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            else:
+                q = self.next[p][c]
+                if self.length[p] + 1 < self.length[q]:
+                    whole, q = q, self._state(self.length[p] + 1, self.first_end[q], dict(self.next[q]))
+                    self.link[q] = self.link[whole]
+                    self.link[whole] = q
+                    while p >= 0 and self.next[p].get(c) == whole:
+                        self.next[p][c] = q
+                        p = self.link[p]
+                self.link[new] = q
+            last = new
 
-    transcripts(tid, text, *on), references(rid, text, *on). Matching k-grams on one diagonal form runs; a
-    run of m grams is m + k - 1 characters. Pairs without a common k-gram have no row. Runs are verified on
-    the texts.
+    def _state(self, length: int, first_end: int, following: dict[str, int]) -> int:
+        self.length.append(length)
+        self.first_end.append(first_end)
+        self.next.append(following)
+        self.link.append(0)
+        return len(self.length) - 1
+
+    def longest(self, text: str) -> tuple[int, int, int]:
+        """(place in text, place in the reference, size): the longest common substring, the earliest in text, then in the reference."""
+        state = size = 0
+        best = (0, 0, 0)
+        for at, c in enumerate(text):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                size += 1
+                if size > best[2]:
+                    best = (at - size + 1, self.first_end[state] - size + 1, size)
+        return best
+
+
+_AUTOMATA: dict[str, Automaton] = {}
+
+
+def automaton_of(reference: str) -> Automaton:
+    """Built once for a Python worker; the references' bound is also that of the cache."""
+    if reference not in _AUTOMATA:
+        if sum(map(len, _AUTOMATA)) + len(reference) > REFERENCE_CHARS:
+            _AUTOMATA.clear()
+        _AUTOMATA[reference] = Automaton(reference)
+    return _AUTOMATA[reference]
+
+
+def longest_common(transcripts: DataFrame, references: DataFrame, on: str) -> DataFrame:
+    """Per (tid, rid) of equal ``on``: place i in the trimmed transcript, place j in the reference, size, matched, coverage.
+
+    transcripts(tid, text, on), references(rid, text, on). Without a common character, or with a blank or
+    null transcript, coverage is 0 and the rest null. Transcripts of an ``on`` without reference have no row.
     """
-    a = grams(transcripts, "tid", k, "i").join(transcripts.select("tid", *on), "tid")
-    b = grams(references, "rid", k, "j").join(references.select("rid", *on), "rid")
-    m = a.join(b, [*on, "gram"]).select("tid", "rid", "i", "j", (F.col("i") - F.col("j")).alias("d"))
-    w = W.partitionBy("tid", "rid", "d").orderBy("i")
-    runs = m.withColumn("g", F.col("i") - F.row_number().over(w)).groupBy("tid", "rid", "d", "g").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + k - 1).alias("size"))
-    best = runs.groupBy("tid", "rid").agg(F.min_by(F.struct("i", "j", "size"), F.struct(-F.col("size"), "i", "j")).alias("x")).select("tid", "rid", "x.*")
-    t, r = transcripts.select("tid", F.col("text").alias("ta")), references.select("rid", F.col("text").alias("tb"))
-    size = F.col("size").cast("int")
-    span = F.substring(F.col("tb"), F.col("j") + 1, size)
-    out = best.join(t, "tid").join(r, "rid").filter(F.substring(F.col("ta"), F.col("i") + 1, size) == span)
-    return out.select("tid", "rid", "i", "j", "size", span.alias("matched"), (F.col("size") / F.length("ta")).alias("coverage"))
+    chars = references.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > REFERENCE_CHARS:
+        raise ValueError(f"references hold {chars} characters, more than {REFERENCE_CHARS}: align against parts of them")
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in references.select(on, "rid", "text").collect():
+        by.setdefault(r[0], []).append((r[1], r[2] or ""))
+    shared = transcripts.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for tid, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                t = (text or "").strip()
+                for rid, reference in shared.value.get(key, []):
+                    i, j, n = automaton_of(reference).longest(t)
+                    rows.append((tid, rid, i, j, n, t[i : i + n], n / len(t)) if n else (tid, rid, None, None, None, None, 0.0))
+            cols = zip(*rows, strict=True) if rows else ((),) * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["tid", "rid", "i", "j", "size", "matched", "coverage"])
+
+    texts = transcripts.select(F.col("tid").cast("long"), F.col(on), "text")
+    return texts.mapInArrow(run, "tid long, rid long, i int, j int, size int, matched string, coverage double")

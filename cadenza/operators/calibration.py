@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cadenza.runtime import few, materialise
+
 #: Which side of a signal is rejected.
 DIRECTIONS = {"avg_logprob": "less", "token_confidence_mean": "less", "no_speech_prob": "greater"}
 CRITERIA = ("f1", "youden_j", "precision", "recall")
@@ -98,7 +100,7 @@ def select_gate(sweep: DataFrame, frr: DataFrame, gates: DataFrame) -> DataFrame
     frr: (threshold, population, false_reject_rate); gates: (gate, strictness, clean_max, noisy_max).
     """
     wide = frr.groupBy("threshold").agg(F.max(F.when(F.col("population") == "clean", F.col("false_reject_rate"))).alias("clean_frr"), F.max(F.when(F.col("population") != "clean", F.col("false_reject_rate"))).alias("noisy_frr"))
-    ok = sweep.join(wide, "threshold").join(F.broadcast(gates), (F.col("clean_frr") <= F.col("clean_max")) & (F.coalesce("noisy_frr", F.lit(0.0)) <= F.col("noisy_max")))
+    ok = sweep.join(wide, "threshold").join(few(gates), (F.col("clean_frr") <= F.col("clean_max")) & (F.coalesce("noisy_frr", F.lit(0.0)) <= F.col("noisy_max")))
     best = ok.groupBy("gate", "strictness").agg(F.max_by(F.struct("threshold", "f1", "clean_frr", "noisy_frr"), F.struct(F.col("f1"), -F.col("threshold"))).alias("r"))
     return best.orderBy("strictness").limit(1).select("gate", "r.*")
 
@@ -139,11 +141,44 @@ def top_examples(rows: DataFrame, by: list[str], order: list[str], fields: list[
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("examples"))
 
 
+def with_examples(rows: DataFrame, totals: DataFrame, order: list[str], fields: list, n: int) -> DataFrame:
+    """totals (one row) with ``examples``: the first n rows by order, fields joined by colons and rows by commas; null without rows."""
+    first = rows.orderBy(*order).limit(n).select(F.struct(*order).alias("o"), F.concat_ws(":", *fields).alias("x"))
+    shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda e: e["x"]).alias("xs"))
+    shown = shown.select(F.when(F.size("xs") > 0, F.array_join("xs", ",")).alias("examples"), F.lit(1).alias("__one"))
+    return totals.withColumn("__one", F.lit(1)).join(shown, "__one").drop("__one")
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(*by, q): the exact percentiles of the non-null values of every group, by linear interpolation, without gathering a group in one task.
+
+    Sketches give two values around each percentile; a second pass counts what lies below them and, by value,
+    what lies between, which is some ten-thousandths of a group. Groups without values have no row; without keys there is one group.
+    """
+    spread = 4 / accuracy
+    v = F.col(value)
+    x = materialise(rows.filter(v.isNotNull()).select(*by, v.cast("double").alias("v")), "values")
+    probes = [min(1.0, max(0.0, q + d)) for q in qs for d in (-spread, spread)]
+    sketch = x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", probes, accuracy).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    one = lambda i, q: F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), (F.get("b", F.lit(2 * i)) if q > spread else F.col("lo")).alias("from"), (F.get("b", F.lit(2 * i + 1)) if q < 1 - spread else F.col("hi")).alias("to"))
+    bounds = sketch.select(*by, "n", F.explode(F.array(*(one(i, q) for i, q in enumerate(qs)))).alias("x")).select(*by, "n", "x.*").withColumn("__k", F.lit(1))
+    met = x.withColumn("__k", F.lit(1)).join(bounds, ["__k", *by])
+    zone = F.when(F.col("v") < F.col("from"), -1).when(F.col("v") > F.col("to"), 1).otherwise(0)
+    # below and above the bounds a group's rows are one count each, with the value next to the bound; between them one for every value
+    counts = met.groupBy(*by, "i", "q", "n", zone.alias("zone"), F.when(zone == 0, F.col("v")).alias("at")).agg(F.count("*").alias("c"), F.when(zone < 0, F.max("v")).otherwise(F.min("v")).alias("v"))
+    cum = F.sum("c").over(W.partitionBy(*by, "i").orderBy("zone", "v"))
+    rank = F.col("q") * (F.col("n") - 1)
+    low = F.floor(rank)
+    ranked = counts.withColumn("cum", cum)
+    pair = ranked.groupBy(*by, "i").agg(F.min(F.when(F.col("cum") > low, F.col("v"))).alias("a"), F.min(F.when(F.col("cum") > low + 1, F.col("v"))).alias("b"), F.first(rank - low).alias("f"))
+    found = pair.select(*by, "i", F.when(F.col("f") > 0, F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).otherwise(F.col("a")).alias("x"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
+
+
 def signal_distribution(samples: DataFrame, signal: str = "signal") -> DataFrame:
     s = F.col(signal)
-    q = F.percentile(s, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    ok = samples.filter(~F.col("error") & s.isNotNull())
-    g = ok.groupBy(F.when(positive(), "non_speech").otherwise("speech").alias("label")).agg(F.count("*").alias("n"), F.min(s).alias("min"), q.alias("q"), F.max(s).alias("max"))
+    ok = samples.filter(~F.col("error") & s.isNotNull()).select(F.when(positive(), "non_speech").otherwise("speech").alias("label"), s.alias("s"))
+    g = ok.groupBy("label").agg(F.count("*").alias("n"), F.min("s").alias("min"), F.max("s").alias("max")).join(percentiles(ok, ["label"], "s", [0.05, 0.5, 0.95]), "label")
     return g.select("label", "n", "min", F.col("q")[0].alias("p5"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "max")
 
 

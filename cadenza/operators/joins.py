@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadenza.runtime import materialise
+from cadenza.runtime import few, materialise
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -64,7 +64,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def compatible(df: DataFrame, engines: DataFrame, language: str = "language") -> DataFrame:
     """df(engine_id, language) rows whose engine supports the language; engines without a list and unknown ones support all."""
-    e = F.broadcast(engines.select("engine_id", "languages"))
+    e = few(engines.select("engine_id", "languages"))
     return df.join(e, "engine_id", "left").filter(F.coalesce(F.array_contains("languages", F.col(language)), F.lit(True))).drop("languages")
 
 

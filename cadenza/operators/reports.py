@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.calibration import percentiles
+from cadenza.runtime import few
+
 
 def means_by(results: DataFrame, keys: list[Column | str]) -> DataFrame:
     """Means over non-null metrics, the largest GPU peak, files and total duration (0 if none)."""
@@ -25,12 +28,13 @@ def extremes(means: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(measured: DataFrame, latency: str = "latency", rtf: str = "rtf", approximate: bool = False) -> DataFrame:
-    """Mean, percentiles and maximum of latency, and of RTF where there is a duration. Linear interpolation, or an approximation for scale."""
-    q = [0.5, 0.9, 0.95]
-    of = (lambda c: F.percentile_approx(c, q, 10_000)) if approximate else (lambda c: F.percentile(c, F.lit(q)))
-    r = F.when(F.col("duration") > 0, F.col(rtf))
-    g = measured.filter(~F.col("error")).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"), of(F.col(latency)).alias("q"), F.max(latency).alias("max"), F.avg(r).alias("rtf_mean"), of(r).alias("rq"), F.max(r).alias("rtf_max"))
+def latency_summary(measured: DataFrame, latency: str = "latency", rtf: str = "rtf") -> DataFrame:
+    """Mean, percentiles (linear interpolation) and maximum of latency, and of RTF where there is a duration, in one row."""
+    m = measured.filter(~F.col("error")).select(F.col(latency).alias("x"), F.when(F.col("duration") > 0, F.col(rtf)).alias("r"))
+    g = m.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.avg("r").alias("rtf_mean"), F.max("r").alias("rtf_max"), F.lit(1).alias("k"))
+    both = m.select(F.explode(F.array(F.struct(F.lit("x").alias("of"), F.col("x").alias("v")), F.struct(F.lit("r").alias("of"), F.col("r").alias("v")))).alias("e")).select("e.*")
+    q = percentiles(both, ["of"], "v", [0.5, 0.9, 0.95]).groupBy(F.lit(1).alias("k")).agg(*(F.max(F.when(F.col("of") == of, F.col("q"))).alias(name) for of, name in (("x", "q"), ("r", "rq"))))
+    g = g.join(q, "k", "left")
     return g.select("n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p95"), "max", "rtf_mean", F.col("rq")[0].alias("rtf_p50"), F.col("rq")[2].alias("rtf_p95"), "rtf_max")
 
 
@@ -62,7 +66,7 @@ def regressions(cells: DataFrame, slack: float = 1e-9) -> DataFrame:
 def pareto(cells: DataFrame) -> DataFrame:
     """Per preset means and whether no other is strictly lower in false triggers with recalls no worse; a null recall compares as no worse."""
     m = cells.groupBy("preset").agg(F.avg("false_trigger").alias("false_trigger"), F.avg("recall").alias("recall"), F.avg("short_recall").alias("short_recall"))
-    a, b = m.alias("a"), F.broadcast(m.alias("b"))  # one row a preset
+    a, b = m.alias("a"), few(m.alias("b"), 10_000)  # one row a preset
     worse = lambda c: F.col(f"b.{c}") < F.col(f"a.{c}")
     beats = (F.col("b.preset") != F.col("a.preset")) & (F.col("b.false_trigger") < F.col("a.false_trigger")) & ~F.coalesce(worse("recall"), F.lit(False)) & ~F.coalesce(worse("short_recall"), F.lit(False))
     free = a.join(b, beats, "left_anti").filter("false_trigger is not null").select("preset", F.lit(True).alias("free"))
@@ -71,7 +75,7 @@ def pareto(cells: DataFrame) -> DataFrame:
 
 def floor_violations(cells: DataFrame, exempt: DataFrame, recall: float = 0.95, short_recall: float = 1.0) -> DataFrame:
     """Recalls below absolute floors, but for exempt (backend, corpus) pairs."""
-    c = cells.join(F.broadcast(exempt), ["backend", "corpus"], "left_anti")
+    c = cells.join(few(exempt), ["backend", "corpus"], "left_anti")
     floors = {"recall": recall, "short_recall": short_recall}
     long = c.select("preset", *KEYS, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(float(f)).alias("floor")) for m, f in floors.items()))).alias("x")).select("preset", *KEYS, "x.*")
     return long.filter(F.col("value") < F.col("floor"))

@@ -116,35 +116,89 @@ class SpeechMachine:
         return [] if self.mode == "silence" else self._end(t)
 
 
-def silent_cuts(frames: DataFrame, config: VadConfig, key: str = "source_id", idx: str = "frame_idx") -> DataFrame:
-    """frames with ``stretch``: numbered pieces that begin where so many silent frames lie behind that the machine is silent and its pre-buffer full."""
+#: Values of the order column that one cell of a source spans; a source of any length is many cells.
+CELL = 1 << 16
+
+
+def stretches(rows: DataFrame, key: str, order: str, begins: str, size: int = CELL) -> DataFrame:
+    """rows with ``stretch``: the order value of the last row of its key, up to itself, for which the flag ``begins`` holds.
+
+    Cells of a key are numbered apart, and one row a cell carries its last beginning on to the next.
+    """
+    start = F.when(F.col(begins), F.col(order))
+    d = rows.withColumn("__cell", F.floor(F.col(order) / size))
+    d = d.withColumn("__own", F.last(start, ignorenulls=True).over(W.partitionBy(key, "__cell").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    carried = F.max("last").over(W.partitionBy(key).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1))
+    before = d.groupBy(key, "__cell").agg(F.max(start).alias("last")).select(key, "__cell", carried.alias("__before"))
+    return d.join(before, [key, "__cell"]).withColumn("stretch", F.coalesce("__own", "__before", F.lit(-1))).drop("__cell", "__own", "__before")
+
+
+def folded(rows: DataFrame, keys: list[str], order: str, schema: str, start, step, finish) -> DataFrame:
+    """A fold over the rows of every group of keys in order: rows are sorted within tasks and stream through in Arrow batches.
+
+    start() gives a state, step(state, row tuple, out) the next one, finish(state, key tuple, out) ends a group;
+    results are appended to the list out. A group is never held.
+    """
+    names = rows.columns
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    at = [names.index(k) for k in keys]
+    fields = [f.split()[0] for f in schema.split(",")]
+
+    def run(batches):
+        now, state = None, None
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in zip(*(pdf[c].tolist() for c in names), strict=True):
+                key = tuple(row[i] for i in at)
+                if key != now:
+                    if now is not None:
+                        finish(state, now, out)
+                    now, state = key, start()
+                state = step(state, row, out)
+            yield pd.DataFrame(out, columns=fields)
+        if now is not None:
+            out = []
+            finish(state, now, out)
+            yield pd.DataFrame(out, columns=fields)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def silent_cuts(frames: DataFrame, config: VadConfig, key: str = "source_id", idx: str = "frame_idx", size: int = CELL) -> DataFrame:
+    """frames with ``stretch``: pieces that begin where so many silent frames lie behind that the machine is silent and its pre-buffer full.
+
+    Whether a piece begins shows within a bounded span around a frame, so cells that overlap by it find all.
+    """
     quiet = config.frames(config.min_silence_ms) + 2 * config.frames(config.speech_pad_ms) + 2
-    w = W.partitionBy(key).orderBy(idx)
+    lead = max(config.frames(config.speech_pad_ms), 1)  # a piece begins pad frames before an onset, among silent frames
+    back = quiet + lead + 1
+    cell, own = F.floor(F.col(idx) / size), F.pmod(F.col(idx), F.lit(size))
+    d = frames.withColumn("__own", cell).withColumn("__cell", F.explode(F.array_compact(F.array(cell, F.when(own < lead, cell - 1), F.when(own >= size - back - lead, cell + 1)))))
+    w = W.partitionBy(key, "__cell").orderBy(idx)
     loud = F.col("p") >= config.threshold
-    last = F.last(F.when(loud, F.col(idx)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    # a piece begins pad frames before an onset, among frames that are all silent
-    lead = max(config.frames(config.speech_pad_ms), 1)
-    onset = loud & F.coalesce(F.col(idx) - last > quiet + lead, F.lit(False))
-    begins = F.lead(onset.cast("int"), lead).over(w)
-    return frames.withColumn("__b", F.coalesce(begins, F.lit(0))).withColumn("stretch", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
+    last = F.coalesce(F.last(F.when(loud, F.col(idx)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first(idx).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    onset = loud & (F.col(idx) - last > quiet + lead)
+    d = d.withColumn("__b", F.coalesce(F.lead(onset, lead).over(w), F.lit(False))).filter("__cell = __own").drop("__cell", "__own")
+    return stretches(d, key, idx, "__b", size).drop("__b")
 
 
-def vad_segments(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool = False, key: str = "source_id") -> DataFrame:
-    """(key, start_time, end_time, is_final) of the state machine over frames(key, frame_idx, ts_s, p)."""
-    cut = silent_cuts(frames.select(F.col(key).alias("source_id"), "frame_idx", "ts_s", "p"), config)
-    last = cut.groupBy("source_id").agg(F.max("stretch").alias("final_stretch"))
-    cut = cut.join(last, "source_id").withColumn("final", F.col("stretch") == F.col("final_stretch"))
+def vad_segments(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool = False, key: str = "source_id", size: int = CELL) -> DataFrame:
+    """(key, start_time, end_time, is_final) of the state machine over frames(key, frame_idx, ts_s, p).
+
+    A stretch that is not its source's last ends in silence, so finishing it tells nothing.
+    """
+    cut = silent_cuts(frames.select(F.col(key).alias("source_id"), "frame_idx", "ts_s", "p"), config, size=size).select("source_id", "stretch", "frame_idx", "ts_s", "p")
+
+    def step(state, row, out):
+        machine, _ = state
+        out += [(row[0], *s) for s in machine.step(row[4], row[3], interim)]
+        return machine, row[3]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        machine, out = SpeechMachine(config), []
-        for p, t in zip(pdf["p"].tolist(), pdf["ts_s"].tolist(), strict=True):
-            out += machine.step(p, t, interim)
-        if len(pdf) and bool(pdf["final"].iloc[0]):
-            out += machine.finish(float(pdf["ts_s"].iloc[-1]))
-        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]] * len(out), "start_time": [o[0] for o in out], "end_time": [o[1] for o in out], "is_final": [o[2] for o in out]}).astype({"source_id": "int64", "start_time": "float64", "end_time": "float64", "is_final": "bool"})
+    def finish(state, key_, out):
+        out += [(key_[0], *s) for s in state[0].finish(state[1])]
 
-    return cut.groupBy("source_id", "stretch").applyInPandas(run, "source_id long, start_time double, end_time double, is_final boolean").withColumnRenamed("source_id", key)
+    schema = "source_id long, start_time double, end_time double, is_final boolean"
+    return folded(cut, ["source_id", "stretch"], "frame_idx", schema, lambda: (SpeechMachine(config), 0.0), step, finish).withColumnRenamed("source_id", key)
 
 
 #: Fields of an utterance, in order.
@@ -181,29 +235,31 @@ def push(held: dict | None, new: dict, window: float = 5.0) -> tuple[dict | None
     return (new, out) if short(new["text"]) else (None, [*out, new])
 
 
-def coalesce_utterances(utterances: DataFrame, window: float = 5.0, key: str = "source_id", order: str = "turn") -> DataFrame:
+def coalesce_utterances(utterances: DataFrame, window: float = 5.0, key: str = "source_id", order: str = "turn", size: int = CELL) -> DataFrame:
     """Short utterances merged into the next of their source within the window; ``merged`` counts the parts.
 
     A source is cut before every utterance that starts beyond the window after the one before, where nothing can merge.
     """
-    w = W.partitionBy(key).orderBy(order)
-    gap = F.col("start_time") - F.lag("end_time").over(w)
-    u = utterances.select(F.col(key).alias("k"), order, *UTTERANCE, F.coalesce(gap > window, F.lit(True)).cast("int").alias("new"))
-    u = u.withColumn("stretch", F.sum("new").over(W.partitionBy("k").orderBy(order)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = None, []
-        for r in pdf.sort_values(order).to_dict("records"):
-            new = {c: r[c] for c in UTTERANCE} | {"language": r["language"] or None, "merged": 1}
-            held, done = push(held, new, window)
-            out += done
-        out += [held] if held else []
-        frame = pd.DataFrame(out, columns=[*UTTERANCE, "merged"])
-        frame.insert(0, "k", pdf["k"].iloc[0])
-        return frame
-
-    u = u.withColumn("language", F.coalesce("language", F.lit("")))
-    return u.groupBy("k", "stretch").applyInPandas(run, "k long, text string, start_time double, end_time double, confidence double, language string, merged int").withColumnRenamed("k", key)
+    u = utterances.select(F.col(key).alias("k"), F.col(order).alias("o"), *UTTERANCE).withColumn("__cell", F.floor(F.col("o") / size))
+    u = u.withColumn("__end", F.lag("end_time").over(W.partitionBy("k", "__cell").orderBy("o")))
+    # one row a cell carries the end of its last utterance on to the next
+    last = u.groupBy("k", "__cell").agg(F.max_by("end_time", "o").alias("end")).select("k", "__cell", F.lag("end").over(W.partitionBy("k").orderBy("__cell")).alias("__before"))
+    gap = F.col("start_time") - F.coalesce("__end", "__before")
+    u = u.join(last, ["k", "__cell"]).withColumn("__new", F.coalesce(gap > window, F.lit(True))).drop("__cell", "__end", "__before")
+    u = stretches(u.withColumn("language", F.coalesce("language", F.lit(""))), "k", "o", "__new", size).select("k", "stretch", "o", *UTTERANCE)
+    fields = [*UTTERANCE, "merged"]
+
+    def emit(k, rows, out):
+        out += [(k, *(r[f] for f in fields)) for r in rows]
+
+    def step(held, row, out):
+        new = dict(zip(UTTERANCE, row[3:], strict=True))
+        held, done = push(held, new | {"language": new["language"] or None, "merged": 1}, window)
+        emit(row[0], done, out)
+        return held
+
+    schema = "k long, text string, start_time double, end_time double, confidence double, language string, merged int"
+    return folded(u, ["k", "stretch"], "o", schema, lambda: None, step, lambda held, k, out: emit(k[0], [held] if held else [], out)).withColumnRenamed("k", key)
 
 
 @dataclass(frozen=True)

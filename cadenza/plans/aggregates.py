@@ -96,9 +96,12 @@ def guard_ablation(spark, sf):
 
 @query("guard_marginal", """
 SELECT count_if(pos AND energy_drop AND NOT o) non_speech_energy_unique, count_if(pos AND energy_drop AND o) non_speech_energy_overlap, count_if(pos AND energy_drop) non_speech_energy_total_drop, count_if(NOT pos AND energy_drop AND NOT o) speech_energy_unique_harm,
-count_if(NOT pos AND energy_drop) speech_energy_total_drop, count_if(pos AND energy_drop AND NOT empty_text) engine_nonempty, count_if(pos AND energy_drop AND NOT o) engine_nonempty_conf_pass FROM (SELECT *, label = 'non_speech' pos, empty_text OR conf_reject o FROM v_guard WHERE NOT error)""")
+count_if(NOT pos AND energy_drop) speech_energy_total_drop, count_if(pos AND energy_drop AND NOT empty_text) engine_nonempty, count_if(pos AND energy_drop AND NOT o) engine_nonempty_conf_pass, (SELECT string_agg(doc_id || '', ',' ORDER BY doc_id) FROM (SELECT doc_id FROM v_guard WHERE NOT error AND label = 'non_speech' AND energy_drop AND NOT (empty_text OR conf_reject) ORDER BY doc_id LIMIT 10)) examples FROM (SELECT *, label = 'non_speech' pos, empty_text OR conf_reject o FROM v_guard WHERE NOT error)""")
 def guard_marginal(spark, sf):
-    return C.guard_marginal(guards(spark, sf))
+    """Counts, and the first ten silent inputs whose output is not empty and passes."""
+    g = guards(spark, sf)
+    passed = g.filter(~F.col("error") & (F.col("label") == "non_speech") & F.col("energy_drop") & ~F.col("empty_text") & ~F.col("conf_reject"))
+    return C.with_examples(passed, C.guard_marginal(g), ["doc_id"], [F.col("doc_id").cast("string")], 10)
 
 
 @query("signal_distribution", """
@@ -117,10 +120,13 @@ def signal_coverage(spark, sf):
 @query("filter_confusion", """
 WITH g AS (SELECT CASE WHEN label = 'non_speech' THEN label ELSE 'speech' END AS label, CASE WHEN empty_text THEN '' ELSE text END t, conf_reject FROM v_guard WHERE NOT error)
 SELECT label, count(*) n, count_if(conf_reject) rejected, CASE WHEN label <> 'speech' THEN count_if(trim(t) <> '') END non_empty_text, CASE WHEN label <> 'speech' THEN count_if(trim(t) <> '' AND NOT conf_reject) END leak,
-round(CASE WHEN label = 'speech' THEN count_if(conf_reject) / count(*) ELSE count_if(trim(t) <> '' AND NOT conf_reject) / count(*) END, 6) rate FROM g GROUP BY label""")
+round(CASE WHEN label = 'speech' THEN count_if(conf_reject) / count(*) ELSE count_if(trim(t) <> '' AND NOT conf_reject) / count(*) END, 6) rate, CASE WHEN label <> 'speech' THEN (SELECT string_agg(doc_id || '', ',' ORDER BY doc_id) FROM (SELECT doc_id FROM v_guard WHERE NOT error AND label = 'non_speech' AND NOT empty_text AND trim(text) <> '' AND NOT conf_reject ORDER BY doc_id LIMIT 10)) END examples FROM g GROUP BY label""")
 def filter_confusion(spark, sf):
+    """Rates by label, and the first ten leaks."""
     g = guards(spark, sf).withColumn("text", F.when(F.col("empty_text"), "").otherwise(F.col("text"))).withColumn("rejected", F.col("conf_reject"))
-    return round_doubles(C.filter_confusion(g))
+    leaks = g.filter(~F.col("error") & (F.col("label") == "non_speech") & ~F.col("rejected") & (F.trim("text") != ""))
+    out = C.with_examples(leaks, round_doubles(C.filter_confusion(g)), ["doc_id"], [F.col("doc_id").cast("string")], 10)
+    return out.withColumn("examples", F.when(F.col("label") != "speech", F.col("examples")))
 
 
 @query("top_examples", """
@@ -203,8 +209,8 @@ def pipeline_rates(spark, sf):
     rate = lambda hit, of: F.try_divide(F.count_if(hit & of), F.count_if(of))
     neg, short, seg, texts, kept = F.col("neg"), F.col("short"), F.col("segs") > 0, F.col("texts") > 0, F.col("kept") > 0
     rates = {"false_trigger_rate": rate(seg, neg), "recall": rate(seg, ~neg), "short_recall": rate(seg, ~neg & short), "hallucination_pre": rate(texts, neg), "hallucination_post": rate(kept, neg), "recall_post": rate(kept, ~neg), "short_recall_post": rate(kept, ~neg & short)}
-    q = F.percentile("latency", F.lit([0.5, 0.95]))
-    g = items.groupBy((F.col("doc_id") % 3).alias("run")).agg(*(c.alias(n) for n, c in rates.items()), q.alias("q"))
+    items = items.withColumn("run", F.col("doc_id") % 3)
+    g = items.groupBy("run").agg(*(c.alias(n) for n, c in rates.items())).join(C.percentiles(items, ["run"], "latency", [0.5, 0.95]), "run")
     return round_doubles(g.select("run", *rates, F.col("q")[0].alias("latency_p50"), F.col("q")[1].alias("latency_p95")))
 
 
@@ -298,7 +304,8 @@ def noise_profile(spark, sf):
 
 def noise_stats(levels, key, rate, peak_margin=6.0, rms_margin=6.0):
     """Noise floor, levels and suggested thresholds per source from rms_db and peak_db."""
-    g = levels.groupBy(key).agg(F.percentile("rms_db", F.lit([0.25, 0.95])).alias("q"), F.percentile("peak_db", F.lit(0.95)).alias("p"), F.count("*").alias("sample_count"))
+    peaks = C.percentiles(levels, [key], "peak_db", [0.95]).select(key, F.col("q")[0].alias("p"))
+    g = levels.groupBy(key).agg(F.count("*").alias("sample_count")).join(C.percentiles(levels, [key], "rms_db", [0.25, 0.95]), key).join(peaks, key)
     f, r = F.col("q")[0], F.col("q")[1]
     return g.select(key, f.alias("noise_floor_db"), r.alias("noise_rms_p95_db"), F.col("p").alias("peak_p95_db"), (F.col("p") + peak_margin).alias("suggested_threshold_db"), (r + rms_margin).alias("suggested_engine_min_rms_dbfs"), (f - 5).alias("danger_low"), (f + 5).alias("danger_high"), "sample_count", (F.col("sample_count") / rate).alias("duration_s"))
 

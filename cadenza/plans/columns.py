@@ -184,18 +184,22 @@ def class_metrics(spark, sf):
     return round_doubles(g.withColumns({"precision": C.ratio(tp, tp + F.col("fp")), "recall": C.ratio(tp, tp + F.col("fn"))}))
 
 
-S.SQL["v_curve"] = """
-SELECT policy, i / 20 threshold, count_if(neg AND s >= i / 20) tp, count_if(NOT neg AND s >= i / 20) fp, count_if(neg) pos FROM (
- SELECT clip, policy, max(s) s, any_value(negative) neg FROM (SELECT clip, negative, unnest(['max', 'sum', 'target_minus_speech']) policy, unnest([list_max(probs[4:8]), list_sum(probs[4:8]), list_max(probs[4:8]) - list_max(probs[1:3])]) s FROM v_class) GROUP BY clip, policy),
- (SELECT unnest(generate_series(0, 30)) i) GROUP BY policy, i"""
+S.SQL["v_scores"] = """
+SELECT clip, policy, max(s) s, any_value(negative) neg FROM (SELECT clip, negative, unnest(['max', 'sum', 'target_minus_speech']) policy, unnest([list_max(probs[4:8]), list_sum(probs[4:8]), list_max(probs[4:8]) - list_max(probs[1:3])]) s FROM v_class) GROUP BY clip, policy"""
+S.SQL["v_curve"] = "SELECT policy, i / 20 threshold, count_if(neg AND s >= i / 20) tp, count_if(NOT neg AND s >= i / 20) fp, count_if(neg) pos FROM v_scores, (SELECT unnest(generate_series(0, 30)) i) GROUP BY policy, i"
 CURVE_GRID = [i / 20 for i in range(31)]
 
 
-def curve(spark, sf):
-    """Per policy and threshold: rejected clips (score >= threshold) against negatives; the same histogram sweep as for signals."""
+def scores(spark, sf):
+    """The reject score of every clip by every policy: its largest window."""
     p = A.policies("probs", [3, 4, 5, 6, 7], [0, 1, 2])
     w = S.class_windows(spark, sf).select("clip", "negative", F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), c.alias("s")) for n, c in p.items()))).alias("x")).select("clip", "negative", "x.*")
-    clips = w.groupBy("clip", "policy").agg(F.max("s").alias("s"), F.any_value("negative").alias("negative"))
+    return w.groupBy("clip", "policy").agg(F.max("s").alias("s"), F.any_value("negative").alias("negative"))
+
+
+def curve(spark, sf):
+    """Per policy and threshold: rejected clips (score >= threshold) against negatives; the same histogram sweep as for signals."""
+    clips = scores(spark, sf)
     # at least t is not less than t: a sweep of "less" counts what is kept
     kept = C.threshold_sweep(clips, CURVE_GRID, "less", "s", ["policy"], pos=F.col("negative"))
     k = kept.select("policy", "threshold", F.col("fn").alias("tp"), F.col("tn").alias("fp"), (F.col("tp") + F.col("fn")).alias("pos"))
@@ -210,14 +214,22 @@ def reject_curve(spark, sf):
     return round_doubles(curve(spark, sf).select("policy", "threshold", "tp", "fp", "precision", "recall"))
 
 
+TARGET, FLOORS = "c3", (0.70, 0.50)
+
+
 @query("gate_verdict", f"""
-WITH c AS (SELECT *, {CURVE_RATES} FROM v_curve), ok AS (SELECT * FROM c WHERE "precision" >= 0.5 AND recall >= 0.5)
-SELECT count(*) passing, count(DISTINCT policy) policies, arg_max(policy, (recall, "precision", policy, threshold)) policy, arg_max(threshold, (recall, "precision", policy, threshold)) threshold FROM ok""")
+WITH c AS (SELECT *, {CURVE_RATES} FROM v_curve), t AS (SELECT policy, max(s) target FROM v_scores WHERE clip = '{TARGET}' GROUP BY policy),
+ok AS (SELECT *, CASE policy WHEN 'max' THEN 0 WHEN 'sum' THEN 1 ELSE 2 END o FROM c JOIN t USING (policy) WHERE "precision" >= {FLOORS[0]} AND recall >= {FLOORS[1]} AND target >= threshold),
+b AS (SELECT * FROM ok ORDER BY recall DESC, "precision" DESC, policy DESC, threshold DESC LIMIT 1)
+SELECT (SELECT count(*) > 0 FROM ok) passed, (SELECT coalesce(string_agg(policy, ',' ORDER BY o), '') FROM (SELECT DISTINCT policy, o FROM ok)) passing_policies, (SELECT policy FROM b) policy, (SELECT threshold FROM b) threshold, (SELECT round("precision", 6) FROM b) "precision", (SELECT round(recall, 6) FROM b) recall""")
 def gate_verdict(spark, sf):
-    """The passing row of the largest (recall, precision, policy, threshold)."""
-    ok = curve(spark, sf).filter("precision >= 0.5 and recall >= 0.5")
-    g = ok.agg(F.count("*").alias("passing"), F.count_distinct("policy").alias("policies"), F.max(F.struct("recall", "precision", "policy", "threshold")).alias("b"))
-    return g.select("passing", "policies", F.col("b.policy").alias("policy"), F.col("b.threshold").alias("threshold"))
+    """The provisional verdict: rows of both floors that flag the target clip; of these the largest (recall, precision, policy, threshold)."""
+    policies = list(A.policies("probs", [3], [0]))
+    target = scores(spark, sf).filter(F.col("clip") == TARGET).groupBy("policy").agg(F.max("s").alias("target"))
+    ok = curve(spark, sf).join(target, "policy").filter((F.col("precision") >= FLOORS[0]) & (F.col("recall") >= FLOORS[1]) & (F.col("target") >= F.col("threshold")))
+    g = ok.agg(F.count("*").alias("n"), F.collect_set("policy").alias("ps"), F.max(F.struct("recall", "precision", "policy", "threshold")).alias("b"))
+    named = F.array_join(F.filter(F.lit(policies), lambda x: F.array_contains("ps", x)), ",")  # in the order of the curves
+    return round_doubles(g.select((F.col("n") > 0).alias("passed"), named.alias("passing_policies"), "b.policy", "b.threshold", "b.precision", "b.recall"))
 
 
 # text -------------------------------------------------------------------------------------------------
@@ -228,17 +240,17 @@ def normalize_en(spark, sf):
     return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.md5(X.normalize_en("text").cast("binary")).alias("digest"))
 
 
-S.SQL["v_kana"] = "SELECT doc_id, translate(lower(text[1:300]), 'aeiouknst.,', 'アえイおうかンさタ。、') AS text FROM documents"
+S.SQL["v_kana"] = "SELECT doc_id, translate(lower(text), 'aeiouknst.,', 'アえイおうかンさタ。、') AS text FROM documents"
 
 
 def kana(spark, sf):
     """Letters of the documents as mixed kana."""
-    return table(spark, sf, "documents").select("doc_id", F.translate(F.lower(F.substring("text", 1, 300)), "aeiouknst.,", "アえイおうかンさタ。、").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), "aeiouknst.,", "アえイおうかンさタ。、").alias("text"))
 
 
-@query("normalize_ja", r"SELECT doc_id, regexp_replace(translate(text, '。、．，！？・「」『』（）', ''), '\s+', '', 'g') AS text FROM v_kana")
+@query("normalize_ja", r"SELECT doc_id, md5(regexp_replace(translate(text, '。、．，！？・「」『』（）', ''), '\s+', '', 'g')) AS digest FROM v_kana")
 def normalize_ja(spark, sf):
-    return kana(spark, sf).select("doc_id", X.normalize_ja("text").alias("text"))
+    return kana(spark, sf).select("doc_id", F.md5(X.normalize_ja("text").cast("binary")).alias("digest"))
 
 
 @query("normalize_generic", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '\p{P}', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE lang <> 'en'")
@@ -251,49 +263,80 @@ def normalize_compare(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.normalize_compare("text", width=False).cast("binary")).alias("digest"))
 
 
-@query("kana_alignment_text")
+def _kana_sql() -> str:
+    """Twin of alignment_text on text that compatibility composition leaves as it is."""
+    kata = "".join(map(chr, range(0x30A1, 0x30F7)))
+    hira = "".join(chr(ord(k) - 0x60) for k in kata)
+    cjk = "[぀-ヿ一-鿿]"
+    d = "n[length(n) - q]"
+    digit = f"CASE WHEN {d} = '0' THEN '' ELSE CASE WHEN {d} = '1' AND q % 4 > 0 THEN '' ELSE ('〇一二三四五六七八九')[CAST({d} AS INT) + 1] END || (['', '十', '百', '千'])[q % 4 + 1] END"
+    group = "CASE WHEN q % 4 = 0 AND trim(n[greatest(length(n) - q - 3, 1):length(n) - q], '0') <> '' THEN (['', '万', '億', '兆', '京'])[q // 4 + 1] ELSE '' END"
+    number = f"CASE WHEN n = '' THEN '零' WHEN length(n) > 20 THEN part ELSE array_to_string([{digit} || {group} FOR q IN generate_series(length(n) - 1, 0, -1)], '') END"
+    marks = X.ALIGN_MARKS.replace("'", "''")
+    return rf"""
+WITH p AS (SELECT doc_id, i, ps[i] part, ltrim(ps[i], '0') n, regexp_matches(ps[i], '^[0-9]') AND (regexp_matches(coalesce(ps[i - 1], ''), '{cjk}$') OR regexp_matches(coalesce(ps[i + 1], ''), '^{cjk}')) AS by_cjk
+ FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+|[^0-9]+') ps FROM v_kana))),
+t AS (SELECT doc_id, string_agg(CASE WHEN by_cjk THEN {number} ELSE part END, '' ORDER BY i) AS text FROM p GROUP BY doc_id)
+SELECT k.doc_id, md5(regexp_replace(translate(translate(coalesce(t.text, ''), '{kata}', '{hira}'), '{marks}', ''), '\s+', '', 'g')) AS digest FROM v_kana k LEFT JOIN t USING (doc_id) WHERE k.text IS NOT NULL"""
+
+
+@query("kana_alignment_text", _kana_sql())
 def kana_alignment_text(spark, sf):
-    return kana(spark, sf).select("doc_id", X.alignment_text("text").alias("text"))
+    text = X.alignment_text("text").cast("binary")
+    return kana(spark, sf).filter("text is not null").select("doc_id", F.md5(text).alias("digest"))
 
 
-@query("script_mix_count", "SELECT count_if(regexp_matches(text, '([ァ-ヴー][ぁ-ゖ][ァ-ヴー])|([ぁ-ゖ][ァ-ヴー][ぁ-ゖ])')) clips FROM v_kana")
+SANDWICH = "([ァ-ヴー][ぁ-ゖ][ァ-ヴー])|([ぁ-ゖ][ァ-ヴー][ぁ-ゖ])"
+
+
+@query("script_mix_count", f"WITH x AS (SELECT doc_id, regexp_extract(text, '{SANDWICH}') found FROM v_kana WHERE regexp_matches(text, '{SANDWICH}')) SELECT count(*) clips, (SELECT string_agg(doc_id || ':' || found, ',' ORDER BY doc_id) FROM (SELECT * FROM x ORDER BY doc_id LIMIT 20)) examples FROM x")
 def script_mix_count(spark, sf):
-    sandwich = "([ァ-ヴー][ぁ-ゖ][ァ-ヴー])|([ぁ-ゖ][ァ-ヴー][ぁ-ゖ])"
-    return kana(spark, sf).agg(F.count_if(F.col("text").rlike(sandwich)).alias("clips"))
+    """Texts with a one-character sandwich of scripts, and the first 20 of them with what was found."""
+    x = kana(spark, sf).filter(F.col("text").rlike(SANDWICH)).select("doc_id", F.regexp_extract("text", SANDWICH, 0).alias("found"))
+    return C.with_examples(x, x.agg(F.count("*").alias("clips")), ["doc_id"], [F.col("doc_id").cast("string"), F.col("found")], 20)
 
 
-S.SQL["v_coded"] = """SELECT doc_id, lang, ref, hyp, r, h, list_distinct(list_concat(r, h)) k FROM (SELECT *, string_split(ref, ' ') r, string_split(hyp, ' ') h FROM v_pairs)"""
+S.SQL["v_coded"] = """SELECT doc_id, piece, lang, ref, hyp, r, h, list_distinct(list_concat(r, h)) k FROM (SELECT *, string_split(ref, ' ') r, string_split(hyp, ' ') h FROM v_pairs)"""
 WER = "levenshtein(array_to_string([chr((40 + list_position(k, x))::INT) FOR x IN r], ''), array_to_string([chr((40 + list_position(k, x))::INT) FOR x IN h], ''))"
 
 
-@query("wer", f"SELECT doc_id, round({WER} / len(r), 6) wer FROM v_coded")
+@query("wer", f"SELECT doc_id, piece, round({WER} / len(r), 6) wer FROM v_coded")
 def wer(spark, sf):
-    return S.pairs(spark, sf).select("doc_id", r6(X.wer("ref", "hyp"), "wer"))
+    return S.pairs(spark, sf).select("doc_id", "piece", r6(X.wer("ref", "hyp"), "wer"))
 
 
-@query("cer", "SELECT doc_id, round(levenshtein(ref, hyp) / length(ref), 6) cer FROM v_pairs")
+@query("cer", "SELECT doc_id, piece, round(levenshtein(ref, hyp) / length(ref), 6) cer FROM v_pairs")
 def cer(spark, sf):
-    return S.pairs(spark, sf).select("doc_id", r6(X.cer("ref", "hyp"), "cer"))
+    return S.pairs(spark, sf).select("doc_id", "piece", r6(X.cer("ref", "hyp"), "cer"))
 
 
 @query("udaf_edit_rate", f"SELECT lang, round(avg(e / n), 6) mean_wer, round(sum(e) / sum(n), 6) micro_wer FROM (SELECT lang, {WER} e, len(r) n FROM v_coded) GROUP BY lang")
 def udaf_edit_rate(spark, sf):
-    p = S.pairs(spark, sf).select("lang", X.word_edits(X.word_list(F.col("ref")), X.word_list(F.col("hyp"))).alias("e"), F.size(X.word_list(F.col("ref"))).alias("n"))
+    p = S.pairs(spark, sf).select("lang", X.edits(X.word_list(F.col("ref")), X.word_list(F.col("hyp"))).alias("e"), F.size(X.word_list(F.col("ref"))).alias("n"))
     return round_doubles(p.groupBy("lang").agg(F.avg(F.col("e") / F.col("n")).alias("mean_wer"), (F.sum("e") / F.sum("n")).alias("micro_wer")))
 
 
-@query("truncation_side", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND length(ref) - length(ref[1:20]) >= 2 THEN 'b' WHEN doc_id % 4 = 2 AND length(ref) - length(ref[1:20]) >= 2 THEN 'a' END side FROM v_pairs")
+@query("truncation_side", "SELECT doc_id, piece, CASE WHEN doc_id % 4 = 1 AND length(ref) - length(ref[1:20]) >= 2 THEN 'b' WHEN doc_id % 4 = 2 AND length(ref) - length(ref[1:20]) >= 2 THEN 'a' END side FROM v_pairs")
 def truncation_side(spark, sf):
     m, cut = F.col("doc_id") % 4, F.substring("ref", 1, 20)
     a, b = F.when(m == 2, cut).otherwise(F.col("ref")), F.when(m == 1, cut).when(m == 3, F.concat(F.lit("x"), cut)).otherwise(F.col("ref"))
-    return S.pairs(spark, sf).select("doc_id", X.truncated_side(a, b).alias("side"))
+    return S.pairs(spark, sf).select("doc_id", "piece", X.truncated_side(a, b).alias("side"))
+
+
+S.SQL["v_agree"] = """SELECT *, CASE WHEN a <> b AND starts_with(b, a) AND length(b) - length(a) >= 2 THEN 'a' WHEN a <> b AND starts_with(a, b) AND length(a) - length(b) >= 2 THEN 'b' END side
+FROM (SELECT doc_id, piece, ref b, CASE WHEN doc_id % 4 = 0 THEN left(ref, greatest(length(ref) - 3, 0)) WHEN doc_id % 4 = 1 THEN ref || ' more' WHEN doc_id % 4 = 2 THEN hyp ELSE ref END a FROM v_pairs)"""
 
 
-@query("text_agreement", "SELECT count(*) pairs, round(count_if(ref = hyp) / count(*), 6) equal_rate, count_if(ref <> hyp AND starts_with(hyp, ref) AND length(hyp) - length(ref) >= 2) truncated_a, count_if(ref <> hyp AND starts_with(ref, hyp) AND length(ref) - length(hyp) >= 2) truncated_b FROM v_pairs")
+@query("text_agreement", """
+SELECT count(*) pairs, round(count_if(a = b) / count(*), 6) equal_rate, count_if(side = 'a') truncated_a, count_if(side = 'b') truncated_b, (SELECT string_agg(doc_id || ':' || piece || ':' || side || ':' || md5(a), ',' ORDER BY doc_id, piece) FROM (SELECT * FROM v_agree WHERE side IS NOT NULL ORDER BY doc_id, piece LIMIT 10)) examples FROM v_agree""")
 def text_agreement(spark, sf):
-    side = X.truncated_side("ref", "hyp")
-    g = S.pairs(spark, sf).agg(F.count("*").alias("pairs"), (F.count_if(F.col("ref") == F.col("hyp")) / F.count("*")).alias("equal_rate"), F.count_if(F.coalesce(side == "a", F.lit(False))).alias("truncated_a"), F.count_if(F.coalesce(side == "b", F.lit(False))).alias("truncated_b"))
-    return round_doubles(g)
+    """How often two recognisers agree, how often one cuts its text short, and the first ten such pairs."""
+    m, ref = F.col("doc_id") % 4, F.col("ref")
+    a = F.when(m == 0, F.substring(ref, F.lit(1), F.greatest(F.length(ref) - 3, F.lit(0)))).when(m == 1, F.concat(ref, F.lit(" more"))).when(m == 2, F.col("hyp")).otherwise(ref)
+    p = S.pairs(spark, sf).select("doc_id", "piece", a.alias("a"), ref.alias("b"))
+    p = p.withColumn("side", X.truncated_side("a", "b"))
+    g = p.agg(F.count("*").alias("pairs"), (F.count_if(F.col("a") == F.col("b")) / F.count("*")).alias("equal_rate"), F.count_if(F.coalesce(F.col("side") == "a", F.lit(False))).alias("truncated_a"), F.count_if(F.coalesce(F.col("side") == "b", F.lit(False))).alias("truncated_b"))
+    return C.with_examples(p.filter("side is not null"), round_doubles(g), ["doc_id", "piece"], [F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("side"), F.md5(F.col("a").cast("binary"))], 10)
 
 
 SHORT = r"CASE WHEN trim(text) = '' THEN false WHEN regexp_matches(trim(text), '[。！？.!?]$') THEN false WHEN regexp_matches(trim(text), '\s') THEN false ELSE length(trim(text)) <= 4 END"
@@ -405,6 +448,20 @@ def chunk_array(spark, sf):
     return c.select("clip", "chunk", r6(F.get("w", F.lit(0)), "first"), F.size("w").alias("n"))
 
 
+@query("fixed_sample_windows", "SELECT clip, k place, round(list_sum([coalesce(samples[k * 10 + j], 0) FOR j IN generate_series(1, 10)]), 6) + 0.0 total, 10 AS n FROM (SELECT clip, samples, unnest(range(7)) k FROM v_audio)")
+def fixed_sample_windows(spark, sf):
+    """Windows of ten samples one after the other, the last one padded with zeros."""
+    w = S.audio(spark, sf).select("clip", F.posexplode(A.padded_windows("samples", 10)).alias("place", "w"))
+    return w.select("clip", "place", r6(A.total("w"), "total"), F.size("w").alias("n"))
+
+
+@query("overlapping_sample_frames", "SELECT clip, k frame, round(list_sum(samples[k * 8 + 1:k * 8 + 16]), 6) + 0.0 total FROM (SELECT clip, samples, unnest(range(7)) k FROM v_audio)")
+def overlapping_sample_frames(spark, sf):
+    """Whole frames of 16 samples every 8: half overlapped, as 32 ms every 16 ms are."""
+    w = S.audio(spark, sf).select("clip", F.posexplode(A.overlapping_frames("samples", 16, 8)).alias("frame", "w"))
+    return w.select("clip", "frame", r6(A.total("w"), "total"))
+
+
 @query("mixed_manifest_row", """
 SELECT m.doc_id, m.vec_id, 'doc' || m.doc_id || '_snr' || CASE WHEN snr = floor(snr) THEN CAST(snr::INT AS VARCHAR) ELSE printf('%.1f', snr) END || '_c' || e.label || '.wav' AS path, 'noisy_speech' AS label, snr::DOUBLE snr_db, md5(d.text) reference_md5, 'c' || e.label subtype FROM v_mixpairs m JOIN documents d USING (doc_id) JOIN embeddings e USING (vec_id)""")
 def mixed_manifest_row(spark, sf):

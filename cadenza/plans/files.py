@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 
 from cadenza.operators import align, calibration, joins
 from cadenza.plans import suite as S
-from cadenza.plans.aggregates import GRID
+from cadenza.plans.aggregates import COUNTS, GRID, METRICS, RATES
 from cadenza.plans.columns import STAMP
 from cadenza.plans.rows import label_lines
 from cadenza.plans.suite import query, r6, round_doubles, table
-from cadenza.runtime import scratch_path
+from cadenza.runtime import few, scratch_path
 from cadenza.sources import readers as R
 from cadenza.sources import writers as Wr
 
@@ -58,18 +58,18 @@ def scan_sweep_csv(spark, sf):
 
 
 def transcript_lines(spark, sf, key, separator):
-    text = F.translate(F.substring("text", 1, 50), "\n:", "  ")
+    text = F.translate("text", "\n:", "  ")
     line = F.when(F.col("doc_id") % 10 == 0, "noseparator").otherwise(F.concat(key, F.lit(separator), text))
     return table(spark, sf, "documents").select(line.alias("value"))
 
 
-@query("scan_transcripts_colon", "SELECT 'U' || doc_id utt_id, trim(translate(text[1:50], chr(10) || ':', '  ')) AS text FROM documents WHERE doc_id % 10 <> 0")
+@query("scan_transcripts_colon", "SELECT 'U' || doc_id utt_id, trim(translate(text, chr(10) || ':', '  ')) AS text FROM documents WHERE doc_id % 10 <> 0")
 def scan_transcripts_colon(spark, sf):
     lines = transcript_lines(spark, sf, F.concat(F.lit("U"), F.col("doc_id").cast("string")), ":")
     return R.read_transcripts(spark, as_text(spark, lines, "transcripts"), ":")
 
 
-@query("scan_transcripts_space", "SELECT doc_id % 7 || '-' || doc_id % 3 || '-' || doc_id utt_id, doc_id % 7 speaker, trim(translate(text[1:50], chr(10) || ':', '  ')) AS text FROM documents WHERE doc_id % 10 <> 0")
+@query("scan_transcripts_space", "SELECT doc_id % 7 || '-' || doc_id % 3 || '-' || doc_id utt_id, doc_id % 7 speaker, trim(translate(text, chr(10) || ':', '  ')) AS text FROM documents WHERE doc_id % 10 <> 0")
 def scan_transcripts_space(spark, sf):
     m = F.col("doc_id")
     key = F.concat_ws("-", (m % 7).cast("string"), (m % 3).cast("string"), m.cast("string"))
@@ -102,7 +102,7 @@ def scan_window_probabilities(spark, sf):
 
 @query("scan_corpus_html", r"""
 WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') t FROM pages)
-SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM x""")
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM x""")
 def scan_corpus_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(R.page_text(F.col("html")).cast("binary")).alias("digest"))
 
@@ -162,11 +162,33 @@ def sink_manifest_upsert(spark, sf):
     return counts.withColumn("total", F.lit(total).cast("long"))
 
 
-@query("sink_report_json")
+REPORTED = ["threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "youden_j", "false_reject_rate"]
+
+
+def _report_sql() -> str:
+    """Twin of the report's rows: (part, key, value, and the fields of REPORTED)."""
+    names = ", ".join(f'"{c}"' for c in REPORTED)
+    none = ", ".join(f'NULL::DOUBLE "{c}"' for c in REPORTED)
+    long = "SELECT label, signal, 'lang' AS key, coalesce(lang, '__none__') AS value FROM v_samples UNION ALL SELECT label, signal, 'snr', coalesce(CAST(snr AS VARCHAR), '__none__') FROM v_samples"
+    cast = ", ".join(f'"{c}"::DOUBLE "{c}"' for c in REPORTED)
+    return f"""WITH sw AS (SELECT threshold, tp, fp, tn, fn, {METRICS} FROM v_sweep), long AS ({long}),
+c AS (SELECT key, value, threshold, {COUNTS} FROM (SELECT *, label = 'non_speech' pos, signal < threshold rej FROM long, v_grid WHERE signal IS NOT NULL) GROUP BY key, value, threshold), br AS (SELECT key, value, threshold, tp, fp, tn, fn, {METRICS} FROM (SELECT *, {RATES} FROM c))
+SELECT 'sweep' part, NULL AS key, NULL AS value, NULL::BIGINT n, {cast} FROM sw
+UNION ALL SELECT 'recommended', NULL, NULL, NULL, {names} FROM (SELECT * FROM sw ORDER BY f1 DESC, threshold LIMIT 1)
+UNION ALL SELECT 'samples', NULL, label, count(*), {none} FROM v_samples GROUP BY label
+UNION ALL SELECT 'value_counts', key, value, count(*), {none} FROM long GROUP BY key, value
+UNION ALL SELECT 'breakdown', key, value, NULL, {names} FROM br"""
+
+
+@query("sink_report_json", _report_sql())
 def sink_report_json(spark, sf):
+    """The report is written as JSON; its rows are what a reader of the file finds."""
     s = S.samples(spark, sf)
-    sweep = calibration.threshold_sweep(s, GRID)
-    return Wr.report(sweep, calibration.recommended(sweep), s.groupBy("label").agg(F.count("*").alias("n")))
+    keys = ["lang", "snr"]
+    sweep, parts = round_doubles(calibration.threshold_sweep(s, GRID)), round_doubles(calibration.breakdown(s, keys, GRID))
+    path = scratch_path(spark, "report")
+    Wr.report(sweep, calibration.recommended(sweep), s.groupBy("label").agg(F.count("*").alias("n")), parts, Wr.value_counts(s, keys)).write.text(path)
+    return R.read_report(spark, path, REPORTED)
 
 
 @query("sink_comparison_table", """
@@ -183,24 +205,34 @@ def sink_comparison_table(spark, sf):
 # alignment ------------------------------------------------------------------------------------------
 
 K = 16
-S.SQL["v_lang"] = "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'es' END lang, text FROM benchmark"
+S.SQL["v_lang"] = "SELECT lang, min(item_id) rid, string_agg(text, ' ' ORDER BY item_id) AS text FROM (SELECT *, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'es' END lang FROM benchmark) GROUP BY lang"
+S.SQL["v_said"] = r"SELECT doc_id tid, lang, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(text[1:doc_id % 40], '^\s+|\s+$', '', 'g') ELSE '' END AS text FROM documents"
 
 
 def aligned(spark, sf):
+    """Transcripts (whole documents, short beginnings, silent ones), and one reference a language: its items one after the other."""
     ref_lang = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "fr").otherwise("es")
-    refs = table(spark, sf, "benchmark").select(F.col("item_id").alias("rid"), ref_lang.alias("lang"), "text")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", "text"), refs
+    items = table(spark, sf, "benchmark").select("item_id", ref_lang.alias("lang"), "text")
+    refs = items.groupBy("lang").agg(F.min("item_id").alias("rid"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    m = F.col("doc_id") % 3
+    text = F.when(m == 0, F.col("text")).when(m == 1, F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 40).cast("int"))).otherwise("")
+    return S.dealt(spark, table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", text.alias("text"))), refs
 
 
 @query("alignment_coverage", f"""
-WITH a AS (SELECT doc_id tid, lang, i, text[i + 1:i + {K}] g FROM (SELECT doc_id, lang, text, unnest(range(length(text) - {K - 1})) i FROM documents)),
-b AS (SELECT item_id rid, lang, j, text[j + 1:j + {K}] g FROM (SELECT item_id, lang, text, unnest(range(length(text) - {K - 1})) j FROM v_lang)),
-m AS (SELECT tid, rid, i, j, i - row_number() OVER (PARTITION BY tid, rid, i - j ORDER BY i) q FROM a JOIN b USING (lang, g)),
-r AS (SELECT tid, rid, min(i) i, min(j) j, count(*) + {K - 1} size FROM m GROUP BY tid, rid, i - j, q)
-SELECT tid, rid, r.i, r.j, size, round(size / length(d.text), 6) coverage FROM (SELECT *, row_number() OVER (PARTITION BY tid, rid ORDER BY size DESC, i, j) o FROM r) r JOIN documents d ON doc_id = tid WHERE o = 1""")
+WITH d AS (SELECT tid, s.lang, s.text, rid, r.text ref FROM v_said s JOIN v_lang r USING (lang)),
+a AS (SELECT tid, lang, o + i i, part[i + 1:i + {K}] g FROM (SELECT *, unnest(range(least(512, length(part) - {K - 1}))) i FROM (SELECT tid, lang, o, text[o + 1:o + 512 + {K - 1}] part FROM (SELECT tid, lang, text, unnest(range(0, length(text), 512)) AS o FROM d)))),
+b AS (SELECT lang, j, text[j + 1:j + {K}] g FROM (SELECT lang, text, unnest(range(length(text) - {K - 1})) j FROM v_lang)),
+m AS (SELECT tid, i, j, i - row_number() OVER (PARTITION BY tid, i - j ORDER BY i) q FROM a JOIN b USING (lang, g)),
+long AS (SELECT tid, min(i) i, count(*) + {K - 1} size FROM m GROUP BY tid, i - j, q),
+sg AS (SELECT DISTINCT lang, n, text[j + 1:j + n] g FROM (SELECT lang, text, n, unnest(range(length(text) - n + 1)) j FROM v_lang, (SELECT unnest(range(1, {K})) n))),
+rest AS (SELECT tid, lang, o, text[o + 1:o + 512 + {K}] part FROM (SELECT tid, lang, text, unnest(range(0, length(text), 512)) AS o FROM d WHERE tid NOT IN (SELECT tid FROM long))),
+sh AS (SELECT tid, i, n size FROM (SELECT tid, lang, n, o + i i, part[i + 1:i + n] g FROM (SELECT *, unnest(range(least(512, length(part) - n + 1))) i FROM rest, (SELECT unnest(range(1, {K})) n))) JOIN sg USING (lang, n, g)),
+best AS (SELECT tid, arg_min(i, (-size, i)) i, max(size) size FROM (SELECT * FROM long UNION ALL SELECT * FROM sh) GROUP BY tid)
+SELECT d.tid, rid, CAST(i AS INT) i, CAST(strpos(ref, text[i + 1:i + size]) - 1 AS INT) j, CAST(size AS INT) size, round(coalesce(size / length(text), 0), 6) coverage FROM d LEFT JOIN best USING (tid)""")
 def alignment_coverage(spark, sf):
     t, r = aligned(spark, sf)
-    return round_doubles(align.longest_common(t, r, ["lang"], K).select("tid", "rid", "i", "j", "size", "coverage"))
+    return round_doubles(align.longest_common(t, r, "lang").select("tid", "rid", "i", "j", "size", "coverage"))
 
 
 @query("join_alignment_reference", """
@@ -208,10 +240,11 @@ SELECT count(*) total, count_if(lang NOT IN ('en', 'fr', 'es')) skipped_no_langu
 count_if(lang IN ('en', 'fr', 'es') AND doc_id % 9 <> 0 AND quality IS NULL) updated FROM documents LEFT JOIN labels USING (doc_id)""")
 def join_alignment_reference(spark, sf):
     """Counters of a re-alignment: by the language's reference, then the text, then what was done before."""
-    t, r = aligned(spark, sf)
+    _, r = aligned(spark, sf)
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", "text")
     done = table(spark, sf, "labels").select(F.col("doc_id").alias("tid"), F.lit(True).alias("done"))
     t = t.withColumn("text", F.when(F.col("tid") % 9 != 0, F.col("text")))
-    x = t.join(F.broadcast(r.select("lang").distinct().withColumn("known", F.lit(True))), "lang", "left").join(done, "tid", "left")
+    x = t.join(few(r.select("lang").distinct().withColumn("known", F.lit(True))), "lang", "left").join(done, "tid", "left")
     known, text, old = F.col("known").isNotNull(), F.trim(F.coalesce("text", F.lit(""))) != "", F.col("done").isNotNull()
     return x.agg(F.count("*").alias("total"), F.count_if(~known).alias("skipped_no_language_match"), F.count_if(known & ~text).alias("skipped_no_transcribed_text"), F.count_if(known & text & old).alias("skipped_already_done"), F.count_if(known & text & ~old).alias("updated"))
 

@@ -11,6 +11,7 @@ from cadenza.operators import gates as G
 from cadenza.operators import joins as J
 from cadenza.plans import suite as S
 from cadenza.plans.suite import query, r6, round_doubles, table
+from cadenza.runtime import few
 
 # UI events: raw JSON made from the events table -----------------------------------------------------
 
@@ -183,7 +184,7 @@ def category_filter(spark, sf):
 
 S.SQL["v_log"] = "SELECT source_id, turn, text, row_number() OVER (PARTITION BY source_id ORDER BY turn) - 1 occurrence FROM v_utt WHERE turn % 4 <> 3"
 S.SQL["v_labels"] = """
-SELECT source_id * 1000 + turn line_no, source_id, CASE turn % 5 WHEN 0 THEN 'speech' WHEN 1 THEN 'non_speech' WHEN 2 THEN 'noisy_speech' WHEN 3 THEN 'odd' ELSE 'speech' END AS label,
+SELECT source_id * 1000000000 + turn line_no, source_id, CASE turn % 5 WHEN 0 THEN 'speech' WHEN 1 THEN 'non_speech' WHEN 2 THEN 'noisy_speech' WHEN 3 THEN 'odd' ELSE 'speech' END AS label,
  CASE WHEN source_id % 4 = 1 THEN text END AS text, CASE WHEN source_id % 4 = 2 THEN turn // 2 END AS occurrence_index FROM v_utt WHERE source_id % 4 <> 0"""
 
 
@@ -196,7 +197,7 @@ def observed(spark, sf):
 def label_lines(spark, sf):
     u, m = S.utterances(spark, sf).filter("source_id % 4 != 0"), F.col("source_id") % 4
     label = F.element_at(F.lit(["speech", "non_speech", "noisy_speech", "odd", "speech"]), (F.col("turn") % 5 + 1).cast("int"))
-    return u.select((F.col("source_id") * 1000 + F.col("turn")).alias("line_no"), "source_id", label.alias("label"), F.when(m == 1, F.col("text")).alias("text"), F.when(m == 2, F.floor(F.col("turn") / 2)).alias("occurrence_index"))
+    return u.select((F.col("source_id") * 1_000_000_000 + F.col("turn")).alias("line_no"), "source_id", label.alias("label"), F.when(m == 1, F.col("text")).alias("text"), F.when(m == 2, F.floor(F.col("turn") / 2)).alias("occurrence_index"))
 
 
 @query("join_label_cascade", """
@@ -210,10 +211,10 @@ def join_label_cascade(spark, sf):
 
 def measured(spark, sf, cut):
     d = S.samples(spark, sf)
-    return d.select(F.col("doc_id").alias("path"), "label", (F.col("doc_id") % cut == 0).alias("error"), F.substring("text", 1, 40 + cut).alias("text"), "doc_id")
+    return d.select(F.col("doc_id").alias("path"), "label", (F.col("doc_id") % cut == 0).alias("error"), F.concat("text", F.lit(f" {cut}")).alias("text"), "doc_id")
 
 
-@query("join_pairwise_by_path", "SELECT doc_id AS path, text[1:51] text_a, text[1:53] text_b FROM v_samples WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND label <> 'non_speech'")
+@query("join_pairwise_by_path", "SELECT doc_id AS path, text || ' 11' text_a, text || ' 13' text_b FROM v_samples WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND label <> 'non_speech'")
 def join_pairwise_by_path(spark, sf):
     b = measured(spark, sf, 13)
     twice = b.unionByName(b.withColumns({"doc_id": F.col("doc_id") - 1_000_000, "text": F.lit("stale")}))
@@ -276,7 +277,7 @@ def join_preset_lookup(spark, sf):
 @query("join_language_candidates", "SELECT lang, engine_id, count(*) n FROM documents JOIN (SELECT engine_id, unnest(languages) lang FROM v_engines) USING (lang) GROUP BY lang, engine_id")
 def join_language_candidates(spark, sf):
     e = S.engines(spark).select("engine_id", F.explode("languages").alias("lang"))
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).join(F.broadcast(e), "lang").select("lang", "engine_id", "n")
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).join(few(e), "lang").select("lang", "engine_id", "n")
 
 
 # sorts, top rows, samples ---------------------------------------------------------------------------

@@ -16,21 +16,29 @@ from cadenza.streaming import jobs as J
 CONFIG = G.VadConfig(min_speech_ms=96, min_silence_ms=96, speech_pad_ms=160, max_speech_ms=960)
 
 # mode 0 silence, 1 potential, 2 speech, 3 ending; fin: a segment (start, ts) ends with this row
-VAD_SQL = """
+def machine_sql(loud: int, quiet: int, pad: int, held: int | None = None, interim: tuple[int, int] | None = None) -> str:
+    """Recursive SQL of the state machine with its counts in frames; held is the longest segment, interim the least new frames and milliseconds of a provisional row."""
+    over = f"was = 2 AND held * 32 >= {held * 32}" if held else "false"
+    tell = f"was = 2 AND NOT fin AND (held - told) * 32 >= {interim[0] * 32} AND (ts - told_at) * 1000 >= {interim[1]}" if interim else "false"
+    keep = lambda c, none: f"CASE WHEN fin OR dead THEN {none} ELSE {c} END"
+    return f"""
 f AS (SELECT source_id, frame_idx, p >= 0.5 sp, ts_s, frame_idx = max(frame_idx) OVER (PARTITION BY source_id) last FROM v_frames),
-m(source_id, i, mode, pre, loud, quiet, start, held, fin, fin_start, ts, last) AS (
- SELECT DISTINCT source_id, -1::BIGINT, 0, 0, 0, 0, 0.0::DOUBLE, 0, false, 0.0::DOUBLE, 0.0::DOUBLE, false FROM f
+m(source_id, i, mode, pre, loud, quiet, start, held, told_at, told, fin, tells, fin_start, ts, last) AS (
+ SELECT DISTINCT source_id, -1::BIGINT, 0, 0, 0, 0, 0.0::DOUBLE, 0, 0.0::DOUBLE, 0, false, false, 0.0::DOUBLE, 0.0::DOUBLE, false FROM f
  UNION ALL
- SELECT source_id, i, CASE WHEN fin OR dead THEN 0 ELSE mode END, CASE WHEN fin OR dead THEN 0 ELSE pre END, CASE WHEN fin OR dead THEN 0 ELSE loud END, CASE WHEN fin OR dead THEN 0 ELSE quiet END, CASE WHEN fin OR dead THEN 0 ELSE start END, CASE WHEN fin OR dead THEN 0 ELSE held END, fin, start, ts, last FROM (
-  SELECT *, (was = 3 AND NOT sp AND quiet >= 5) OR (was = 2 AND held * 32 >= 960) fin, was = 1 AND NOT sp AND quiet >= 3 dead FROM (
-   SELECT f.source_id, f.frame_idx i, m.mode was, f.sp, f.ts_s ts, f.last, CASE WHEN m.mode = 0 THEN least(m.pre + 1, 5) ELSE m.pre END pre,
-    CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN 1 ELSE 0 END WHEN m.mode = 1 THEN CASE WHEN f.sp AND m.loud + 1 >= 3 THEN 2 ELSE 1 END WHEN m.mode = 2 THEN CASE WHEN NOT f.sp AND m.quiet + 1 >= 3 THEN 3 ELSE 2 END ELSE CASE WHEN f.sp THEN 2 ELSE 3 END END mode,
+ SELECT source_id, i, {keep('mode', 0)}, {keep('pre', 0)}, {keep('loud', 0)}, {keep('quiet', 0)}, {keep('start', 0)}, {keep('held', 0)}, {keep('CASE WHEN tells THEN ts ELSE told_at END', 0)}, {keep('CASE WHEN tells THEN held ELSE told END', 0)}, fin, tells, start, ts, last FROM (
+  SELECT *, {tell} tells FROM (SELECT *, (was = 3 AND NOT sp AND quiet >= {pad}) OR ({over}) fin, was = 1 AND NOT sp AND quiet >= {quiet} dead FROM (
+   SELECT f.source_id, f.frame_idx i, m.mode was, f.sp, f.ts_s ts, f.last, m.told_at, m.told, CASE WHEN m.mode = 0 THEN least(m.pre + 1, {pad}) ELSE m.pre END pre,
+    CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN 1 ELSE 0 END WHEN m.mode = 1 THEN CASE WHEN f.sp AND m.loud + 1 >= {loud} THEN 2 ELSE 1 END WHEN m.mode = 2 THEN CASE WHEN NOT f.sp AND m.quiet + 1 >= {quiet} THEN 3 ELSE 2 END ELSE CASE WHEN f.sp THEN 2 ELSE 3 END END mode,
     CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN 1 ELSE 0 END WHEN m.mode = 1 AND f.sp THEN m.loud + 1 ELSE m.loud END loud, CASE WHEN m.mode = 0 OR f.sp THEN 0 ELSE m.quiet + 1 END quiet,
-    CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN greatest(0, f.ts_s - least(m.pre + 1, 5) * 0.032::DOUBLE) ELSE 0 END ELSE m.start END start, CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN least(m.pre + 1, 5) + 1 ELSE 0 END ELSE m.held + 1 END held
-   FROM m JOIN f ON f.source_id = m.source_id AND f.frame_idx = m.i + 1)))
+    CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN greatest(0, f.ts_s - least(m.pre + 1, {pad}) * 0.032::DOUBLE) ELSE 0 END ELSE m.start END start, CASE WHEN m.mode = 0 THEN CASE WHEN f.sp THEN least(m.pre + 1, {pad}) + 1 ELSE 0 END ELSE m.held + 1 END held
+   FROM m JOIN f ON f.source_id = m.source_id AND f.frame_idx = m.i + 1))))
 """
 
 
+VAD_SQL = machine_sql(3, 3, 5, 30)
+
+
 @query("vad_segments", f"WITH {VAD_SQL} SELECT source_id, round(fin_start, 6) start_time, round(ts, 6) end_time, true AS is_final FROM m WHERE fin UNION ALL SELECT source_id, round(start, 6), round(ts, 6), true FROM m WHERE last AND NOT fin AND mode > 0")
 def vad_segments(spark, sf):
     return round_doubles(G.vad_segments(S.frames(spark, sf), CONFIG))
@@ -46,7 +54,7 @@ def vad_segments_stream(spark, sf):
 INTERIM = G.VadConfig(min_speech_ms=96, min_silence_ms=320, speech_pad_ms=320, interim_min_ms=160, interim_interval_ms=160)
 
 
-@query("interim_updates")
+@query("interim_updates", f"WITH {machine_sql(3, 10, 10, None, (5, 160))} SELECT source_id, round(fin_start, 6) start_time, round(ts, 6) end_time, false AS is_final FROM m WHERE tells")
 def interim_updates(spark, sf):
     s = J.stream_of(spark, S.frames(spark, sf).select("source_id", "frame_idx", "ts_s", "p"), "frames")
     return round_doubles(J.run_available(J.vad_stream(s, INTERIM, interim=True), "interim")).filter("not is_final")
@@ -75,7 +83,10 @@ def utterance_coalesce(spark, sf):
     return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
 
 
-@query("coalesce_timeout")
+@query("coalesce_timeout", f"""
+WITH {coalesce_sql('v_utt')}, newest AS (SELECT floor(max(end_time) * 1000) ms FROM v_utt),
+told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL AND floor(h.e * 1000) + 2000 < (SELECT ms FROM newest) - 1000)
+SELECT source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged FROM told""")
 def coalesce_timeout(spark, sf):
     """The streaming coalescer: what is held leaves when the event clock passes its end and the window."""
     u = S.utterances(spark, sf).withColumn("ts", F.timestamp_millis((F.col("end_time") * 1000).cast("long")))
@@ -152,13 +163,15 @@ def session_segments(spark, sf):
     return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("late_data")
+@query("late_data", """
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) start, max(ts) OVER () newest FROM events) WHERE start + INTERVAL '1 hour' <= newest - INTERVAL '2 hours' GROUP BY ALL""")
 def late_data(spark, sf):
     """Hourly counts of a stream with a watermark: windows leave when it passes them, rows behind it are dropped."""
     e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     s = J.stream_of(spark, e, "events").withWatermark("ts", "2 hours")
     g = s.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return J.run_available(g.select(F.col("w.start").alias("start"), "n"), "late")
+    out = J.run_available(g.select(F.col("w.start").alias("start"), "n"), "late")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 # hooks ----------------------------------------------------------------------------------------------
@@ -175,18 +188,18 @@ def loudness_scorer():
     return score
 
 
-@query("hook_scorer")
+@query("hook_scorer", "SELECT clip, CASE WHEN quiet THEN '' WHEN total > 0 THEN 'loud' ELSE 'soft' END AS text, CASE WHEN NOT quiet THEN round(peak, 6) END confidence, CASE WHEN quiet THEN 'ValueError' END AS error FROM (SELECT clip, list_sum(samples) total, abs(list_sum(samples)) < 0.05 quiet, list_max([abs(x) FOR x IN samples]) peak FROM v_audio)")
 def hook_scorer(spark, sf):
     return round_doubles(H.with_scorer(S.audio(spark, sf).select("clip", "samples"), loudness_scorer, 64))
 
 
-@query("hook_segmenter")
+@query("hook_segmenter", "SELECT clip, h * 0.5::DOUBLE AS start, h * 0.5::DOUBLE + 0.5::DOUBLE AS end FROM v_audio, (SELECT unnest([0, 1]) h) WHERE samples[1] >= 0")
 def hook_segmenter(spark, sf):
     halves = lambda a, rate: [] if a[0] < 0 else [(0.0, len(a) / rate / 2), (len(a) / rate / 2, len(a) / rate)]
     return H.with_segmenter(S.audio(spark, sf).select("clip", "samples"), halves, 64).drop("samples")
 
 
-@query("hook_preprocessor")
+@query("hook_preprocessor", "SELECT clip, CASE WHEN samples[1] <= 0 THEN 'length changed' END AS error, CASE WHEN samples[1] > 0 THEN round(list_max([least(greatest(x, -0.1), 0.1) FOR x IN samples]), 6) + 0.0 END peak FROM v_audio")
 def hook_preprocessor(spark, sf):
     clip = lambda a: a.clip(-0.1, 0.1) if a[0] > 0 else a[:-1]
     out = H.with_preprocessor(S.audio(spark, sf).select("clip", "samples"), clip)
@@ -204,7 +217,7 @@ def hook_translator(spark, sf):
     return u.select("source_id", "turn", H.translated(F.col("text"), F.col("before"), "en", "ja", bracket_translator).alias("translated"))
 
 
-@query("hook_callbacks")
+@query("hook_callbacks", "SELECT source_id, turn, confidence >= 0.2 emitted FROM v_utt")
 def hook_callbacks(spark, sf):
     """Results and then settled rows of a stream, each batch, to two sinks."""
     from cadenza.runtime import scratch_path

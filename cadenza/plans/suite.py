@@ -77,17 +77,20 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["v_utt"] = """
-SELECT source_id, turn, text, start_time, start_time + 0.1::DOUBLE * length(text) end_time, 1 / (1 + turn) confidence, CASE WHEN source_id % 2 = 0 THEN 'en' END AS language, turn % 4 <> 3 is_final, role
-FROM (SELECT conv_id source_id, turn, array_to_string(string_split(text, ' ')[1:1 + turn % 3], ' ') AS text, turn * 3.0::DOUBLE start_time, role FROM conversations)
+SELECT source_id, turn, text, start_time, start_time + 0.1::DOUBLE * length(text) end_time, 1 / (1 + turn % 100) confidence, CASE WHEN source_id % 2 = 0 THEN 'en' END AS language, turn % 4 <> 3 is_final, role
+FROM (SELECT source_id, t * 100000 + j turn, array_to_string(w[j * s + 1:j * s + s], ' ') AS text, t * 300000.0::DOUBLE + j * 3.0::DOUBLE start_time, role
+ FROM (SELECT conv_id source_id, turn t, role, 1 + turn % 3 s, string_split(text, ' ') w, unnest(range((len(string_split(text, ' ')) + turn % 3) // (1 + turn % 3))) j FROM conversations))
 """
 
 
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    """Recognised utterances: the first words of a turn, at most three."""
-    c = table(spark, sf, "conversations")
-    text = F.array_join(F.slice(F.split("text", " "), F.lit(1), (1 + F.col("turn") % 3).cast("int")), " ")
-    c = c.select(F.col("conv_id").alias("source_id"), "turn", text.alias("text"), (F.col("turn") * 3.0).alias("start_time"), "role")
-    return c.select("*", (F.col("start_time") + 0.1 * F.length("text")).alias("end_time"), (1 / (1 + F.col("turn"))).alias("confidence"), F.when(F.col("source_id") % 2 == 0, "en").alias("language"), (F.col("turn") % 4 != 3).alias("is_final"))
+    """Recognised utterances: every turn in pieces of one to three words, three seconds apart; turns lie far apart."""
+    size = (1 + F.col("turn") % 3).cast("int")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("t"), "role", size.alias("s"), F.split("text", " ").alias("w"))
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / F.col("s")).cast("int")), lambda j: F.array_join(F.slice("w", j * F.col("s") + 1, F.col("s")), " ")))
+    c = c.select("source_id", "t", "role", pieces.alias("j", "text"))
+    c = c.select("source_id", (F.col("t") * 100_000 + F.col("j")).cast("long").alias("turn"), "text", (F.col("t") * 300_000.0 + F.col("j") * 3.0).alias("start_time"), "role")
+    return c.select("*", (F.col("start_time") + 0.1 * F.length("text")).alias("end_time"), (1 / (1 + F.col("turn") % 100)).alias("confidence"), F.when(F.col("source_id") % 2 == 0, "en").alias("language"), (F.col("turn") % 4 != 3).alias("is_final"))
 
 
 SQL["v_results"] = """
@@ -143,16 +146,24 @@ def class_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["v_pairs"] = r"""
-SELECT doc_id, lang, source, array_to_string(w, ' ') ref, array_to_string(flatten([CASE WHEN i % 7 = 0 THEN [] WHEN i % 11 = 0 THEN [w[i], w[i]] ELSE [w[i]] END FOR i IN generate_series(1, len(w))]), ' ') hyp
-FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+')[1:60] w FROM documents) WHERE len(w) > 0
+SELECT doc_id, piece, lang, source, array_to_string(w, ' ') ref, array_to_string(flatten([CASE WHEN i % 7 = 0 THEN [] WHEN i % 11 = 0 THEN [w[i], w[i]] ELSE [w[i]] END FOR i IN generate_series(1, len(w))]), ' ') hyp
+FROM (SELECT doc_id, lang, source, piece, ws[piece * 60 + 1:piece * 60 + 60] w FROM (SELECT doc_id, lang, source, ws, unnest(range((len(ws) + 59) // 60)) piece FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+') ws FROM documents)))
 """
 
 
+def dealt(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df on all cores before costly work on its rows: a table of fewer splits than cores is dealt evenly, others stay as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(4 * cores)
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference and hypothesis: 60 words, of which every 7th is dropped and every other 11th doubled."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 60).alias("w")).filter(F.size("w") > 0)
+    """Reference and hypothesis of every utterance of 60 words that a document holds; in the hypothesis every 7th word is dropped and every other 11th doubled."""
+    d = dealt(spark, table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
+    d = d.select("doc_id", "lang", "source", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("ws")).filter(F.size("ws") > 0)
+    d = d.select("doc_id", "lang", "source", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws"), F.lit(60)), lambda i: F.slice("ws", i, 60))).alias("piece", "w"))
     hyp = F.flatten(F.transform("w", lambda x, i: F.when((i + 1) % 7 == 0, F.array().cast("array<string>")).when((i + 1) % 11 == 0, F.array(x, x)).otherwise(F.array(x))))
-    return d.select("doc_id", "lang", "source", F.array_join("w", " ").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+    return d.select("doc_id", F.col("piece").cast("long").alias("piece"), "lang", "source", F.array_join("w", " ").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
 SQL["v_signals"] = """

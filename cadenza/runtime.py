@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(cores: str = "8", app: str = "cadenza") -> SparkSession:
@@ -24,12 +25,18 @@ def session(cores: str = "8", app: str = "cadenza") -> SparkSession:
     )
 
 
+#: Rows up to which a side of a join is broadcast, by count.
+BROADCAST_ROWS = 100_000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) takes one of its own; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "cadenza-scratch")
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "cadenza-scratch", spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,3 +50,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast df if a count of at most rows + 1 of its rows says it is small; else the join is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

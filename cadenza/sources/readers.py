@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABELS = ("speech", "non_speech", "noisy_speech")
 
@@ -89,14 +93,33 @@ def long_probabilities(windows: DataFrame) -> DataFrame:
     return windows.select("clip", "win", F.posexplode("probs").alias("class", "probability"))
 
 
-#: The character entities that are unescaped.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def page_text(html: Column) -> Column:
+def read_report(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
+    """Rows of sweep reports: (part, key, value, n, *metrics) of the sweep, the recommended row, the sample counts and the breakdown."""
+    row = "struct<" + ", ".join(f"{m}: double" for m in metrics) + ">"
+    schema = f"samples map<string, long>, recommended {row}, sweep array<{row}>, breakdown map<string, struct<value_counts: map<string, long>, sweep_by_value: map<string, array<{row}>>>>"
+    r = spark.read.schema(schema).json(path)
+    none = F.lit(None).cast("string")
+    values = lambda c: [F.col(f"{c}.{m}").alias(m) for m in metrics]
+    empty = [F.lit(None).cast("double").alias(m) for m in metrics]
+    at = lambda part, key, value, n: [F.lit(part).alias("part"), key.alias("key"), value.alias("value"), n.cast("long").alias("n")]
+    b = r.select(F.explode("breakdown").alias("key", "b"))
+    return (
+        r.select(F.explode("sweep").alias("s")).select(*at("sweep", none, none, none), *values("s"))
+        .union(r.select(*at("recommended", none, none, none), *values("recommended")))
+        .union(r.select(F.explode("samples").alias("v", "c")).select(*at("samples", none, F.col("v"), F.col("c")), *empty))
+        .union(b.select("key", F.explode("b.value_counts").alias("v", "c")).select(*at("value_counts", F.col("key"), F.col("v"), F.col("c")), *empty))
+        .union(b.select("key", F.explode("b.sweep_by_value").alias("v", "xs")).select("key", "v", F.explode("xs").alias("s")).select(*at("breakdown", F.col("key"), F.col("v"), none), *values("s")))
+    )
+
+
+@F.pandas_udf(T.StringType())
+def unescape(s: pd.Series) -> pd.Series:
+    """Character entities as HTML defines them, named and numeric, for which Spark has no function."""
+    return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+
+def page_text(page: Column) -> Column:
     """A page's text: no scripts, styles or tags, entities unescaped, white space collapsed."""
-    c = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    c = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for k, v in ENTITIES.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(unescape(c), r"(?U)\s+", " "))

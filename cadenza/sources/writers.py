@@ -35,12 +35,32 @@ def write_results(results: DataFrame, path: str) -> None:
     result_rows(results).write.partitionBy("engine", "language").option("header", True).csv(path)
 
 
-def report(sweep: DataFrame, recommended: DataFrame, counts: DataFrame) -> DataFrame:
-    """One JSON row: counts by label, the recommended row and the sweep in order of threshold. The grid bounds its size."""
-    s = sweep.agg(F.array_sort(F.collect_list(F.struct("threshold", *[c for c in sweep.columns if c != "threshold"]))).alias("sweep"), F.lit(1).alias("k"))
-    c = counts.agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("samples"), F.lit(1).alias("k"))
-    r = recommended.select(F.struct(*recommended.columns).alias("recommended"), F.lit(1).alias("k"))
-    return s.join(c, "k").join(r, "k").select(F.to_json(F.struct("samples", "recommended", "sweep")).alias("report"))
+def value_counts(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value, n): samples by value of each key; a missing value is ``__none__``."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("__none__")).alias("value")) for k in keys)))
+    return samples.select(pairs.alias("kv")).groupBy("kv.key", "kv.value").agg(F.count("*").alias("n"))
+
+
+def report(sweep: DataFrame, recommended: DataFrame, counts: DataFrame, breakdown: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """One JSON row: counts by label, the recommended row, the sweep in order of threshold, and the breakdown map.
+
+    breakdown (key, value, threshold, ...) and values (key, value, n) give for every key its value counts and
+    the sweep of each value. Grid and values bound the size.
+    """
+    metrics = ["threshold", *[c for c in sweep.columns if c != "threshold"]]
+    in_order = F.array_sort(F.collect_list(F.struct(*metrics)))
+    one = F.lit(1).alias("k")
+    s = sweep.agg(in_order.alias("sweep"), one)
+    c = counts.agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("samples"), one)
+    r = recommended.select(F.struct(*metrics).alias("recommended"), one)
+    parts = ["samples", "recommended", "sweep"]
+    out = s.join(c, "k").join(r, "k")
+    if breakdown is not None and values is not None:
+        each = breakdown.groupBy("key", "value").agg(in_order.alias("rows")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "rows"))).alias("sweep_by_value"))
+        n = values.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("value_counts"))
+        b = n.join(each, "key", "left").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("key", "value_counts", "sweep_by_value")))).alias("breakdown"), one)
+        out, parts = out.join(b, "k"), [*parts, "breakdown"]
+    return out.select(F.to_json(F.struct(*parts)).alias("report"))
 
 
 def comparison(studies: DataFrame, keys: list[str], fixed: list[str], names: list[str] | None = None) -> DataFrame:

@@ -103,6 +103,7 @@ def test_normal_forms(spark):
     assert one(spark, X.normalize_ja("t"), t=" こん、にちは。　世界「」") == "こんにちは世界"
     assert one(spark, X.normalize_ja("t", normalize_width=True), t="ＡＢＣ") == "ABC"
     assert one(spark, X.alignment_text("t"), t="カタカナ。ｶﾅ") == "かたかなかな"
+    assert one(spark, X.alignment_text("t"), t='カナ，テスト！（３匹）"a-b" Chapter 12') == "かなてすと三匹abChapter12"
     assert one(spark, X.normalize_generic("t"), t="¡Hola,  Señor!") == "hola señor"
 
 
@@ -134,7 +135,7 @@ def brute_edits(a, b):
 def test_word_edits_of_random_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [([f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))], [f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))]) for _ in range(60)]
-    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(X.word_edits(F.col("a"), F.col("b"))).collect()
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(X.edits(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [brute_edits(a, b) for a, b in rows]
 
 
@@ -149,8 +150,29 @@ def test_stamps(spark):
 
 
 def test_natural_order(spark):
-    d = spark.createDataFrame([("b2",), ("a10",), ("A9",), ("b10",)], "s string")
-    assert [r[0] for r in d.orderBy(X.natural_key("s")).collect()] == ["A9", "a10", "b2", "b10"]
+    long = ["x" + "9" * 20, "x1" + "0" * 20, "x007", "x8"]
+    d = spark.createDataFrame([(x,) for x in ["b2", "a10", "A9", "b10", *long]], "s string")
+    assert [r[0] for r in d.orderBy(X.natural_key("s")).collect()] == ["A9", "a10", "b2", "b10", "x007", "x8", "x" + "9" * 20, "x1" + "0" * 20]
+
+
+@pytest.mark.parametrize(("digits", "kanji"), [("0", "零"), ("3", "三"), ("10", "十"), ("21", "二十一"), ("100", "百"), ("1015", "千十五"), ("10000", "一万"), ("120300", "十二万三百"), ("100000000", "一億"), ("9" * 21, "9" * 21)])
+def test_kanji_numbers(digits, kanji):
+    assert X.kanji_number(digits) == kanji
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=40), st.text("ab c", max_size=40))
+def test_edit_distance(a, b):
+    assert X.edit_distance(a, b) == brute_edits(a, b) and X.edit_distance(a.split(), b.split()) == brute_edits(a.split(), b.split())
+
+
+def test_rates_of_whole_long_texts(spark):
+    """More distinct words than there are characters to name them by, and edits beyond any head of the text."""
+    ref = [f"w{i}" for i in range(70_000)]
+    hyp = ref[:60_000] + ["x"] + ref[60_001:69_990]
+    assert one(spark, X.wer("r", "h"), r=" ".join(ref), h=" ".join(hyp)) == pytest.approx(11 / 70_000)
+    assert one(spark, X.cer("r", "h"), r="a" * 30_000 + "b", h="a" * 30_000) == pytest.approx(1 / 30_001)
+    assert one(spark, X.wer("r", "h"), r=" ", h="a b") == 1.0 and one(spark, X.wer("r", "h"), r="", h="") == 0.0 and one(spark, X.cer("r", "h"), r="", h="") == 0.0
 
 
 def brute_common(a, b):
@@ -166,11 +188,20 @@ def brute_common(a, b):
 
 
 def test_longest_common(spark):
+    """Any length down to one character, ties, blank and null transcripts, a language without reference."""
     rng = np.random.default_rng(2)
-    word = lambda n: "".join("ab"[x] for x in rng.integers(0, 2, n))
-    t, r = [(i, "x", word(40)) for i in range(6)], [(i, "x", word(60)) for i in range(4)]
-    got = align.longest_common(spark.createDataFrame(t, "tid long, lang string, text string"), spark.createDataFrame(r, "rid long, lang string, text string"), ["lang"], 4)
-    assert {(x["tid"], x["rid"]): (x["size"], x["i"], x["j"]) for x in got.collect()} == {(a[0], b[0]): brute_common(a[2], b[2]) for a in t for b in r}
+    word = lambda n, letters="ab": "".join(letters[x] for x in rng.integers(0, len(letters), n))
+    t = [(i, "x", word(n)) for i, n in enumerate((40, 40, 3, 1, 25, 60))] + [(6, "x", word(9, "bz")), (7, "x", "zzz"), (8, "x", " "), (9, "x", None), (10, "y", "ab"), (11, "x", " 砂漠 ")]
+    r = [(i, "x", word(60)) for i in range(4)] + [(4, "x", "広い砂漠の町")]
+    got = {(g["tid"], g["rid"]): g for g in align.longest_common(spark.createDataFrame(t, "tid long, lang string, text string"), spark.createDataFrame(r, "rid long, lang string, text string"), "lang").collect()}
+    assert set(got) == {(a[0], b[0]) for a in t if a[1] == "x" for b in r}
+    for (tid, rid), g in got.items():
+        text, reference = (t[tid][2] or "").strip(), r[rid][2]
+        size, i, j = brute_common(text, reference)
+        want = (i, j, size, text[i : i + size], pytest.approx(size / len(text))) if size else (None, None, None, None, 0.0)
+        assert (g["i"], g["j"], g["size"], g["matched"], g["coverage"]) == want
+    with pytest.raises(ValueError):
+        align.longest_common(spark.createDataFrame(t, "tid long, lang string, text string"), spark.range(5).selectExpr("id rid", "'x' lang", f"repeat('a', {align.REFERENCE_CHARS // 4}) text"), "lang")
 
 
 # arrays -------------------------------------------------------------------------------------------
@@ -265,11 +296,14 @@ def random_frames(spark, seed, sources=6, n=400):
     return rows, spark.createDataFrame(rows, "source_id long, frame_idx long, ts_s double, p double")
 
 
+@pytest.mark.parametrize("size", [G.CELL, 47])
 @pytest.mark.parametrize("config", [QUICK, G.VadConfig(), G.VadConfig(speech_pad_ms=320, max_speech_ms=640)])
-def test_cut_sources_equal_whole_folds(spark, config):
+def test_cut_sources_equal_whole_folds(spark, config, size):
     rows, frames = random_frames(spark, 3)
     want = sorted((s, *map(float, seg[:2])) for s in range(6) for seg in machine([r[3] for r in rows if r[0] == s], config))
-    got = sorted((r["source_id"], r["start_time"], r["end_time"]) for r in G.vad_segments(frames.repartition(5), config).collect())
+    got = sorted((r["source_id"], r["start_time"], r["end_time"]) for r in G.vad_segments(frames.repartition(5), config, size=size).collect())
+    cuts = G.silent_cuts(frames, config, size=size).select("source_id", "stretch").distinct().count()
+    assert config.speech_pad_ms > 100 or cuts > 6
     assert got == [(s, pytest.approx(a), pytest.approx(b)) for s, a, b in want]
 
 
@@ -317,6 +351,59 @@ def test_coalescer():
     assert G.joined(utterance("x", 0, 1, language="en"), b)["text"] == "x b"
 
 
+@pytest.mark.parametrize("size", [G.CELL, 3])
+def test_coalescer_of_cut_sources_equals_one_fold(spark, size):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for source in range(4):
+        held, t = None, 0.0
+        for turn in range(60):
+            if rng.random() < 0.2:
+                continue
+            start = t + float(rng.choice([0.5, 1.0, 9.0]))
+            t = start + 0.5
+            u = utterance(str(rng.choice(["a", "bc", "well then.", "so it goes"])), start, t, float(rng.random()), None if source % 2 else "en")
+            rows.append((source, turn, u["text"], start, t, u["confidence"], u["language"]))
+            held, out = G.push(held, u, 2.0)
+            want += [(source, o["text"], round(o["start_time"], 6), o["merged"]) for o in out]
+        want += [(source, held["text"], round(held["start_time"], 6), held["merged"])] if held else []
+    d = spark.createDataFrame(rows, "source_id long, turn long, text string, start_time double, end_time double, confidence double, language string")
+    got = [(r["source_id"], r["text"], round(r["start_time"], 6), r["merged"]) for r in G.coalesce_utterances(d.repartition(7), 2.0, size=size).collect()]
+    assert sorted(got) == sorted(want) and any(w[3] > 2 for w in want)
+
+
+def test_percentiles(spark):
+    """Exact by numpy's linear rule, for groups of any size, ties and nulls, through coarse sketches too."""
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=997), 1: rng.integers(0, 3, 400).astype(float), 2: np.array([4.0]), 3: np.array([1.0, 2.0]), 4: rng.random(10), 5: np.full(50, 7.0)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(0, None), (9, None)]
+    d = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    qs = [0.0, 0.05, 0.5, 0.9, 0.95, 1.0]
+    for accuracy in (10_000, 50):
+        got = {r["g"]: r["q"] for r in C.percentiles(d, ["g"], "x", qs, accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert got[g] == pytest.approx(np.quantile(xs, qs).tolist()), (g, accuracy)
+    assert C.percentiles(d.filter("x is null"), ["g"], "x", [0.5]).count() == 0
+    assert C.percentiles(d.filter("g = 0"), [], "x", [0.5]).collect()[0]["q"] == [pytest.approx(np.median(groups[0]))]
+
+
+def test_sample_windows(spark):
+    x = [float(i) for i in range(7)]
+    assert one(spark, A.padded_windows("x", 3), x=x) == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0], [6.0, 0.0, 0.0]]
+    assert one(spark, A.overlapping_frames("x", 4, 2), x=x) == [[0.0, 1.0, 2.0, 3.0], [2.0, 3.0, 4.0, 5.0]]
+    assert one(spark, A.overlapping_frames("x", 8, 2), x=x) == []
+    n = 16_000
+    long = [math.sin(i / 3) for i in range(n)]
+    m = one(spark, A.mix_at_snr("s", "n", F.lit(0.0)), s=long, n=[1.0, -1.0])
+    assert len(m) == n and one(spark, A.renorm("x"), x=m)["clipped"] and 0.5 < one(spark, A.voiced_confidence("x", 15, 25), x=long) <= 1.0
+
+
+def test_entities_and_scripts(spark):
+    page = "<p>a&nbsp;&lt;b&gt; &eacute;&#233;&#x1F600; &copy &amp;lt;</p><script>no</script>"
+    assert one(spark, readers.page_text(F.col("t")), t=page) == "a <b> éé😀 © &lt;"
+
+
 def test_coalescer_stream_times_out(spark):
     u = suite.utterances(spark, "/root/testdata/sf0.001").withColumn("ts", F.timestamp_millis((F.col("end_time") * 1000).cast("long"))).select("source_id", "turn", *G.UTTERANCE, "ts")
     s = jobs.stream_of(spark, u, "utterances").withWatermark("ts", "0 seconds")
