@@ -15,7 +15,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def fits(df: DataFrame, size: Column) -> bool:
+    """Whether df may be broadcast, by a measured sum of ``size`` (the bytes of a row's strings)."""
+    return df.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, size: Column) -> DataFrame:
-    """Broadcast df if it is small enough by a measured sum of ``size`` (the bytes of a row's strings)."""
-    total = df.agg(F.coalesce(F.sum(size + 32), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    """Broadcast df if it fits."""
+    return F.broadcast(df) if fits(df, size) else df

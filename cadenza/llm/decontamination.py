@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadenza.llm.common import ascii_lower, small
+from cadenza.llm.common import ascii_lower, fits, small
 from cadenza.runtime import materialise
 
 BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -75,23 +75,35 @@ def anchors_of(items: DataFrame, counts: DataFrame, window: int, rarest: int = 2
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document row that holds a window: rid, hit (its word positions), items (ids of items with occurring windows)."""
+    """One row per document row that holds a window: rid and doc_id (which name it together), hit (its word positions), items (ids of items with occurring windows)."""
     items = materialise(items_of(benchmark, item_col, item_text_col), "items")
     vocabulary = items.select(F.explode("iw").alias("term")).distinct()
     counts = materialise(term_counts(docs, vocabulary, id_col, text_col).withColumnRenamed("n", "c"), "term-counts")
     anchors = materialise(anchors_of(items, counts, window), "anchors")
     index = build_index(docs, anchors.select("term").distinct(), id_col, text_col)
     # offset-adjusted lists meet where document position - item position agree
-    seeds = index.join(small(anchors, F.octet_length("term")), "term").groupBy("rid", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.count("*").alias("lists"))
-    seeds = seeds.join(small(items, F.octet_length(F.array_join("iw", ""))), "ik").filter((F.col("lists") > 1) | (F.size("iw") == 1))
-    found = seeds.groupBy("rid").agg(F.collect_list(F.struct("item_id", "iw", "diag")).alias("found"))
-    texts = _docs(docs, id_col, text_col).select("rid", "text")
+    lists = _lists(index, anchors).groupBy("rid", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.count("*").alias("lists"))
+    seeds = lists.groupBy("rid", "ik").agg(F.collect_list(F.struct("diag", "lists")).alias("ds")).join(small(items, F.octet_length(F.array_join("iw", ""))), "ik")
+    # an item's words go along once a document, whatever the number of its diagonals
+    diags = F.transform(F.filter("ds", lambda d: (d["lists"] > 1) | (F.size("iw") == 1)), lambda d: d["diag"])
+    seeds = seeds.select("rid", "item_id", "iw", diags.alias("diags")).filter(F.size("diags") > 0)
+    found = seeds.groupBy("rid").agg(F.collect_list(F.struct("item_id", "iw", "diags")).alias("found"))
+    texts = _docs(docs, id_col, text_col)
     # the words are bound once for a document, not split anew for every candidate
     bound = F.array(F.struct(words(F.col("text")).alias("dw"), F.col("found").alias("fs")))
-    match = lambda b: F.transform(b["fs"], lambda f: F.struct(f["item_id"].alias("item_id"), _along(b["dw"], f["iw"], f["diag"], window).alias("at")))
-    d = found.join(texts, "rid").select("rid", F.get(F.transform(bound, match), F.lit(0)).alias("m")).dropDuplicates(["rid"])
-    d = d.select("rid", F.filter("m", lambda f: F.size(f["at"]) > 0).alias("m")).filter(F.size("m") > 0)
-    return d.select("rid", F.array_distinct(F.flatten(F.col("m.at"))).alias("hit"), F.array_distinct(F.col("m.item_id")).alias("items"))
+    along = lambda b, f: F.array_distinct(F.flatten(F.transform(f["diags"], lambda d: _along(b["dw"], f["iw"], d, window))))
+    match = lambda b: F.transform(b["fs"], lambda f: F.struct(f["item_id"].alias("item_id"), along(b, f).alias("at")))
+    d = found.join(texts, "rid").select("rid", "doc_id", F.get(F.transform(bound, match), F.lit(0)).alias("m")).dropDuplicates(["rid", "doc_id"])
+    d = d.select("rid", "doc_id", F.filter("m", lambda f: F.size(f["at"]) > 0).alias("m")).filter(F.size("m") > 0)
+    return d.select("rid", "doc_id", F.array_distinct(F.flatten(F.col("m.at"))).alias("hit"), F.array_distinct(F.col("m.item_id")).alias("items"))
+
+
+def _lists(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Postings with the anchors of their term; anchors that are no broadcast meet a frequent term's list part by part."""
+    if fits(anchors, F.octet_length("term")):
+        return index.join(F.broadcast(anchors), "term")
+    parts = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return index.withColumn("salt", F.pmod("rid", F.lit(SALT)).cast("int")).join(parts, ["term", "salt"])
 
 
 def _along(dw: Column, iw: Column, diag: Column, window: int) -> Column:
@@ -106,17 +118,17 @@ def _along(dw: Column, iw: Column, diag: Column, window: int) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     hits = phrase_hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
-    hits = hits.select("rid", F.size("hit").alias("n_hit"), F.size("items").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",").alias("ids"))
+    hits = hits.select("rid", F.col("doc_id").alias("hit_id"), F.size("hit").alias("n_hit"), F.size("items").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",").alias("ids"))
     d = _docs(docs, id_col, text_col).select("doc_id", "rid", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = d.join(hits, "rid", "left")
+    out = d.join(hits, (d["rid"] == hits["rid"]) & d["doc_id"].eqNullSafe(hits["hit_id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark window."""
-    hit = phrase_hits(docs, benchmark, window, id_col, text_col).select(F.col("rid").alias("__hit"))
-    return docs.join(hit, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__hit"), "left_anti")
+    hit = phrase_hits(docs, benchmark, window, id_col, text_col).select(F.col("rid").alias("__hit"), F.col("doc_id").alias("__hit_id"))
+    return docs.join(hit, (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__hit")) & docs[id_col].eqNullSafe(F.col("__hit_id")), "left_anti")
 
 
 def proximity_hits(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
