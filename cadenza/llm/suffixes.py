@@ -5,8 +5,10 @@ its ``gram``-byte substrings. Equal strings so have equal anchors at equal place
 occur twice need a closer look. An anchor's context is all that its strings can reach.
 
 1. One narrow Arrow pass hashes all texts by prefix polynomial hashes and lists the anchors.
-2. Anchors meet by hash. Of those with the same whole context all but the first are covered at once, so
-   copies of any number cost one row each. What remains are first contexts that share only the anchor.
+2. Anchors meet by hash, those of very many contexts by context as well. Of those with the same whole
+   context all but the first are covered at once, so copies of any number cost one row each: within a
+   stretch of texts after comparison of the bytes, across stretches by the two 64-bit hashes of gram and
+   context. What remains are first contexts that share only the anchor.
 3. Their contexts are fetched and sorted as suffixes from the anchor on, and as reversed prefixes before
    it, by a mergesort whose comparisons find the common extension by binary search over prefix hashes;
    neighbours' extensions are then verified on bytes, so a collision cannot join two strings. The string
@@ -38,6 +40,8 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STRETCH = 1 << 21
 #: Contexts that a task sorts at once, and those of one anchor beyond which it is dealt anew.
 CHUNK, CROWD = 20_000, 50_000
+#: Parts to which the contexts of a heavy anchor are dealt.
+SALT = 64
 
 
 class Powers:
@@ -120,6 +124,39 @@ def _stretches(texts: list[bytes], length: int):
         yield held
 
 
+def _same_bytes(buffer, at, to, starts, ends, lead_starts, lead_ends, rows, length: int, gram: int) -> np.ndarray:
+    """Whether the contexts of the given rows are, byte by byte, those of their leads (anchors at ``to``)."""
+    span, out = length - gram, np.zeros(len(rows), bool)
+    col, last = np.arange(-span, length), len(buffer) - 1
+    for i in range(0, len(rows), 8192):
+        r = rows[i : i + 8192]
+        x, y = at[r, None] + col, to[r, None] + col
+        in_x, in_y = (x >= starts[r, None]) & (x < ends[r, None]), (y >= lead_starts[r, None]) & (y < lead_ends[r, None])
+        same = (in_x == in_y) & (~in_x | (buffer[np.clip(x, 0, last)] == buffer[np.clip(y, 0, last)]))
+        out[i : i + 8192] = same.all(axis=1)
+    return out
+
+
+def heavy_anchors(docs: DataFrame, length: int, gram: int, least: int = 32, most: int = 10_000) -> DataFrame:
+    """(h): the anchors with the most contexts, counted where one stretch of texts has ``least`` different ones; ``most`` bounds the table."""
+
+    def run(batches):
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(0).to_pylist()]
+            for held in _stretches(texts, length):
+                ends = np.cumsum([len(x[2]) for x in held])
+                h, c, _ = anchors(np.frombuffer(b"".join(x[2] for x in held), np.uint8), np.concatenate(([0], ends[:-1])), ends, length, gram)
+                order = np.lexsort((c, h))
+                h, c = h[order], c[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                hs, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hs[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["h", "n"])
+
+    found = docs.select("text").mapInArrow(run, "h long, n long")
+    return found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).select("h")
+
+
 def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, c, doc, pk, dup) of all anchors; pk is rank << 40 | place. dup: an earlier equal context was seen in the same batch (h is then arbitrary)."""
 
@@ -132,7 +169,8 @@ def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 base = np.array([x[1] for x in held])
                 ends = np.cumsum([len(x[2]) for x in held])
                 starts = np.concatenate(([0], ends[:-1]))
-                h, c, at = anchors(np.frombuffer(b"".join(x[2] for x in held), np.uint8), starts, ends, length, gram)
+                buffer = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
+                h, c, at = anchors(buffer, starts, ends, length, gram)
                 piece = np.searchsorted(starts, at, side="right") - 1
                 place = at - starts[piece] + base[piece]
                 # an anchor within reach of a cut's inner edge is listed whole by the neighbouring cut
@@ -147,6 +185,8 @@ def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
                 dup = ~new & ((d != d[lead]) | (pk != pk[lead]))
+                at, piece = at[ok][order], piece[order]
+                dup[dup] = _same_bytes(buffer, at, at[lead], starts[piece], ends[piece], starts[piece[lead]], ends[piece[lead]], np.flatnonzero(dup), length, gram)
                 h = np.where(dup, mix(d.view(np.uint64) ^ mix(pk.view(np.uint64))), h)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(pk), pa.array(dup)], names=["h", "c", "doc", "pk", "dup"])
 
@@ -288,9 +328,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         w = W.partitionBy("doc").orderBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
         d = d.withColumn("rank", F.dense_rank().over(w) - 1)
-    listed = list_anchors(d, length, gram).repartition("h").sortWithinPartitions("h", "c", "doc", "pk")
-    wh = W.partitionBy("h")
-    t = listed.withColumn("r", F.rank().over(W.partitionBy("h", "c").orderBy("doc", "pk"))).withColumn("many", F.min("c").over(wh) != F.max("c").over(wh))
+    # an anchor of very many contexts is dealt by them too, and taken to have many
+    heavy = materialise(heavy_anchors(d, length, gram), "heavy-anchors").withColumn("heavy", F.lit(True))
+    listed = list_anchors(d, length, gram).join(F.broadcast(heavy), "h", "left")
+    listed = listed.withColumn("salt", F.when(F.col("heavy"), F.pmod("c", F.lit(SALT))).otherwise(0)).repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "pk")
+    wh = W.partitionBy("h", "salt")
+    t = listed.withColumn("r", F.rank().over(W.partitionBy("h", "salt", "c").orderBy("doc", "pk"))).withColumn("many", F.coalesce("heavy", F.lit(False)) | (F.min("c").over(wh) != F.max("c").over(wh)))
     again = F.col("dup") | (F.col("r") > 1)
     at = F.col("pk").bitwiseAND(F.lit((1 << 40) - 1))
     t = t.filter(again | F.col("many")).select("doc", F.shiftright("pk", 40).cast("int").alias("rank"), at.cast("int").alias("at"), F.when(again, F.lit(None)).otherwise(F.col("h")).alias("h"))
