@@ -2,11 +2,11 @@
 
 Codes: centred principal directions of a bounded sample, turned by iteratively learned rotations, one bit
 per direction by sign; as many rotations from different starts as the substrings take bits. Equal vectors
-are one node. Substrings of ``width`` bits (about the logarithm of the nodes) are indexed: a node has one
-row for each, keyed by (substring, value), and a query has one row for each value within ``reach`` bits of
-its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a query, for m
-substrings, meets it at some key; the first one counts. Pairs that meet and whose whole codes differ by at most ``radius`` bits
-are ranked by exact distance.
+are one node. Substrings of ``width`` bits (a little over the logarithm of the nodes) are indexed: a
+node has one row for each, keyed by (substring, value), and a query has one row for each value within
+``reach`` bits of its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a
+query, for m substrings, meets it at some key; the first one counts. Pairs that meet and whose whole codes
+differ by at most ``radius`` bits are ranked by exact distance.
 
 How many substrings to index is measured: probe vectors, the first by hash, are compared with all nodes,
 and m is the least (in steps of four) for which their true neighbours meet them with the share ``recall``;
@@ -39,7 +39,7 @@ MOST = 64
 class Codes:
     """Rotated binary codes of at least bits bits: blocks of learned rotations of the sample's principal directions."""
 
-    def __init__(self, sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 7):
+    def __init__(self, sample: np.ndarray, bits: int, rounds: int = 10, seed: int = 7):
         dims = sample.shape[1]
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
@@ -127,7 +127,7 @@ class Index:
     def __init__(self, nodes: DataFrame, n: int, k: int, sample_rows: int = 4096, probes: int = 64, recall: float = 0.95, cover: float = 0.99, reach: int = 3):
         first = [(r["cid"], r["v"]) for r in nodes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).collect()]
         sample = np.array([v for _, v in first])
-        self.width, self.reach = min(max(16, n.bit_length()), 24), reach
+        self.width, self.reach = min(max(16, n.bit_length() + 2), 26), reach
         self.codes = Codes(sample, MOST * self.width)
         ids = np.array([c for c, _ in first[:probes]])
         near = _best(all_nearest(nodes, ids, sample[:probes], k + 1), k + 1).filter("qid != cid").join(nodes.select("cid", "v"), "cid")
@@ -165,18 +165,19 @@ class Index:
     def meetings(self) -> DataFrame:
         """(qid, cid): pairs of different nodes that meet in a substring and are within the radius, in the first substring they meet in."""
         coded = materialise(self.coded(), "codes")
-        rows = coded.select("cid", "code", F.posexplode("subs").alias("s", "value"))
+        rows = coded.select("cid", F.posexplode("subs").alias("s", "value"))
         asked = coded.filter("asked").select(F.col("cid").alias("qid"), F.posexplode("subs").alias("s", "own"))
         masks = F.expr("array(" + ", ".join(f"{x}L" for x in masks_within(self.width, self.reach)) + ")")
         asked = asked.select("qid", "s", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
-        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "s", "code")
+        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "s")
         each = 64 // self.slot
         lanes = -(-self.m // each)
         own = small(coded.filter("asked").select(F.col("cid").alias("qid"), F.col("code").alias("own")), F.lit(8 * lanes))
         apart = [F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("own", F.lit(i)))) for i in range(lanes)]
         off = lambda t: F.bit_count(F.shiftrightunsigned(F.get("code", F.lit(t // each)).bitwiseXOR(F.get("own", F.lit(t // each))), self.slot * (t % each)).bitwiseAND(F.lit((1 << self.slot) - 1)))
         before = reduce(lambda x, y: x | y, [(F.col("s") > t) & (off(t) <= self.reach) for t in range(self.m)])
-        return met.join(own, "qid").filter((sum(apart, F.lit(0)) <= self.radius) & ~before).select("qid", "cid")
+        met = met.join(small(coded.select("cid", "code"), F.lit(8 * lanes)), "cid").join(own, "qid")
+        return met.filter((sum(apart, F.lit(0)) <= self.radius) & ~before).select("qid", "cid")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, recall: float = 0.95, block_rows: int = 2048) -> DataFrame:
