@@ -2,16 +2,17 @@
 
 Codes: centred principal directions of a bounded sample, turned by iteratively learned rotations, one bit
 per direction by sign; as many rotations from different starts as the substrings take bits. Equal vectors
-are one node. Substrings of ``width`` bits (a little over the logarithm of the nodes) are indexed: a
-node has one row for each, keyed by (substring, value), and a query has one row for each value within
-``reach`` bits of its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a
-query, for m substrings, meets it at some key; the first one counts. Pairs that meet and whose whole codes
-differ by at most ``radius`` bits are ranked by exact distance.
+are one node. Substrings of ``width`` bits (about the logarithm of the nodes) are indexed: a node has one
+row for each, keyed by (substring, value), and a query has one row for each value within ``reach`` bits of
+its own. By the pigeonhole principle every code within radius m (reach + 1) - 1 of a query, for m
+substrings, meets it at some key; the first one counts. Pairs that meet and whose whole codes differ by at
+most ``radius`` bits are ranked by exact distance.
 
 How many substrings to index is measured: probe vectors, the first by hash, are compared with all nodes,
 and m is the least (in steps of four) for which their true neighbours meet them with the share ``recall``;
-``radius`` is then the ``cover`` quantile of the code distances of those that meet. Queries that find fewer
-than k others are compared with all nodes, in blocks, so queries get k rows if there are as many.
+``radius`` is then the ``cover`` quantile of the code distances of those that meet. A like bound on the
+first longs of the codes, which go with the keys, ends most pairs at once. Queries that find fewer than k
+others are compared with all nodes, in blocks, so queries get k rows if there are as many.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without id. Of rows that repeat an id one counts (the least vector). Equal distances
@@ -32,8 +33,8 @@ from pyspark.sql import Window as W
 from cadenza.llm.common import small
 from cadenza.runtime import materialise
 
-#: Most substrings that are indexed.
-MOST = 64
+#: Most substrings that are indexed, and longs of a code that go with every key.
+MOST, HEAD = 64, 3
 
 
 class Codes:
@@ -127,12 +128,15 @@ class Index:
     def __init__(self, nodes: DataFrame, n: int, k: int, sample_rows: int = 4096, probes: int = 64, recall: float = 0.95, cover: float = 0.99, reach: int = 3):
         first = [(r["cid"], r["v"]) for r in nodes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).collect()]
         sample = np.array([v for _, v in first])
-        self.width, self.reach = min(max(16, n.bit_length() + 2), 26), reach
+        self.width, self.reach = min(max(16, n.bit_length()), 24), reach
+        # each substring has a slot of its own in the longs that hold a code; the first longs go with the keys
+        self.slot = next(x for x in (16, 21, 32) if x >= self.width)
+        self.head = HEAD * (64 // self.slot)
         self.codes = Codes(sample, MOST * self.width)
         ids = np.array([c for c, _ in first[:probes]])
         near = _best(all_nearest(nodes, ids, sample[:probes], k + 1), k + 1).filter("qid != cid").join(nodes.select("cid", "v"), "cid")
         near = [(r["qid"], r["v"]) for r in near.select("qid", "v").collect()]
-        self.m, self.radius = 4, 4 * self.width
+        self.m, self.radius, self.head_radius = 4, 4 * self.width, 4 * self.width
         if near:
             place = {c: i for i, c in enumerate(ids.tolist())}
             a, b = self.codes.of(sample[:probes])[[place[c] for c, _ in near]], self.codes.of(np.array([v for _, v in near]))
@@ -142,9 +146,9 @@ class Index:
             self.m = enough[0] if enough else MOST
             far = off[:, : self.m].sum(axis=1)[(off[:, : self.m] <= self.reach).any(axis=1)]
             self.radius = int(np.quantile(far, cover, method="higher")) if len(far) else self.m * self.width
+            near_head = off[:, : min(self.m, self.head)].sum(axis=1)
+            self.head_radius = int(np.quantile(near_head, (1 + cover) / 2, method="higher"))
         self.used = self.m * self.width
-        # each substring has a slot of its own in the longs that hold a code
-        self.slot = next(x for x in (16, 21, 32) if x >= self.width)
         self.nodes = nodes
 
     def coded(self) -> DataFrame:
@@ -165,19 +169,24 @@ class Index:
     def meetings(self) -> DataFrame:
         """(qid, cid): pairs of different nodes that meet in a substring and are within the radius, in the first substring they meet in."""
         coded = materialise(self.coded(), "codes")
-        rows = coded.select("cid", F.posexplode("subs").alias("s", "value"))
-        asked = coded.filter("asked").select(F.col("cid").alias("qid"), F.posexplode("subs").alias("s", "own"))
-        masks = F.expr("array(" + ", ".join(f"{x}L" for x in masks_within(self.width, self.reach)) + ")")
-        asked = asked.select("qid", "s", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
-        met = asked.join(rows, ["s", "value"]).filter("qid != cid").select("qid", "cid", "s")
         each = 64 // self.slot
         lanes = -(-self.m // each)
+        heads = range(min(HEAD, lanes))
+        long = lambda c, i: F.get(c, F.lit(i))
+        off = lambda x, t: F.bit_count(F.shiftrightunsigned(x[t // each], self.slot * (t % each)).bitwiseAND(F.lit((1 << self.slot) - 1)))
+        apart = lambda x: sum((F.bit_count(c) for c in x), F.lit(0))
+        first = lambda x, m: ~reduce(lambda p, q: p | q, [(F.col("s") > t) & (off(x, t) <= self.reach) for t in range(m)])
+        rows = coded.select("cid", *(long("code", i).alias(f"h{i}") for i in heads), F.posexplode("subs").alias("s", "value"))
+        asked = coded.filter("asked").select(F.col("cid").alias("qid"), *(long("code", i).alias(f"g{i}") for i in heads), F.posexplode("subs").alias("s", "own"))
+        masks = F.expr("array(" + ", ".join(f"{x}L" for x in masks_within(self.width, self.reach)) + ")")
+        asked = asked.select("qid", *(f"g{i}" for i in heads), "s", F.explode(F.transform(masks, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
+        # what the first longs of two codes rule out ends in the join of the keys
+        head = [F.col(f"h{i}").bitwiseXOR(F.col(f"g{i}")) for i in heads]
+        met = asked.join(rows, ["s", "value"]).filter((F.col("qid") != F.col("cid")) & (apart(head) <= self.head_radius) & first(head, min(self.m, self.head))).select("qid", "cid", "s")
         own = small(coded.filter("asked").select(F.col("cid").alias("qid"), F.col("code").alias("own")), F.lit(8 * lanes))
-        apart = [F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("own", F.lit(i)))) for i in range(lanes)]
-        off = lambda t: F.bit_count(F.shiftrightunsigned(F.get("code", F.lit(t // each)).bitwiseXOR(F.get("own", F.lit(t // each))), self.slot * (t % each)).bitwiseAND(F.lit((1 << self.slot) - 1)))
-        before = reduce(lambda x, y: x | y, [(F.col("s") > t) & (off(t) <= self.reach) for t in range(self.m)])
         met = met.join(small(coded.select("cid", "code"), F.lit(8 * lanes)), "cid").join(own, "qid")
-        return met.filter((sum(apart, F.lit(0)) <= self.radius) & ~before).select("qid", "cid")
+        whole = [long("code", i).bitwiseXOR(long("own", i)) for i in range(lanes)]
+        return met.filter((apart(whole) <= self.radius) & first(whole, self.m)).select("qid", "cid")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, recall: float = 0.95, block_rows: int = 2048) -> DataFrame:

@@ -137,7 +137,7 @@ def test_index_finds_every_code_within_the_radius(spark):
     x = clusters(1, 600, 20)
     nodes = spark.createDataFrame([(i, v.tolist(), [i], i % 10 == 0) for i, v in enumerate(x)], "cid long, v array<double>, ids array<long>, asked boolean")
     index = neighbours.Index(nodes, 600, 5)
-    index.radius = index.used
+    index.radius = index.head_radius = index.used
     got = {(r["qid"], r["cid"]) for r in rows(index.meetings())}
     bits = index.codes.of(x)[:, : index.used]
     off = (bits[:, None] != bits[None]).reshape(600, 600, index.m, index.width).sum(axis=3)
