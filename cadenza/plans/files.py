@@ -206,17 +206,15 @@ def sink_comparison_table(spark, sf):
 
 K = 16
 S.SQL["v_lang"] = "SELECT lang, min(item_id) rid, string_agg(text, ' ' ORDER BY item_id) AS text FROM (SELECT *, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'es' END lang FROM benchmark) GROUP BY lang"
-S.SQL["v_said"] = r"SELECT doc_id tid, lang, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(text[1:doc_id % 40], '^\s+|\s+$', '', 'g') ELSE '' END AS text FROM documents"
+S.SQL["v_said"] = r"SELECT doc_id tid, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents"
 
 
 def aligned(spark, sf):
-    """Transcripts (whole documents, short beginnings, silent ones), and one reference a language: its items one after the other."""
+    """Transcripts, which are the documents, and one reference a language: its items one after the other."""
     ref_lang = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "fr").otherwise("es")
     items = table(spark, sf, "benchmark").select("item_id", ref_lang.alias("lang"), "text")
     refs = items.groupBy("lang").agg(F.min("item_id").alias("rid"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text"))
-    m = F.col("doc_id") % 3
-    text = F.when(m == 0, F.col("text")).when(m == 1, F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 40).cast("int"))).otherwise("")
-    return S.dealt(spark, table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", text.alias("text"))), refs
+    return S.dealt(spark, table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", "text")), refs
 
 
 @query("alignment_coverage", f"""
@@ -240,8 +238,7 @@ SELECT count(*) total, count_if(lang NOT IN ('en', 'fr', 'es')) skipped_no_langu
 count_if(lang IN ('en', 'fr', 'es') AND doc_id % 9 <> 0 AND quality IS NULL) updated FROM documents LEFT JOIN labels USING (doc_id)""")
 def join_alignment_reference(spark, sf):
     """Counters of a re-alignment: by the language's reference, then the text, then what was done before."""
-    _, r = aligned(spark, sf)
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("tid"), "lang", "text")
+    t, r = aligned(spark, sf)
     done = table(spark, sf, "labels").select(F.col("doc_id").alias("tid"), F.lit(True).alias("done"))
     t = t.withColumn("text", F.when(F.col("tid") % 9 != 0, F.col("text")))
     x = t.join(few(r.select("lang").distinct().withColumn("known", F.lit(True))), "lang", "left").join(done, "tid", "left")
