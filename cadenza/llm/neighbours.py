@@ -34,7 +34,7 @@ from cadenza.llm.common import small
 from cadenza.runtime import materialise
 
 #: Most substrings that are indexed, and longs of a code that go with every key.
-MOST, HEAD = 64, 3
+MOST, HEAD = 64, 4
 
 
 class Codes:
