@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, licenses, lines, neighbours, packing, pii, simhash, suffixes, toxicity, urls
+from cadenza.llm import decontamination, licenses, lines, neighbours, packing, pii, prefixes, repeats, simhash, spelling, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_neighbours": op2_neighbours,
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 OP1_SQL = r"""
@@ -121,4 +136,49 @@ SELECT doc_id, license, count(*) n_windows, max(c / m) containment FROM win JOIN
 """
 
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a DuckDB string's UTF-8 bytes, bit by bit; 3988292384 is the reversed polynomial."""
+    octets = f"[('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(octet_length(encode({text})))]"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda a, b: {bits}), 4294967295)"
+
+
+# a run of 199 in 1 loses a letter; near words are those that share a word with one letter left out at the same place, or one such word itself
+OP11_SQL = rf"""
+WITH runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w FROM documents),
+h AS (SELECT w, {crc32_sql("(id || ':' || w)")} c FROM runs WHERE length(w) >= 6),
+v AS (SELECT word, count(*) n FROM (SELECT CASE WHEN c % 199 = 0 THEN w[1:c % length(w)] || w[c % length(w) + 2:] ELSE w END word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cut AS (SELECT word, n, i, w[1:i] || w[i + 2:] k FROM (SELECT word, word w, n, unnest(range(length(word))) i FROM v)),
+pair AS (SELECT a.word a, b.word b, b.n m FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.k = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.k = b.word),
+near AS (SELECT a, count(*) n_near, min((-m, b)) best FROM pair GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END form_n FROM v LEFT JOIN near ON a = word),
+up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) form_n FROM f JOIN up ON up.word = f.word JOIN f t ON t.word = up.root AND t.form IS NULL
+""".replace("WITH runs", "WITH RECURSIVE runs")
+
+OP12_SQL = rf"""
+WITH t AS (SELECT conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) i FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list((r, x) ORDER BY i) ts FROM t GROUP BY c),
+h AS (SELECT o.c, coalesce(b.ts, [])[1:k] || o.ts[k + 1:] ts FROM (SELECT *, {crc32_sql("(CAST(c AS VARCHAR))")} % 4 k FROM o) o LEFT JOIN o b ON b.c = o.c - o.c % 20),
+p AS (SELECT c, len(ts) n, d, ts[1:d] s FROM (SELECT *, unnest(range(len(ts) + 1)) d FROM h)),
+n AS (SELECT s, d, min(c) c, count(*) n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') ends FROM p GROUP BY s, d),
+k AS (SELECT s[1:d - 1] s, d - 1 d, count(*) n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.s[-1][2], '[^ 	-
+]+')) END saved FROM n LEFT JOIN k USING (s, d)),
+a AS (SELECT s[1:e] s, e d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) n_leaves, sum(saved) saved_tokens FROM (SELECT *, unnest(range(d + 1)) e FROM w) GROUP BY ALL)
+SELECT w.c conv_id, w.d AS depth, q.c parent_conv_id, w.n_convs, w.n_children, CAST(a.n_leaves AS BIGINT) n_leaves, CAST(a.saved_tokens AS BIGINT) saved_tokens, sha256(w.ends) ends_sha256
+FROM w JOIN a USING (s, d) LEFT JOIN n q ON q.d = w.d - 1 AND q.s = w.s[1:w.d - 1]
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') w FROM documents),
+g AS (SELECT r, doc_id, s, array_to_string(w[s:s + 12], ' ') g FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) s FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) first FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(s, s + 12)) i FROM g JOIN f USING (g) WHERE doc_id > first),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) t, count(*) n FROM (SELECT r, unnest(w) x, unnest(generate_series(1, len(w))) i FROM d) LEFT JOIN (SELECT r, i, true AS hit FROM gone) USING (r, i) WHERE hit IS NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op11_spelling_variants": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_substring_dedup": OP13_SQL, "op1_decontamination": OP1_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _op9_sql()}
