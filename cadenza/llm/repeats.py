@@ -37,8 +37,8 @@ from cadenza.runtime import materialise
 
 #: Words that are hashed together, bytes of a text that are split at once, and words that a worker remembers.
 STRETCH, PIECE, CACHE = 1 << 18, 1 << 20, 1 << 19
-#: Contexts that a task compares at once, and those of one anchor beyond which it is dealt by its windows.
-CHUNK, CROWD = 20_000, 2_000
+#: Contexts that a task compares at once; an anchor of more is dealt by its windows.
+CHUNK = CROWD = 20_000
 #: Parts to which a frequent anchor is dealt; one document in SAMPLE shows which are, by so many occurrences.
 SALT, SAMPLE, FREQUENT, MOST = 64, 32, 32, 10_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
