@@ -1,7 +1,12 @@
-"""Typed places for a user's models: scorer, segmenter, preprocessor, translator. No model ships here."""
+"""Typed places for a user's models: scorer, segmenter, preprocessor, translator. No model ships here.
+
+A model's failure is its row's value, never the job's: an exception gives its name, a result of another type
+``TypeError``, one that takes longer than ``seconds`` (where given) ``timeout``.
+"""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,64 +15,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Seconds that a translation may take, and calls that a task leaves behind running before it makes no more.
+SECONDS, ABANDONED = 10.0, 8
+
+
+class Deadline:
+    """Calls a model in a thread of this worker and waits so many seconds for it; None waits as long as it takes.
+
+    A call that is late is left behind, since threads can't be ended; after ``ABANDONED`` of them that still run, further
+    calls fail with ``stalled`` at once, so a model that hangs costs a task a bounded time and number of threads.
+    """
 
-def with_scorer(segments: DataFrame, opener: Callable[[], Callable[[np.ndarray, int], tuple[str, float]]], rate: int, samples: str = "samples") -> DataFrame:
-    """segments with text, confidence and error; ``opener`` is called once per task. A failing segment yields its exception's name."""
+    def __init__(self, seconds: float | None):
+        self.seconds, self.late = seconds, []
+
+    def __call__(self, f: Callable, *args) -> tuple[object, str | None]:
+        """(result, None) or (None, error)."""
+        got: list[tuple[object, str | None]] = []
+
+        def run() -> None:
+            try:
+                got.append((f(*args), None))
+            except Exception as e:  # noqa: BLE001  a row's failure is a value, not the job's
+                got.append((None, type(e).__name__))
+
+        if self.seconds is None:
+            run()
+            return got[0]
+        self.late = [t for t in self.late if t.is_alive()]
+        if len(self.late) >= ABANDONED:
+            return None, "stalled"
+        t = threading.Thread(target=run, daemon=True)
+        t.start()
+        t.join(self.seconds)
+        if t.is_alive():
+            self.late.append(t)
+            return None, "timeout"
+        return got[0]
+
+
+def with_scorer(segments: DataFrame, opener: Callable[[], Callable[[np.ndarray, int], tuple[str, float]]], rate: int, samples: str = "samples", seconds: float | None = None) -> DataFrame:
+    """segments with text, confidence and error; ``opener`` is called once per task. A failing segment has an empty text."""
     schema = T.StructType([f for f in segments.schema if f.name != samples] + [T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = opener()
+        score, call = opener(), Deadline(seconds)
         for pdf in batches:
             out = []
             for a in pdf[samples]:
-                try:
-                    out.append((*score(np.asarray(a), rate), None))
-                except Exception as e:  # noqa: BLE001  a row's failure is a value, not the job's
-                    out.append(("", None, type(e).__name__))
+                got, error = call(score, np.asarray(a), rate)
+                if error is None:
+                    try:
+                        text, confidence = got
+                        if not isinstance(text, str):
+                            raise TypeError
+                        out.append((text, None if confidence is None else float(confidence), None))
+                        continue
+                    except (TypeError, ValueError):
+                        error = "TypeError"
+                out.append(("", None, error))
             extra = pd.DataFrame(out, columns=["text", "confidence", "error"], index=pdf.index)
             yield pd.concat([pdf.drop(columns=samples), extra], axis=1)
 
     return segments.mapInPandas(run, schema)
 
 
-def with_segmenter(clips: DataFrame, segment: Callable[[np.ndarray, int], list[tuple[float, float]]] | None, rate: int, samples: str = "samples") -> DataFrame:
-    """clips with start and end of each segment: none for an empty list, one whole segment where there is no segmenter."""
+def with_segmenter(clips: DataFrame, segment: Callable[[np.ndarray, int], list[tuple[float, float]]] | None, rate: int, samples: str = "samples", seconds: float | None = None) -> DataFrame:
+    """clips with start, end and error of each segment: no row for an empty list, one whole segment where there is no segmenter, one row without times for a failure."""
     if segment is None:
-        return clips.withColumns({"start": F.lit(0.0), "end": F.size(samples) / rate})
+        return clips.withColumns({"start": F.lit(0.0), "end": F.size(samples) / rate, "error": F.lit(None).cast("string")})
 
-    @F.pandas_udf("array<struct<start: double, end: double>>")
-    def of(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: [{"start": float(s), "end": float(e)} for s, e in segment(np.asarray(a), rate)])
+    @F.pandas_udf("array<struct<start: double, end: double, error: string>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = Deadline(seconds)
+
+        def one(a):
+            got, error = call(segment, np.asarray(a), rate)
+            if error is None:
+                try:
+                    return [{"start": float(s), "end": float(e), "error": None} for s, e in got]
+                except (TypeError, ValueError):
+                    error = "TypeError"
+            return [{"start": None, "end": None, "error": error}]
+
+        for arrays in batches:
+            yield arrays.map(one)
+
+    return clips.withColumn("__s", F.explode(of(samples))).withColumns({c: F.col(f"__s.{c}") for c in ("start", "end", "error")}).drop("__s")
 
-    return clips.withColumn("__s", F.explode(of(samples))).withColumns({"start": F.col("__s.start"), "end": F.col("__s.end")}).drop("__s")
 
+def with_preprocessor(clips: DataFrame, process: Callable[[np.ndarray], np.ndarray], samples: str = "samples", seconds: float | None = None) -> DataFrame:
+    """clips with processed samples and error. A result that is no array, of another length or of another type of number leaves the samples null."""
 
-def with_preprocessor(clips: DataFrame, process: Callable[[np.ndarray], np.ndarray], samples: str = "samples") -> DataFrame:
-    """clips with processed samples; another length is the row's error and leaves the samples null."""
+    @F.pandas_udf("struct<samples: array<double>, error: string>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = Deadline(seconds)
 
-    @F.pandas_udf("array<double>")
-    def of(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: np.asarray(process(np.asarray(a)), float))
+        def one(a):
+            a = np.asarray(a)
+            got, error = call(process, a)
+            if error is None:
+                if not isinstance(got, np.ndarray):
+                    error = "TypeError"
+                elif got.shape != a.shape:
+                    error = "length changed"
+                elif got.dtype != a.dtype:
+                    error = "type changed"
+            return (got, None) if error is None else (None, error)
 
-    out = clips.withColumn("__p", of(samples))
-    same = F.size("__p") == F.size(samples)
-    return out.withColumn("error", F.when(~same, "length changed")).withColumn(samples, F.when(same, F.col("__p"))).drop("__p")
+        for arrays in batches:
+            yield pd.DataFrame([one(a) for a in arrays], columns=["samples", "error"], index=arrays.index)
 
+    return clips.withColumn("__p", of(samples)).withColumns({"error": F.col("__p.error"), samples: F.col("__p.samples")}).drop("__p")
 
-def translated(text: Column, context: Column, source: str, target: str, opener: Callable[[], Callable[[str, str, str, str], str]]) -> Column:
-    """Text by a translator that also sees the texts before; null where it fails."""
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        translate = opener()
+def translation(text: Column, context: Column, source: str, target: str, opener: Callable[[], Callable[[str, str, str, str], str]], seconds: float | None = SECONDS) -> Column:
+    """(translated, error) by a translator that also sees the texts before; both null for a null or empty text, which it isn't asked for."""
+
+    @F.pandas_udf("struct<translated: string, error: string>")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        translate, call = opener(), Deadline(seconds)
 
         def one(t, c):
-            try:
-                return translate(t, source, target, c or "")
-            except Exception:  # noqa: BLE001
-                return None
+            if not t:
+                return None, None
+            got, error = call(translate, t, source, target, c or "")
+            if error is None and not isinstance(got, str):
+                error = "TypeError"
+            return (got, None) if error is None else (None, error)
 
         for texts, contexts in batches:
-            yield pd.Series([None if t is None else one(t, c) for t, c in zip(texts, contexts, strict=True)])
+            yield pd.DataFrame([one(t, c) for t, c in zip(texts, contexts, strict=True)], columns=["translated", "error"], index=texts.index)
 
     return of(text, context)
+
+
+def translated(text: Column, context: Column, source: str, target: str, opener: Callable[[], Callable[[str, str, str, str], str]], seconds: float | None = SECONDS) -> Column:
+    """The translated text; null where it fails or takes too long."""
+    return translation(text, context, source, target, opener, seconds)["translated"]

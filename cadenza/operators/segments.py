@@ -3,30 +3,37 @@
 ``hysteresis_segments`` is relational (gaps and islands). The state machine, the coalescer and the
 envelope gate depend on all that came before in a source: they fold a source's rows in order. A source is
 first cut where the state is surely silent, so a fold's group is a stretch of activity, not a whole
-source.
+source. The gate, which is never surely silent, runs cell by cell from the state that the cells before it
+leave.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp
+from math import ceil, exp
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cadenza.operators.windows import CELL
+from cadenza.runtime import materialise
+
 FRAME_S = 0.032
 
 
-def hysteresis_segments(frames: DataFrame, threshold: float, min_silence: int, min_frames: int = 1, max_frames: int | None = None, key: str = "source_id", idx: str = "frame_idx", p: str = "p") -> DataFrame:
+def hysteresis_segments(frames: DataFrame, threshold: float, min_silence: int, min_frames: int = 1, max_frames: int | None = None, key: str = "source_id", idx: str = "frame_idx", p: str = "p", size: int = CELL) -> DataFrame:
     """(key, start_frame, end_frame): runs of frames of at least the threshold; silences shorter than min_silence frames stay inside.
 
-    Runs under min_frames go; runs over max_frames split into equal whole parts, the remainder in the last, parts under min_frames go.
+    A source is cut into cells of ``size`` frames, so a long one is many tasks' work. Runs under min_frames go; runs over max_frames split into equal whole parts, the remainder in the last, parts under min_frames go.
     """
-    s = frames.filter(F.col(p) >= threshold).select(key, F.col(idx).alias("i"))
-    w = W.partitionBy(key).orderBy("i")
-    s = s.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(w) - 1 >= min_silence, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w))
+    s = frames.filter(F.col(p) >= threshold).select(key, F.col(idx).alias("i")).withColumn("__c", F.floor(F.col("i") / size))
+    s = s.withColumn("__was", F.lag("i").over(W.partitionBy(key, "__c").orderBy("i")))
+    # one row a cell carries its last frame on to the next
+    ends = s.groupBy(key, "__c").agg(F.max("i").alias("__e")).select(key, "__c", F.lag("__e").over(W.partitionBy(key).orderBy("__c")).alias("__before"))
+    s = s.join(ends, [key, "__c"]).withColumn("new", F.coalesce(F.col("i") - F.coalesce("__was", "__before") - 1 >= min_silence, F.lit(True)))
+    s = stretches(s.select(key, "i", "new"), key, "i", "new", size).withColumnRenamed("stretch", "island")
     runs = s.groupBy(key, "island").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b")).filter(F.col("b") - F.col("a") >= min_frames)
     if max_frames is None:
         return runs.select(key, F.col("a").alias("start_frame"), F.col("b").alias("end_frame"))
@@ -116,10 +123,6 @@ class SpeechMachine:
         return [] if self.mode == "silence" else self._end(t)
 
 
-#: Values of the order column that one cell of a source spans; a source of any length is many cells.
-CELL = 1 << 16
-
-
 def stretches(rows: DataFrame, key: str, order: str, begins: str, size: int = CELL) -> DataFrame:
     """rows with ``stretch``: the order value of the last row of its key, up to itself, for which the flag ``begins`` holds.
 
@@ -276,29 +279,102 @@ def gate_step(state: tuple[float, bool, int], x: float, c: GateConfig) -> tuple[
     envelope, is_open, hold = state
     a = abs(x)
     envelope = envelope + (1 - exp(-1 / c.attack)) * (a - envelope) if a > envelope else envelope * exp(-1 / c.release)
+    return envelope, *_gate(is_open, hold, envelope, c)
+
+
+def _gate(is_open: bool, hold: int, envelope: float, c: GateConfig) -> tuple[bool, int]:
+    """(open, hold) at an envelope."""
     if is_open:
         if envelope > c.close_level:
-            return envelope, True, c.release
-        return (envelope, True, hold - 1) if hold > 0 else (envelope, False, 0)
-    return (envelope, True, c.release) if envelope > c.open_level else (envelope, False, hold)
+            return True, c.release
+        return (True, hold - 1) if hold > 0 else (False, 0)
+    return (True, c.release) if envelope > c.open_level else (False, hold)
 
 
-def hysteresis_gate(series: DataFrame, config: GateConfig, key: str = "source_id", order: str = "frame_idx", value: str = "value") -> DataFrame:
-    """(key, order, value, open, gated): an envelope follower opens and closes with two levels and a hold; closed rows are scaled by the floor.
+def _tail_ends(series: DataFrame, config: GateConfig, size: int) -> DataFrame:
+    """(k, cell, end): the envelope after each cell, taken from its last rows alone; at 40 time constants what lay before leaves no bit."""
+    reach = min(size, ceil(40 * max(config.attack, config.release)))
+
+    def step(state, row, out):
+        return gate_step((state, False, 0), row[3], config)[0]
+
+    tail = series.filter(F.pmod("i", F.lit(size)) >= size - reach).select("k", "cell", "i", "x")
+    return folded(tail, ["k", "cell"], "i", "k long, cell long, end double", lambda: 0.0, step, lambda state, key, out: out.append((*key, state)))
+
+
+def _starts(ends: DataFrame) -> DataFrame:
+    """(k, cell, e): the envelope before each cell, zero before a source's first; one row a cell."""
+    return ends.select("k", "cell", F.coalesce(F.lag("end").over(W.partitionBy("k").orderBy("cell")), F.lit(0.0)).alias("e"))
 
-    The envelope never quite forgets, so a source is one fold: Arrow batches of it stream through one task in order.
+
+def _gated_cells(series: DataFrame, starts: DataFrame, config: GateConfig) -> DataFrame:
+    """Rows (k, cell, i, x, at, below, shut, wide, end, hold_shut, hold_wide) of each cell, folded from its starting envelope for either state of the gate.
+
+    at counts the rows of a cell, below those before the envelope first exceeds the closing level. shut and wide say whether
+    the gate is open after the row if it was closed before the cell, or open with no end of its hold; the last three are the
+    envelope and the holds after the row.
     """
-    dealt = series.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col(value).alias("x")).repartition("k").sortWithinPartitions("k", "i")
 
-    def run(batches):
-        now, state = None, (0.0, False, 0)
-        for pdf in batches:
-            opened = []
-            for k, x in zip(pdf["k"].tolist(), pdf["x"].tolist(), strict=True):
-                if k != now:
-                    now, state = k, (0.0, False, 0)
-                state = gate_step(state, x, config)
-                opened.append(state[1])
-            yield pdf.assign(open=opened, gated=[x if o else x * config.floor for x, o in zip(pdf["x"].tolist(), opened, strict=True)])
-
-    return dealt.mapInPandas(run, "k long, i long, x double, open boolean, gated double").select(F.col("k").alias(key), F.col("i").alias(order), F.col("x").alias(value), "open", "gated")
+    def step(state, row, out):
+        e, shut, wide, at, below, met = state if state else (row[4], (False, 0), (True, config.release), 0, 0, False)
+        e, *_ = gate_step((e, False, 0), row[3], config)
+        met = met or e > config.close_level
+        shut = _gate(*shut, e, config)
+        wide = _gate(*wide, e, config) if met else wide
+        at, below = at + 1, below + (not met)
+        out.append((row[0], row[1], row[2], row[3], at, below, shut[0], wide[0], e, shut[1], wide[1]))
+        return e, shut, wide, at, below, met
+
+    schema = "k long, cell long, i long, x double, at int, below int, shut boolean, wide boolean, end double, hold_shut int, hold_wide int"
+    return folded(series.join(starts, ["k", "cell"]).select("k", "cell", "i", "x", "e"), ["k", "cell"], "i", schema, lambda: None, step, lambda state, key, out: None)
+
+
+def _states(cells: DataFrame, config: GateConfig) -> DataFrame:
+    """(k, cell, open, hold) before each cell, by running through one summary row a cell (of the row with its largest ``at``)."""
+
+    def step(state, row, out):
+        is_open, hold = state
+        out.append((row[0], row[1], is_open, hold))
+        _, _, n, below, shut, wide, hold_shut, hold_wide = row
+        if is_open and hold >= below:
+            return (True, hold - n) if below == n else (wide, hold_wide)
+        return shut, hold_shut
+
+    rows = cells.select("k", "cell", F.col("at").alias("n"), "below", "shut", "wide", "hold_shut", "hold_wide")
+    return folded(rows, ["k"], "cell", "k long, cell long, open boolean, hold int", lambda: (False, 0), step, lambda state, key, out: None)
+
+
+def hysteresis_gate(series: DataFrame, config: GateConfig, key: str = "source_id", order: str = "frame_idx", value: str = "value", size: int = CELL) -> DataFrame:
+    """(key, order, value, open, gated): an envelope follower opens and closes with two levels and a hold; closed rows are scaled by the floor.
+
+    Cells of a source run apart. Where the envelope stands before a cell is first taken from the last rows before it. All
+    cells are then folded; if every cell began with the very number that the one before it ended with, all are right, since a
+    source's first one is. Else the ends become the beginnings and the fold is repeated, which makes one more cell of each
+    source right at least, and nearly always all.
+
+    A cell is folded for a closed and for an open gate. An open gate with a hold of h stays open through the rows before the
+    envelope first exceeds the closing level if these are h at most, and else closes for the rest of them, so these two
+    folds tell the state after the cell for any state before it; one row a cell is run through for that.
+    """
+    if config.close_level > config.open_level:
+        raise ValueError("a gate closes at its opening level or below")
+    x = series.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col(value).alias("x")).withColumn("cell", F.floor(F.col("i") / size))
+    starts = materialise(_starts(_ends_of_all(x, _tail_ends(x, config, size))), "gate-starts")
+    while True:
+        rows = materialise(_gated_cells(x, starts, config), "gated")
+        cells = materialise(rows.groupBy("k", "cell").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("k", "cell", "i", "x"))), "at").alias("s")).select("k", "cell", "s.*"), "gate-cells")
+        after = _starts(cells)
+        if after.join(starts.withColumnRenamed("e", "was"), ["k", "cell"]).filter("e != was").isEmpty():
+            break
+        starts = materialise(after, "gate-starts")
+    before = _states(cells, config).join(cells.select("k", "cell", F.col("below").alias("all_below")), ["k", "cell"])
+    out = rows.join(before, ["k", "cell"])
+    opened = F.when(~F.col("open"), F.col("shut")).when(F.col("at") <= F.col("all_below"), F.col("at") <= F.col("hold"))
+    opened = opened.when(F.col("hold") >= F.col("all_below"), F.col("wide")).otherwise(F.col("shut"))
+    out = out.select("k", "i", "x", opened.alias("open"))
+    return out.select(F.col("k").alias(key), F.col("i").alias(order), F.col("x").alias(value), "open", F.when(F.col("open"), F.col("x")).otherwise(F.col("x") * config.floor).alias("gated"))
+
+
+def _ends_of_all(series: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends for every cell of the series; a cell without a last row that reaches its end (a gap) gets null, which counts as zero."""
+    return series.select("k", "cell").distinct().join(ends, ["k", "cell"], "left")

@@ -238,10 +238,10 @@ def recall_regressions(spark, sf):
 
 
 @query("preset_pareto", """
-WITH m AS (SELECT preset, avg(false_trigger) f, avg(recall) r, avg(short_recall) s FROM v_cells GROUP BY preset)
-SELECT preset, round(f, 6) false_trigger, round(r, 6) recall, round(s, 6) short_recall, f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m b WHERE b.preset <> m.preset AND b.f < m.f AND NOT coalesce(b.r < m.r, false) AND NOT coalesce(b.s < m.s, false)) dominant FROM m""")
+WITH m AS (SELECT preset, floor(avg(floor(false_trigger * 1e6 + 0.5)::BIGINT) + 0.5) / 1e6 f, floor(avg(floor(recall * 1e6 + 0.5)::BIGINT) + 0.5) / 1e6 r, floor(avg(floor(short_recall * 1e6 + 0.5)::BIGINT) + 0.5) / 1e6 s FROM v_cells GROUP BY preset)
+SELECT preset, f false_trigger, r recall, s short_recall, f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m b WHERE b.preset <> m.preset AND b.f < m.f AND NOT coalesce(b.r < m.r, false) AND NOT coalesce(b.s < m.s, false)) dominant FROM m""")
 def preset_pareto(spark, sf):
-    return round_doubles(R.pareto(S.cells(spark, sf)))
+    return R.pareto(S.cells(spark, sf))
 
 
 FLOORS = (0.96, 0.955)

@@ -10,6 +10,7 @@ from cadenza.functions import text as X
 from cadenza.operators import calibration as C
 from cadenza.operators import joins as J
 from cadenza.operators import segments as G
+from cadenza.operators.windows import numbered_within, over_cells
 from cadenza.plans import suite as S
 from cadenza.plans.rows import mix_pairs, observed
 from cadenza.plans.suite import query, r6, round_doubles, table
@@ -33,21 +34,32 @@ def manifest_last_wins(spark, sf):
 BASELINE = "CASE WHEN frame_idx = 0 THEN 0 ELSE quantile_cont(value, 0.5) OVER (PARTITION BY source_id ORDER BY frame_idx ROWS BETWEEN 31 PRECEDING AND 1 PRECEDING) END"
 
 
-def onset_baseline_of(value="value"):
-    w = W.partitionBy("source_id").orderBy("frame_idx").rowsBetween(-31, -1)
-    return F.coalesce(F.percentile(value, F.lit(0.5)).over(w), F.lit(0.0))
+#: Frames before an onset whose median is its baseline.
+REACH = 31
+
+
+def with_baseline(frames, value="value", size=G.CELL):
+    """frames with the median of the values of the frames before, 31 at most; zero for none."""
+    median = lambda w: {"baseline": F.coalesce(F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-REACH, -1)), F.lit(0.0))}
+    return over_cells(frames, ["source_id"], "frame_idx", REACH, median, size)
 
 
 @query("onset_baseline", f"SELECT source_id, frame_idx, round(coalesce({BASELINE}, 0), 6) baseline FROM v_frames")
 def onset_baseline(spark, sf):
-    return S.frames(spark, sf).select("source_id", "frame_idx", r6(onset_baseline_of(), "baseline"))
+    return with_baseline(S.frames(spark, sf)).select("source_id", "frame_idx", r6("baseline"))
+
+
+def with_previous(df, keys, order, value, name, size=G.CELL):
+    """df with the value of the row before in its series, which is numbered in ranges and cut into cells."""
+    d = numbered_within(df, keys, order, "__i")
+    return over_cells(d, keys, "__i", 1, lambda w: {name: F.lag(value).over(w)}, size).drop("__i")
 
 
 @query("spectral_flux", """
 SELECT clip, round(coalesce(list_sum([greatest(samples[i] - prev[i], 0) FOR i IN generate_series(1, 64)]), 0), 6) + 0.0 flux FROM (SELECT clip, samples, lag(samples) OVER (PARTITION BY label ORDER BY clip) prev FROM v_audio)""")
 def spectral_flux(spark, sf):
-    before = F.lag("samples").over(W.partitionBy("label").orderBy("clip"))
-    return S.audio(spark, sf).withColumn("prev", before).select("clip", r6(A.flux("samples", "prev"), "flux"))
+    d = with_previous(S.audio(spark, sf), ["label"], ["clip"], "samples", "prev")
+    return d.select("clip", r6(A.flux("samples", "prev"), "flux"))
 
 
 S.SQL["v_features"] = f"""
@@ -59,7 +71,7 @@ ONSET_RATIO, WARM_UP = 3.0, 8
 
 def features(spark, sf):
     m = F.col("event_id")
-    f = S.frames(spark, sf).withColumn("baseline", onset_baseline_of())
+    f = with_baseline(S.frames(spark, sf))
     return f.select("source_id", "frame_idx", "value", (20 * F.log10(F.greatest(F.col("value") / 500, F.lit(1e-10)))).alias("rms_db"), F.col("p").alias("flatness"), (F.col("value") * 100).alias("centroid"), (m % 10 / 10).alias("zcr"), F.col("value").alias("onset"), "baseline", (m % 7 / 10).alias("voiced"))
 
 
@@ -99,23 +111,25 @@ def transient_mask(spark, sf):
     return f.select("source_id", "frame_idx", F.when(flagged(), 0.0).otherwise(F.col("value")).alias("masked"), F.col("value").alias("observed"))
 
 
-def context(n, text="text", key="source_id", order="turn", most=100):
-    """The texts of the n previous rows of a source (at most ``most``), joined by newlines; null for none."""
+def context_of(rows, n, text="text", key="source_id", order="turn", most=100, size=G.CELL):
+    """(key, order, context): the texts of the n previous rows of a source (at most ``most``), joined by newlines; null for none."""
     n = min(n, most)
     if n == 0:
-        return F.lit(None).cast("string")
-    return F.nullif(F.array_join(F.collect_list(text).over(W.partitionBy(key).orderBy(order).rowsBetween(-n, -1)), "\n"), F.lit(""))
+        return rows.select(key, order, F.lit(None).cast("string").alias("context"))
+    joined = lambda w: {"context": F.nullif(F.array_join(F.collect_list(text).over(w.rowsBetween(-n, -1)), "\n"), F.lit(""))}
+    d = numbered_within(rows.select(key, order, text), [key], [order], "__i")
+    return over_cells(d, [key], "__i", n, joined, size).select(key, order, "context")
 
 
 @query("context_window", "SELECT source_id, turn, array_to_string(list(text) OVER (PARTITION BY source_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)) context FROM v_utt")
 def context_window(spark, sf):
-    return S.utterances(spark, sf).select("source_id", "turn", context(2).alias("context"))
+    return context_of(S.utterances(spark, sf), 2)
 
 
 @query("subtitle_index", "SELECT source_id, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn) idx FROM v_utt) WHERE turn % 3 <> 1")
 def subtitle_index(spark, sf):
     """Numbered before segments are dropped, so drops leave gaps."""
-    u = S.utterances(spark, sf).withColumn("idx", F.row_number().over(W.partitionBy("source_id").orderBy("turn")))
+    u = numbered_within(S.utterances(spark, sf).select("source_id", "turn"), ["source_id"], ["turn"], "idx", start=1)
     return u.filter("turn % 3 != 1").select("source_id", "turn", "idx")
 
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import time
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.operators import hooks as H
 from cadenza.operators import segments as G
+from cadenza.operators.windows import numbered_within
 from cadenza.plans import suite as S
-from cadenza.plans.columns import context
+from cadenza.plans.columns import context_of
 from cadenza.plans.suite import query, r6, round_doubles, table
+from cadenza.runtime import scratch_path
 from cadenza.streaming import jobs as J
 
+#: Micro-batches over which a query's stream comes.
+BATCHES = 20
+
 CONFIG = G.VadConfig(min_speech_ms=96, min_silence_ms=96, speech_pad_ms=160, max_speech_ms=960)
 
 # mode 0 silence, 1 potential, 2 speech, 3 ending; fin: a segment (start, ts) ends with this row
@@ -44,11 +50,16 @@ def vad_segments(spark, sf):
     return round_doubles(G.vad_segments(S.frames(spark, sf), CONFIG))
 
 
+def scattered_frames(spark, sf):
+    """Frames as a stream in which every source's rows are spread over all micro-batches, in no order."""
+    f = S.frames(spark, sf).select("source_id", "frame_idx", "ts_s", "p")
+    return J.stream_of(spark, f, "frames", BATCHES, ["source_id", "frame_idx"])
+
+
 @query("vad_segments_stream", f"WITH {VAD_SQL} SELECT source_id, round(fin_start, 6) start_time, round(ts, 6) end_time, true AS is_final FROM m WHERE fin")
 def vad_segments_stream(spark, sf):
     """The same machine on a stream; a source that may go on has no forced end."""
-    s = J.stream_of(spark, S.frames(spark, sf).select("source_id", "frame_idx", "ts_s", "p"), "frames")
-    return round_doubles(J.run_available(J.vad_stream(s, CONFIG), "segments"))
+    return round_doubles(J.run_available(J.vad_stream(scattered_frames(spark, sf), CONFIG), "segments"))
 
 
 INTERIM = G.VadConfig(min_speech_ms=96, min_silence_ms=320, speech_pad_ms=320, interim_min_ms=160, interim_interval_ms=160)
@@ -56,8 +67,8 @@ INTERIM = G.VadConfig(min_speech_ms=96, min_silence_ms=320, speech_pad_ms=320, i
 
 @query("interim_updates", f"WITH {machine_sql(3, 10, 10, None, (5, 160))} SELECT source_id, round(fin_start, 6) start_time, round(ts, 6) end_time, false AS is_final FROM m WHERE tells")
 def interim_updates(spark, sf):
-    s = J.stream_of(spark, S.frames(spark, sf).select("source_id", "frame_idx", "ts_s", "p"), "frames")
-    return round_doubles(J.run_available(J.vad_stream(s, INTERIM, interim=True), "interim")).filter("not is_final")
+    """Provisional rows of a stream, whose frames wait until those before them have come."""
+    return round_doubles(J.run_available(J.vad_stream(scattered_frames(spark, sf), INTERIM, interim=True), "interim")).filter("not is_final")
 
 
 def coalesce_sql(view: str) -> str:
@@ -83,15 +94,25 @@ def utterance_coalesce(spark, sf):
     return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
 
 
+#: The stream's clock stands a millisecond after the start of an utterance, and the watermark so far behind the newest.
+DELAY_MS, CELL_MS, WINDOW_S = 90_000, 60_000, 2.0
+S.SQL["v_clock"] = f"SELECT *, floor(start_time * 1000)::BIGINT + 1 ms, max(floor(start_time * 1000)::BIGINT + 1) OVER () - {DELAY_MS} mark FROM v_utt"
+S.SQL["v_seen"] = f"SELECT * FROM v_clock WHERE (ms // {CELL_MS} + 1) * {CELL_MS} <= mark"
+
+
 @query("coalesce_timeout", f"""
-WITH {coalesce_sql('v_utt')}, newest AS (SELECT floor(max(end_time) * 1000) ms FROM v_utt),
-told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL AND floor(h.e * 1000) + 2000 < (SELECT ms FROM newest) - 1000)
+WITH {coalesce_sql('v_seen')}, told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL AND ceil(h.e * 1000) + {int(WINDOW_S * 1000)} + 1 <= (SELECT max(mark) FROM v_clock))
 SELECT source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged FROM told""")
 def coalesce_timeout(spark, sf):
-    """The streaming coalescer: what is held leaves when the event clock passes its end and the window."""
-    u = S.utterances(spark, sf).withColumn("ts", F.timestamp_millis((F.col("end_time") * 1000).cast("long")))
-    s = J.stream_of(spark, u.select("source_id", "turn", *G.UTTERANCE, "ts"), "utterances").withWatermark("ts", "1 second")
-    return round_doubles(J.run_available(J.coalesce_stream(s, 2.0), "coalesced"))
+    """The streaming coalescer over utterances that come up to a minute out of order: what is held leaves when the event clock passes its end and the window."""
+    ms = F.floor(F.col("start_time") * 1000) + 1
+    u = S.utterances(spark, sf).withColumn("ts", F.timestamp_millis(ms)).select("source_id", "turn", *G.UTTERANCE, "ts")
+    part = F.col("start_time") % 300_000 + F.pmod(F.xxhash64("source_id", "turn"), F.lit(60))
+    batch = F.floor(F.col("start_time") / 300_000) * 3 + F.least(F.floor(part / 100), F.lit(2))
+    batches = u.agg(F.max(F.floor(F.col("start_time") / 300_000))).first()[0]
+    s = J.slices_of(spark, u, "utterances", batch, 3 * (int(batches or 0) + 1))
+    s = s.withWatermark("ts", f"{DELAY_MS} milliseconds")
+    return round_doubles(J.run_available(J.coalesce_stream(s, WINDOW_S, CELL_MS), "coalesced"))
 
 
 S.SQL["v_kept"] = "SELECT * FROM v_utt WHERE confidence >= 0.2 AND text <> ''"
@@ -129,8 +150,10 @@ S.SQL["v_stream"] = f"SELECT label source_id, pos // {SIZE} frame_idx, x FROM (S
 
 @query("frame_stream", f"SELECT source_id, frame_idx, round(sum(x), 6) + 0.0 total FROM v_stream GROUP BY ALL HAVING count(*) = {SIZE}")
 def frame_stream(spark, sf):
-    a = S.audio(spark, sf).select(F.col("label").cast("long").alias("source_id"), F.col("clip").alias("seq"), "samples")
-    out = J.run_available(J.frame_stream(J.stream_of(spark, a, "chunks"), SIZE), "frames")
+    """A label's clips are the chunks of one source, numbered; they come in no order."""
+    a = numbered_within(S.audio(spark, sf).select(F.col("label").cast("long").alias("source_id"), "clip", "samples"), ["source_id"], ["clip"], "seq")
+    chunks = J.stream_of(spark, a.select("source_id", "seq", "samples"), "chunks", BATCHES, ["source_id", "seq"])
+    out = J.run_available(J.frame_stream(chunks, SIZE), "frames")
     return out.select("source_id", "frame_idx", r6(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), "total"))
 
 
@@ -163,15 +186,29 @@ def session_segments(spark, sf):
     return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+LATE_BATCHES = 12
+S.SQL["v_slices"] = f"""SELECT event_id, ts, least({LATE_BATCHES - 1}, (epoch_us(ts) - lo) * {LATE_BATCHES} // (hi - lo + 1) + CASE WHEN event_id % 40 = 7 THEN 1 + event_id % 5 ELSE 0 END) batch
+FROM (SELECT *, min(epoch_us(ts)) OVER () lo, max(epoch_us(ts)) OVER () hi FROM events)"""
+# in micro-batch b Spark drops what lies behind the watermark that batch b - 1 ran with, which the batches before that one have set
+S.SQL["v_marks"] = f"SELECT b, (SELECT max(ts) FROM v_slices WHERE batch <= b - 2) - INTERVAL '2 hours' AS mark FROM (SELECT unnest(range({LATE_BATCHES})) b)"
+S.SQL["v_late"] = "SELECT ts, coalesce(ts <= mark, false) late, max(ts) OVER () newest FROM v_slices JOIN v_marks ON batch = b"
+
+
 @query("late_data", """
-SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) start, max(ts) OVER () newest FROM events) WHERE start + INTERVAL '1 hour' <= newest - INTERVAL '2 hours' GROUP BY ALL""")
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) n, (SELECT count(*) FROM v_late WHERE late) dropped FROM (SELECT time_bucket(INTERVAL '1 hour', ts) start, newest FROM v_late WHERE NOT late) WHERE start + INTERVAL '1 hour' <= newest - INTERVAL '2 hours' GROUP BY ALL""")
 def late_data(spark, sf):
-    """Hourly counts of a stream with a watermark: windows leave when it passes them, rows behind it are dropped."""
-    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    s = J.stream_of(spark, e, "events").withWatermark("ts", "2 hours")
-    g = s.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    out = J.run_available(g.select(F.col("w.start").alias("start"), "n"), "late")
-    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    """Hourly counts of different events of a stream in which every fortieth comes one to five micro-batches late.
+
+    Windows leave when the watermark passes them; events behind it are dropped one by one, and query progress counts them.
+    """
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    at = F.floor((F.unix_micros("ts") - F.lit(lo)) * LATE_BATCHES / F.lit((hi or 0) - (lo or 0) + 1))
+    late = F.when(F.col("event_id") % 40 == 7, 1 + F.col("event_id") % 5).otherwise(0)
+    s = J.slices_of(spark, e, "events", F.least(at + late, F.lit(LATE_BATCHES - 1)), LATE_BATCHES).withWatermark("ts", "2 hours")
+    g = s.dropDuplicatesWithinWatermark(["event_id"]).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    out, dropped, _ = J.run_counted(g.select(F.col("w.start").alias("start"), "n"), "late")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.lit(dropped).cast("long").alias("dropped"))
 
 
 # hooks ----------------------------------------------------------------------------------------------
@@ -196,34 +233,70 @@ def hook_scorer(spark, sf):
 @query("hook_segmenter", "SELECT clip, h * 0.5::DOUBLE AS start, h * 0.5::DOUBLE + 0.5::DOUBLE AS end FROM v_audio, (SELECT unnest([0, 1]) h) WHERE samples[1] >= 0")
 def hook_segmenter(spark, sf):
     halves = lambda a, rate: [] if a[0] < 0 else [(0.0, len(a) / rate / 2), (len(a) / rate / 2, len(a) / rate)]
-    return H.with_segmenter(S.audio(spark, sf).select("clip", "samples"), halves, 64).drop("samples")
+    return H.with_segmenter(S.audio(spark, sf).select("clip", "samples"), halves, 64).drop("samples", "error")
 
 
-@query("hook_preprocessor", "SELECT clip, CASE WHEN samples[1] <= 0 THEN 'length changed' END AS error, CASE WHEN samples[1] > 0 THEN round(list_max([least(greatest(x, -0.1), 0.1) FOR x IN samples]), 6) + 0.0 END peak FROM v_audio")
+@query("hook_segmenter_errors", "SELECT clip, CASE WHEN clip % 3 = 0 THEN 'ZeroDivisionError' WHEN clip % 3 = 1 THEN 'TypeError' END AS error, CASE WHEN clip % 3 = 2 THEN 0.0::DOUBLE END AS start FROM v_audio")
+def hook_segmenter_errors(spark, sf):
+    """A segmenter that fails for a third of the clips and returns no pairs for another."""
+    def broken(a, rate):
+        kind = int(a[-1]) % 3
+        return [(0.0, 1 / (kind > 0))] if kind != 1 else [3.0]
+
+    a = S.audio(spark, sf).select("clip", F.concat("samples", F.array(F.col("clip").cast("double"))).alias("samples"))
+    return H.with_segmenter(a, broken, 64).select("clip", "error", "start")
+
+
+@query("hook_preprocessor", "SELECT clip, CASE WHEN samples[1] > 0 THEN NULL WHEN samples[2] > 0 THEN 'length changed' WHEN samples[3] > 0 THEN 'type changed' WHEN samples[4] > 0 THEN 'TypeError' ELSE 'IndexError' END AS error, CASE WHEN samples[1] > 0 THEN round(list_max([least(greatest(x, -0.1), 0.1) FOR x IN samples]), 6) + 0.0 END peak FROM v_audio")
 def hook_preprocessor(spark, sf):
-    clip = lambda a: a.clip(-0.1, 0.1) if a[0] > 0 else a[:-1]
+    """A preprocessor that breaks its contract in four ways, each for some of the clips."""
+    def clip(a):
+        if a[0] > 0:
+            return a.clip(-0.1, 0.1)
+        return a[:-1] if a[1] > 0 else a.astype("float32") if a[2] > 0 else a.tolist() if a[3] > 0 else a[len(a)]
+
     out = H.with_preprocessor(S.audio(spark, sf).select("clip", "samples"), clip)
     return out.select("clip", "error", r6(F.array_max("samples"), "peak"))
 
 
 def bracket_translator():
-    """A stand-in translator, which also shows how much context it saw."""
-    return lambda text, source, target, before: f"[{text}]/{len(before)}"
+    """A stand-in translator, which also shows how much context it saw; it refuses a few texts and is slow for a few."""
+
+    def translate(text, source, target, before):
+        if text.endswith("x"):
+            raise ValueError(text)
+        if text.startswith("zz"):
+            time.sleep(5)
+        return f"[{text}]/{len(before)}"
+
+    return translate
+
+
+BEFORE = "length(coalesce(array_to_string(list(text) OVER (PARTITION BY source_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), ''))"
 
 
-@query("hook_translator", "SELECT source_id, turn, '[' || text || ']/' || length(coalesce(array_to_string(list(text) OVER (PARTITION BY source_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '')) AS translated FROM v_utt")
+@query("hook_translator", f"SELECT source_id, turn, CASE WHEN text <> '' AND NOT text LIKE '%x' AND NOT text LIKE 'zz%' THEN '[' || text || ']/' || {BEFORE} END AS translated, CASE WHEN text LIKE '%x' THEN 'ValueError' WHEN text LIKE 'zz%' THEN 'timeout' END AS error FROM v_utt")
 def hook_translator(spark, sf):
-    u = S.utterances(spark, sf).select("source_id", "turn", "text", context(2).alias("before"))
-    return u.select("source_id", "turn", H.translated(F.col("text"), F.col("before"), "en", "ja", bracket_translator).alias("translated"))
+    """Translations with the two texts before, a deadline and an error for each row."""
+    u = S.utterances(spark, sf).select("source_id", "turn", "text")
+    u = u.join(context_of(u, 2), ["source_id", "turn"])
+    t = H.translation(F.col("text"), F.col("context"), "en", "ja", bracket_translator, seconds=1.0)
+    return u.withColumn("t", t).select("source_id", "turn", "t.translated", "t.error")
 
 
-@query("hook_callbacks", "SELECT source_id, turn, confidence >= 0.2 emitted FROM v_utt")
+@query("hook_callbacks", """
+SELECT source_id, turn, 'interim' kind, NULL::BOOLEAN emitted FROM v_utt WHERE NOT is_final UNION ALL SELECT source_id, turn, 'result', true FROM v_utt WHERE is_final AND confidence >= 0.2
+UNION ALL SELECT source_id, turn, 'settled', confidence >= 0.2 FROM v_utt WHERE is_final""")
 def hook_callbacks(spark, sf):
-    """Results and then settled rows of a stream, each batch, to two sinks."""
-    from cadenza.runtime import scratch_path
-
-    u = S.utterances(spark, sf).select("source_id", "turn", "text", "confidence")
-    a, b = scratch_path(spark, "results"), scratch_path(spark, "settled")
-    ok = F.col("confidence") >= 0.2
-    J.each_batch(J.stream_of(spark, u, "utterances"), "callbacks", lambda d, _: d.filter(ok).write.mode("append").parquet(a), lambda d, _: d.select("source_id", "turn", ok.alias("emitted")).write.mode("append").parquet(b))
-    return spark.read.schema("source_id long, turn long, emitted boolean").parquet(b)
+    """Provisional rows, results and then settled rows of a stream, batch by batch, to three sinks; each batch's rows replace those of an attempt that failed."""
+    u = S.utterances(spark, sf).select("source_id", "turn", "text", "confidence", "is_final")
+    path, ok = scratch_path(spark, "callbacks"), F.col("confidence") >= 0.2
+    rows = lambda d, kind, emitted: d.select("source_id", "turn", F.lit(kind).alias("kind"), emitted.alias("emitted"))
+    J.each_batch(
+        J.stream_of(spark, u, "utterances", 5, ["source_id", "turn"]), path,
+        lambda d, n: J.overwrite_epoch(rows(d.filter(ok), "result", F.lit(True)), f"{path}/result", n),
+        lambda d, n: J.overwrite_epoch(rows(d, "interim", F.lit(None).cast("boolean")), f"{path}/interim", n),
+        lambda d, n: J.overwrite_epoch(rows(d, "settled", ok), f"{path}/settled", n),
+    )
+    sinks = [spark.read.schema("source_id long, turn long, kind string, emitted boolean").parquet(f"{path}/{kind}/*") for kind in ("interim", "result", "settled")]
+    return sinks[0].union(sinks[1]).union(sinks[2])

@@ -113,16 +113,30 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-SQL["v_cells"] = """
+def whole(c: Column | str, unit: float) -> Column:
+    """c in whole units: sums of such numbers are exact in any order, which sums of doubles are not."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * unit + 0.5)
+
+
+def places6(c: Column, unit: float = 1.0) -> Column:
+    """A mean of whole units at six places; halves go up, by the same arithmetic as in the twin."""
+    return F.floor(c / (unit / 1e6) + 0.5) / 1e6
+
+
+mean6 = "floor(avg(floor({} * 1e9 + 0.5)::BIGINT) / 1e3 + 0.5) / 1e6".format
+rest6 = "floor((1e9 - avg(floor({} * 1e9 + 0.5)::BIGINT)) / 1e3 + 0.5) / 1e6".format
+SQL["v_cells"] = f"""
 SELECT CASE WHEN l_linenumber = 1 THEN 'baseline_off' ELSE 'p' || l_linenumber END preset, l_linestatus backend, engine, l_returnflag corpus,
-       round(avg(wer), 6) false_trigger, round(1 - avg(cer), 6) recall, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE round(1 - avg(wer), 6) END short_recall, round(avg(rtf), 6) hallucination, round(avg(proc_time), 6) latency
+       {mean6('wer')} false_trigger, {rest6('cer')} recall, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE {rest6('wer')} END short_recall, {mean6('rtf')} hallucination, {mean6('proc_time')} latency
 FROM v_results GROUP BY l_linenumber, l_linestatus, engine, l_returnflag
 """
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Sweep cells: results averaged by preset, backend, engine and corpus."""
-    g = results(spark, sf).groupBy("l_linenumber", "l_linestatus", "engine", "l_returnflag").agg(r6(F.avg("wer"), "false_trigger"), r6(1 - F.avg("cer"), "recall"), r6(1 - F.avg("wer"), "sr"), r6(F.avg("rtf"), "hallucination"), r6(F.avg("proc_time"), "latency"))
+    """Sweep cells: results averaged by preset, backend, engine and corpus, at six places."""
+    mean = lambda c: F.avg(whole(c, 1e9))
+    of = {"false_trigger": mean("wer"), "recall": 1e9 - mean("cer"), "sr": 1e9 - mean("wer"), "hallucination": mean("rtf"), "latency": mean("proc_time")}
+    g = results(spark, sf).groupBy("l_linenumber", "l_linestatus", "engine", "l_returnflag").agg(*(places6(c, 1e9).alias(n) for n, c in of.items()))
     preset = F.when(F.col("l_linenumber") == 1, "baseline_off").otherwise(F.concat(F.lit("p"), F.col("l_linenumber").cast("string")))
     return g.select(preset.alias("preset"), F.col("l_linestatus").alias("backend"), "engine", F.col("l_returnflag").alias("corpus"), "false_trigger", "recall", F.when(F.col("l_linenumber") % 3 != 0, F.col("sr")).alias("short_recall"), "hallucination", "latency")
 

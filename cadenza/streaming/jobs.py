@@ -1,123 +1,171 @@
-"""Structured Streaming twins of the keyed folds. State is one small row per source; rows of a batch are put in order by their index."""
+"""Structured Streaming twins of the keyed folds, and ways to run a stream over what is there.
+
+Rows may come in any order: folds run on ``ordered.Sequenced`` (numbered rows) or ``ordered.Timed`` (rows in
+event time). Micro-batches are bounded by the files of a trigger.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from math import ceil
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza.operators.segments import START, UTTERANCE, GateConfig, SpeechMachine, VadConfig, gate_step, push
-from cadenza.runtime import scratch_path
+from cadenza.runtime import materialise, scratch_path
+from cadenza.streaming.ordered import Sequenced, Timed
 
 SEGMENT = "source_id long, start_time double, end_time double, is_final boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
-def _ordered(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+def in_sequence(rows: DataFrame, order: str, fields: dict[str, str], state: str, start: tuple, step, out: str, key: str = "source_id") -> DataFrame:
+    """The outputs (schema out, the key first) of a fold over each key's rows, numbered by order from 0."""
+    return rows.select(key, order, *fields).groupBy(key).transformWithStateInPandas(Sequenced(order, fields, state, start, step, _names(out)), out, "Append", "None")
 
 
 def vad_stream(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool = False) -> DataFrame:
     """Segments of frames(source_id, frame_idx, ts_s, p) as they close; with interim also provisional rows."""
 
-    def run(key, batches, state: GroupState):
-        machine = SpeechMachine(config, tuple(state.get) if state.exists else START)
-        pdf = _ordered(batches, "frame_idx")
-        out = [s for p, t in zip(pdf["p"].tolist(), pdf["ts_s"].tolist(), strict=True) for s in machine.step(p, t, interim)]
-        state.update(machine.state)
-        yield pd.DataFrame([(key[0], *s) for s in out], columns=["source_id", "start_time", "end_time", "is_final"])
+    def step(state, row, out):
+        machine = SpeechMachine(config, state)
+        out += machine.step(row[1], row[0], interim)
+        return machine.state
 
     kept = "mode string, pre int, loud int, quiet int, start double, held int, told_at double, told int"
-    return frames.groupBy("source_id").applyInPandasWithState(run, SEGMENT, kept, "append", GroupStateTimeout.NoTimeout)
+    return in_sequence(frames, "frame_idx", {"ts_s": "double", "p": "double"}, kept, START, step, SEGMENT)
 
 
 def gate_stream(series: DataFrame, config: GateConfig) -> DataFrame:
     """The envelope gate over (source_id, frame_idx, value)."""
 
-    def run(key, batches, state: GroupState):
-        s = tuple(state.get) if state.exists else (0.0, False, 0)
-        pdf, opened = _ordered(batches, "frame_idx"), []
-        for x in pdf["value"].tolist():
-            s = gate_step(s, x, config)
-            opened.append(s[1])
-        state.update(s)
-        yield pd.DataFrame({"source_id": key[0], "frame_idx": pdf["frame_idx"], "value": pdf["value"], "open": opened})
+    def step(state, row, out):
+        new = gate_step(state[:3], row[0], config)
+        out.append((state[3], row[0], new[1]))
+        return (*new, state[3] + 1)
 
-    return series.groupBy("source_id").applyInPandasWithState(run, "source_id long, frame_idx long, value double, open boolean", "envelope double, open boolean, hold int", "append", GroupStateTimeout.NoTimeout)
+    return in_sequence(series, "frame_idx", {"value": "double"}, "envelope double, open boolean, hold int, next long", (0.0, False, 0, 0), step, "source_id long, frame_idx long, value double, open boolean")
 
 
 def frame_stream(chunks: DataFrame, size: int) -> DataFrame:
     """(source_id, frame_idx, samples): chunks(source_id, seq, samples) of any length cut to frames; the rest waits for the next chunk."""
 
-    def run(key, batches, state: GroupState):
-        rest, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        pdf = _ordered(batches, "seq")
-        x = np.concatenate([np.asarray(rest, float), *(np.asarray(a, float) for a in pdf["samples"])])
-        k = len(x) // size
-        state.update((x[k * size :].tolist(), n + k))
-        yield pd.DataFrame({"source_id": key[0], "frame_idx": range(n, n + k), "samples": list(x[: k * size].reshape(k, size))})
+    def step(state, row, out):
+        rest, n = list(state[0]) + list(row[0]), state[1]
+        k = len(rest) // size
+        out += [(n + i, rest[i * size : (i + 1) * size]) for i in range(k)]
+        return rest[k * size :], n + k
 
-    return chunks.groupBy("source_id").applyInPandasWithState(run, "source_id long, frame_idx long, samples array<double>", "rest array<double>, n long", "append", GroupStateTimeout.NoTimeout)
+    return in_sequence(chunks, "seq", {"samples": "array<double>"}, "rest array<double>, n long", ([], 0), step, "source_id long, frame_idx long, samples array<double>")
 
 
-def coalesce_stream(utterances: DataFrame, window: float = 5.0) -> DataFrame:
+def coalesce_stream(utterances: DataFrame, window: float = 5.0, cell_ms: int = 1000) -> DataFrame:
     """Short utterances merged into the next within the window; one that waits longer leaves when the watermark passes its end and the window.
 
-    utterances(source_id, turn, text, start_time, end_time, confidence, language, ts) with a watermark on ts, the row's end on the event clock.
+    utterances(source_id, turn, text, start_time, end_time, confidence, language, ts) with a watermark on ts, the row's
+    start on the event clock: whatever comes later starts later, so no utterance leaves before one that it would merge with.
     """
     fields = [*UTTERANCE, "merged"]
 
-    def run(key, batches, state: GroupState):
-        held = dict(zip([*fields, "ts_ms"], state.get, strict=True)) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out, held = [held], None
-        else:
-            for r in _ordered(batches, "turn").to_dict("records"):
-                new = {c: r[c] for c in UTTERANCE} | {"language": r["language"] or None, "merged": 1, "ts_ms": int(r["ts"].timestamp() * 1000)}
-                at = new["ts_ms"]
-                held, done = push(held, new, window)
-                if held:
-                    held["ts_ms"] = at
-                out += done
-        if held:
-            state.update((*(held[c] for c in fields), held["ts_ms"]))
-            state.setTimeoutTimestamp(max(held["ts_ms"] + int(window * 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([{"source_id": key[0], **{c: o[c] for c in fields}} for o in out], columns=["source_id", *fields])
-
-    u = utterances.withColumn("language", F.coalesce("language", F.lit("")))
+    def emit(rows, out):
+        out += [tuple(r[c] for c in fields) for r in rows]
+
+    def held_of(state):
+        return dict(zip(fields, state, strict=True)) if state[-1] else None
+
+    def step(state, row, out):
+        new = dict(zip(UTTERANCE, row[1:], strict=True)) | {"language": row[-1] or None, "merged": 1}
+        held, done = push(held_of(state), new, window)
+        emit(done, out)
+        return tuple(held[c] for c in fields) if held else none
+
+    def due(state):
+        return ceil(state[fields.index("end_time")] * 1000) + int(window * 1000) if state[-1] else None
+
+    def expire(state, out):
+        emit([held_of(state)], out)
+        return none
+
+    none = ("", 0.0, 0.0, 0.0, None, 0)
+    kinds = {"turn": "long", "text": "string", "start_time": "double", "end_time": "double", "confidence": "double", "language": "string"}
     row = "text string, start_time double, end_time double, confidence double, language string, merged int"
-    return u.groupBy("source_id").applyInPandasWithState(run, f"source_id long, {row}", f"{row}, ts_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = Timed("ts", ["start_time", "turn"], kinds, row, none, step, due, expire, ["source_id", *fields], cell_ms)
+    u = utterances.withColumn("language", F.coalesce("language", F.lit(""))).select("source_id", "ts", *kinds)
+    return u.groupBy("source_id").transformWithStateInPandas(timed, f"source_id long, {row}", "Append", "EventTime")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now, into Parquet on shared storage, and read that."""
+@contextmanager
+def _state_in_rocks(spark: SparkSession) -> Iterator[None]:
+    """State kept by RocksDB, which the processors need, for queries that start inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def run_counted(stream: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """(rows, late rows dropped, micro-batches) of a stream over what its source holds now, written as Parquet to shared storage."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    with _state_in_rocks(spark):
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    progress = q.recentProgress
+    late = sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(path), late, len({p.batchId for p in progress if p.numInputRows})
 
 
-def each_batch(stream: DataFrame, name: str, on_result: Callable[[DataFrame, int], None], on_settled: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over what is there; each batch goes to the result callback and then to the settled callback."""
-    path = scratch_path(stream.sparkSession, name)
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """The rows of a stream over what its source holds now."""
+    return run_counted(stream, name)[0]
+
+
+def each_batch(stream: DataFrame, path: str, on_result: Callable[[DataFrame, int], None], on_interim: Callable[[DataFrame, int], None] | None = None, on_settled: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Run a stream (is_final, ...) over what is there: each batch is computed once, and its provisional rows, its results and its settled rows go to their callbacks, in this order.
+
+    A batch that fails between two callbacks is handed out again under its number, with the same rows; callbacks
+    that write by that number (``overwrite_epoch``) so leave no duplicate.
+    """
 
-    def both(batch: DataFrame, epoch: int) -> None:
-        on_result(batch, epoch)
-        on_settled(batch, epoch)
+    def all_of(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            if on_interim:
+                on_interim(batch.filter("not is_final"), epoch)
+            on_result(batch.filter("is_final"), epoch)
+            if on_settled:
+                on_settled(batch.filter("is_final"), epoch)
+        finally:
+            batch.unpersist()
 
-    stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(all_of).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+
+
+def overwrite_epoch(rows: DataFrame, path: str, epoch: int) -> None:
+    """A batch's rows as the partition of its number: written again, they replace what a failed attempt left."""
+    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def stream_of(spark: SparkSession, df: DataFrame, name: str, batches: int = 1, by: list[str | Column] | None = None) -> DataFrame:
+    """df's rows as a file stream of so many micro-batches, dealt by the hash of ``by``, so a source's rows come in all of them and in no order."""
+    path = scratch_path(spark, name)
+    (df.repartition(batches, *by) if by else df.coalesce(batches)).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def stream_of(spark: SparkSession, df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """df's rows as a file stream."""
+def slices_of(spark: SparkSession, df: DataFrame, name: str, batch: Column, batches: int) -> DataFrame:
+    """df's rows as a file stream whose micro-batches come in the order of ``batch`` (0 to batches - 1)."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    reader = spark.readStream.schema(df.schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+    numbered = materialise(df.withColumn("__batch", batch.cast("int")).repartition("__batch"), f"{name}-slices")
+    for i in range(batches):
+        numbered.filter(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -405,9 +405,12 @@ def test_entities_and_scripts(spark):
 
 
 def test_coalescer_stream_times_out(spark):
-    u = suite.utterances(spark, "/root/testdata/sf0.001").withColumn("ts", F.timestamp_millis((F.col("end_time") * 1000).cast("long"))).select("source_id", "turn", *G.UTTERANCE, "ts")
+    """Utterances in no order, over several micro-batches: what has left by the last watermark is what the batch job gives."""
+    u = suite.utterances(spark, "/root/testdata/sf0.001").withColumn("ts", F.timestamp_millis(F.floor(F.col("start_time") * 1000) + 1)).select("source_id", "turn", *G.UTTERANCE, "ts")
+    s = jobs.stream_of(spark, u, "utterances", 4, ["source_id", "turn"]).withWatermark("ts", "30 days")
+    assert jobs.run_available(jobs.coalesce_stream(s, 2.0, 60_000), "coalesced").count() == 0
     s = jobs.stream_of(spark, u, "utterances").withWatermark("ts", "0 seconds")
-    out = jobs.run_available(jobs.coalesce_stream(s, 2.0), "coalesced")
+    out = jobs.run_available(jobs.coalesce_stream(s, 2.0, 60_000), "coalesced")
     batch = G.coalesce_utterances(u, 2.0)
     key = lambda d: {(r["source_id"], r["text"], r["merged"]) for r in d.collect()}
     assert key(out) <= key(batch) and out.count() >= batch.count() * 0.8
@@ -469,6 +472,8 @@ def test_hooks(spark):
     assert [r["error"] for r in hooks.with_preprocessor(d, lambda a: a[:1]).orderBy("clip").collect()] == ["length changed", None]
 
 
+
+
 @pytest.mark.parametrize("parts", ["1", "2", "8"])
 def test_partitions_do_not_matter(spark, sf, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
