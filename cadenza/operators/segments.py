@@ -291,9 +291,13 @@ def _gate(is_open: bool, hold: int, envelope: float, c: GateConfig) -> tuple[boo
     return (True, c.release) if envelope > c.open_level else (False, hold)
 
 
+#: Time constants of the envelope after which what lay before leaves no bit; a cell is as long at least.
+MEMORY = 40
+
+
 def _tail_ends(series: DataFrame, config: GateConfig, size: int) -> DataFrame:
-    """(k, cell, end): the envelope after each cell, taken from its last rows alone; at 40 time constants what lay before leaves no bit."""
-    reach = min(size, ceil(40 * max(config.attack, config.release)))
+    """(k, cell, end): the envelope after each cell, taken from its last rows alone."""
+    reach = ceil(MEMORY * max(config.attack, config.release))
 
     def step(state, row, out):
         return gate_step((state, False, 0), row[3], config)[0]
@@ -358,6 +362,7 @@ def hysteresis_gate(series: DataFrame, config: GateConfig, key: str = "source_id
     """
     if config.close_level > config.open_level:
         raise ValueError("a gate closes at its opening level or below")
+    size = max(size, ceil(MEMORY * max(config.attack, config.release)))
     x = series.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col(value).alias("x")).withColumn("cell", F.floor(F.col("i") / size))
     starts = materialise(_starts(_ends_of_all(x, _tail_ends(x, config, size))), "gate-starts")
     while True:

@@ -472,8 +472,6 @@ def test_hooks(spark):
     assert [r["error"] for r in hooks.with_preprocessor(d, lambda a: a[:1]).orderBy("clip").collect()] == ["length changed", None]
 
 
-
-
 @pytest.mark.parametrize("parts", ["1", "2", "8"])
 def test_partitions_do_not_matter(spark, sf, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
