@@ -51,8 +51,10 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bad = materialise(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.select("rid", "doc", "no", "h1", "h2").join(bad, ["h1", "h2"])
     hits = hits.filter(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.no") == F.col("no"))))
-    gone = hits.groupBy("rid").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("rid", "__rid")
-    out = docs.withColumn("__rid", F.xxhash64(id_col, text_col)).join(gone, "__rid", "left").drop("__rid")
+    # a row is known by its id and the hash of id and text
+    gone = hits.groupBy("rid", "doc").agg(F.collect_set("no").alias("__gone")).select(F.col("rid").alias("__rid"), F.col("doc").alias("__doc"), "__gone")
+    own = F.xxhash64(docs[id_col], docs[text_col]) == F.col("__rid")
+    out = docs.join(gone, own & docs[id_col].eqNullSafe(F.col("__doc")), "left").drop("__rid", "__doc")
     out = out.withColumn("__n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long"))
     out = out.withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col("__gone")))).drop("__gone")

@@ -13,7 +13,9 @@ loses no link.
 fingerprints differ by ten bits, too many for blocks that must agree, so it takes four fingerprints of each
 text, side by side, and deals by ``width`` of their bits, chosen at random for each of enough tables that a
 pair at the similarity is missed with probability ``miss`` at most. The trie join, with a budget that such
-pairs keep to, then finds links, and each is checked on the whole shingle sets.
+pairs keep to, then finds links, and each is checked on the whole shingle sets. The first join gives a spanning
+forest, in which a link that the check refutes may have hidden a true one. So the nodes that refuted links
+connect are joined a second time, for all pairs between those that verified links have not brought together.
 
 Null text is empty; a document without words has fingerprint zero and links like any other. Repeated
 rows share a fingerprint; rows without id take part but give no component its id. An empty table gives
@@ -94,8 +96,21 @@ class Forest:
         self.label = lab
 
 
-def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], block: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within each group that differ in at most budgets[-1] bits.
+class Across(Forest):
+    """All pairs whose members have different labels, which stay as they are."""
+
+    def __init__(self, label: np.ndarray):
+        super().__init__(0)
+        self.label = label
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        differ = self.label[a] != self.label[b]
+        if differ.any():
+            self.pairs.append((a[differ], b[differ]))
+
+
+def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], block: int = 200_000, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within each group that differ in at most budgets[-1] bits; with labels, all such pairs of different labels.
 
     codes has a column for each 64 bits; rows are distinct within a group and sorted by group and columns.
     A trie node is a range of that order; a frontier holds node pairs of one depth, and at most ``block``
@@ -103,7 +118,7 @@ def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], b
     once. Lesser budgets first let close pairs form the forest before distant ones.
     """
     n, lanes = codes.shape
-    forest = Forest(n)
+    forest = Forest(n) if labels is None else Across(labels)
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], n)
     keep = ends - cuts > 1
@@ -136,7 +151,7 @@ def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], b
                 forest.link(x[near], y[near])
                 al, ah, bl, bh, diff = (x[~leaf] for x in (al, ah, bl, bh, diff))
             # what remains below can't exceed the budget: every pair links, so one member stands for all
-            sure = diff + depth <= budget
+            sure = (diff + depth <= budget) & (labels is None)
             if sure.any():
                 for x, l, h in ((al, al, ah), (bl, bl, bh)):
                     size = (h - l)[sure]
@@ -160,14 +175,16 @@ def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], b
 
 
 def _joined(dealt: DataFrame, lanes: int, budgets: tuple[int, ...]) -> DataFrame:
-    """(u, v): the forest of each deal of dealt (key, node, c0, c1 ...). A deal is held by one task, with few others at a time."""
+    """(u, v): the forest of each deal of dealt (key, node, c0, c1 ...), or with a column label all pairs across labels. A deal is held by one task, with few others at a time."""
     cols = [f"c{i}" for i in range(lanes)]
+    labelled = ["label"] if "label" in dealt.columns else []
 
     def solve(t: pa.Table):
         node, key = t.column("node").to_numpy(), t.column("key").to_numpy()
         codes = np.stack([t.column(c).to_numpy().view(np.uint64) for c in cols], axis=1)
         order = np.lexsort((*codes.T[::-1], key))
-        a, b = trie_links(codes[order], key[order], budgets)
+        labels = t.column("label").to_numpy()[order] if labelled else None
+        a, b = trie_links(codes[order], key[order], budgets, labels=labels)
         f = node[order]
         return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], names=["u", "v"])
 
@@ -186,7 +203,7 @@ def _joined(dealt: DataFrame, lanes: int, budgets: tuple[int, ...]) -> DataFrame
         if held is not None and len(held):
             yield solve(held)
 
-    return dealt.select("key", "node", *cols).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return dealt.select("key", "node", *cols, *labelled).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def _large(dealt: DataFrame, hot: int) -> DataFrame | None:
@@ -285,23 +302,34 @@ def wide_code(sh: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_rows(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, rid, fp, c0, c1 ...) of texts (doc_id, rid, text): fp hashes the set of shingles."""
+def wide_rows(texts: DataFrame, words: int, bits: int = 64) -> DataFrame:
+    """(doc_id, rid, fp, fp2, c0, c1 ...) of texts (doc_id, rid, text): fp and fp2 hash the set of shingles; bits of fp are used."""
     cols = [f"c{i}" for i in range(len(LANES))]
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            fp, codes = [], []
+            fp, fp2, codes = [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), words)
-                fp.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
+                fp.append(xxhash.xxh64_intdigest(s.tobytes(), 42) >> (64 - bits))
+                fp2.append(xxhash.xxh64_intdigest(s.tobytes(), 43))
                 codes.append(wide_code(s))
             c = np.array(codes, np.int64).reshape(len(codes), len(cols))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), *map(pa.array, c.T.copy())], names=["doc_id", "rid", "fp", *cols])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (fp, fp2)), *map(pa.array, c.T.copy())], names=["doc_id", "rid", "fp", "fp2", *cols])
+
+    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, fp long, fp2 long, " + ", ".join(f"{c} long" for c in cols))
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, fp long, " + ", ".join(f"{c} long" for c in cols))
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows without fp2, where sets that share fp but not fp2 get names of their own."""
+    clash = rows.groupBy("fp").agg(F.min("fp2").alias("lo"), F.max("fp2").alias("hi")).filter("lo != hi").select("fp", F.lit(True).alias("clash"))
+    clash = materialise(clash, "clashes")
+    if clash.isEmpty():
+        return rows.drop("fp2")
+    own = F.when(F.col("clash"), F.xxhash64("fp", "fp2")).otherwise(F.col("fp"))
+    return materialise(rows.join(small(clash, F.lit(9)), "fp", "left").withColumn("fp", own).drop("fp2", "clash"), "apart")
 
 
 def tables_for(p: float, width: int, miss: float) -> int:
@@ -310,8 +338,9 @@ def tables_for(p: float, width: int, miss: float) -> int:
 
 
 def _sample_bits(rows: DataFrame, width: int, tables: int, seed: int) -> DataFrame:
-    """rows (key, node, c0 ...) once for each table: the key takes in the table and the values of its bits."""
+    """rows (key, node, c0 ..., maybe label) once for each table: the key takes in the table and the values of its bits."""
     cols = [f"c{i}" for i in range(len(LANES))]
+    others = [*cols, *(["label"] if "label" in rows.columns else [])]
     picks = np.stack([np.random.default_rng([seed, t]).permutation(64 * len(LANES))[:width] for t in range(tables)])
 
     def run(batches):
@@ -322,24 +351,26 @@ def _sample_bits(rows: DataFrame, width: int, tables: int, seed: int) -> DataFra
             for t, pick in enumerate(picks):
                 value = bits[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
                 k = (key * np.uint64(LANES[1]) + (np.uint64(t) << np.uint64(40)) + value + np.uint64(seed)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(b.column(i) for i in range(1, 2 + len(cols)))], names=["key", "node", *cols])
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(b.column(i) for i in range(1, 2 + len(others)))], names=["key", "node", *others])
+
+    return rows.select("key", "node", *others).mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in others))
 
-    return rows.select("key", "node", *cols).mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in cols))
 
+def similar_links(nodes: DataFrame, similarity: float, miss: float, width: int, hot: int = 50_000) -> DataFrame:
+    """(u, v): pairs of nodes (fp, c0 ...) that may reach the similarity, a spanning forest task by task; of nodes with a label, all pairs of different labels.
 
-def similar_links(nodes: DataFrame, similarity: float, miss: float, hot: int = 50_000) -> DataFrame:
-    """(u, v): pairs of nodes (fp, c0 ...) that may reach the similarity, a spanning forest task by task."""
+    Tables take ``width`` bits.
+    """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * len(LANES)
     budget = math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
-    width = max(12, nodes.count().bit_length() - 4)  # some sixteen chance comers a deal
     rows, found, level = nodes.withColumn("key", F.lit(0).cast("long")).withColumnRenamed("fp", "node"), None, 0
     while True:
         # pairs in a deal that is dealt again meet in other tables too, so fewer tables do there
         dealt = _sample_bits(rows, width, tables_for(p, width, miss if level == 0 else 0.15), level)
         large = _large(dealt, hot) if level < 3 else None
         here = dealt if large is None else dealt.join(large, "key", "left_anti")
-        got = _joined(here, len(LANES), tuple(budget * i // 4 for i in (1, 2, 3, 4)))
+        got = _joined(here, len(LANES), (budget,) if "label" in nodes.columns else tuple(budget * i // 4 for i in (1, 2, 3, 4)))
         found = got if found is None else found.union(got)
         if large is None:
             return found
@@ -347,7 +378,7 @@ def similar_links(nodes: DataFrame, similarity: float, miss: float, hot: int = 5
 
 
 def similar(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of fp whose whole shingle sets overlap by at least the similarity (Jaccard)."""
+    """The pairs (u, v) of fp, with a flag ``near``: whether their whole shingle sets overlap by at least the similarity (Jaccard)."""
     pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     rids = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("rid").alias("rid"))
@@ -361,15 +392,35 @@ def similar(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, sim
     sets = materialise(one.mapInArrow(run, "fp long, s array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return materialise(both.filter(shared + F.lit(1e-9) >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "near-copies")
+    near = shared + F.lit(1e-9) >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)
+    return materialise(both.select("u", "v", near.alias("near")), "checked")
 
 
-def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
+def similar_pairs(nodes: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float, miss: float) -> DataFrame:
+    """(u, v): verified links that connect all nodes (fp, c0 ...) that links at the similarity connect, but for those missed by the tables."""
+    width = max(12, nodes.count().bit_length() - 4)  # some sixteen chance comers a deal
+    checked = similar(similar_links(nodes, similarity, miss, width), rows, texts, words, similarity)
+    near, refuted = checked.filter("near").select("u", "v"), checked.filter("not near").select("u", "v")
+    if refuted.isEmpty():
+        return near
+    # what a refuted link has joined may hide a true link between other members of the two sides
+    groups = connected_components(checked.select("u", "v"))
+    doubtful = groups.join(refuted.select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
+    of = groups.join(doubtful, "root", "left_semi").select(F.col("node").alias("fp"))
+    known = connected_components(near).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    again = nodes.join(of, "fp", "left_semi").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    again = materialise(again, "doubtful")
+    pairs = similar_links(again, similarity, miss, width)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(refuted, ["u", "v"], "left_anti")
+    return near.union(similar(pairs, rows, texts, words, similarity).filter("near").select("u", "v"))
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 0.005, bits: int = 64) -> DataFrame:
     """One row of docs of each component of texts whose distinct word shingles overlap by the similarity, chosen as in keep_one."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    rows = materialise(wide_rows(texts, words), "wide-fingerprints")
+    rows = apart(materialise(wide_rows(texts, words, bits), "wide-fingerprints"))
     nodes = materialise(rows.drop("doc_id", "rid").dropDuplicates(["fp"]), "nodes")
-    found = similar(similar_links(nodes, similarity, miss), rows, texts, words, similarity)
+    found = similar_pairs(nodes, rows, texts, words, similarity, miss)
     roots = connected_components(found).withColumnRenamed("node", "fp")
     rooted = materialise(nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
     return one_of_each(docs, rows.select("doc_id", "rid", "fp"), rooted, id_col, text_col)
