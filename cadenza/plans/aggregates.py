@@ -337,13 +337,14 @@ def longest_character_run(spark, sf):
 
 
 @query("weighted_logprob", """
-SELECT source_id, round(sum(lp * n) / nullif(sum(n), 0), 6) avg_logprob, string_agg(text, '' ORDER BY turn) AS text
-FROM (SELECT source_id, turn, text, -1 / (1 + turn)::DOUBLE lp, length(text) - turn % 3 n FROM v_utt) WHERE text <> '' AND n > 0 GROUP BY source_id""")
+SELECT source_id, item, round(sum(lp * n) / nullif(sum(n), 0), 6) avg_logprob, string_agg(text, '' ORDER BY turn) AS text
+FROM (SELECT source_id, turn // 100000 item, turn, text, -1 / (1 + turn)::DOUBLE lp, length(text) - turn % 3 n FROM v_utt) WHERE text <> '' AND n > 0 GROUP BY source_id, item""")
 def weighted_logprob(spark, sf):
-    """Pieces of a split input: their mean log-probability by token count, and their texts in order."""
+    """Pieces of a split input, one turn of a conversation: their mean log-probability by token count, and their texts in order."""
     u = S.utterances(spark, sf).withColumns({"lp": -1 / (1 + F.col("turn")), "n": F.length("text") - F.col("turn") % 3}).filter((F.col("text") != "") & (F.col("n") > 0))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")
-    return round_doubles(u.groupBy("source_id").agg((F.sum(F.col("lp") * F.col("n")) / F.sum("n")).alias("avg_logprob"), text.alias("text")))
+    item = F.floor(F.col("turn") / 100_000).alias("item")
+    return round_doubles(u.groupBy("source_id", item).agg((F.sum(F.col("lp") * F.col("n")) / F.sum("n")).alias("avg_logprob"), text.alias("text")))
 
 
 @query("token_confidence_mean", "SELECT clip, round(list_avg([CASE WHEN x < -0.2 THEN NULL ELSE x END FOR x IN samples]), 6) token_confidence_mean FROM v_audio")

@@ -11,6 +11,7 @@ from cadenza.plans.aggregates import COUNTS, GRID, METRICS, RATES
 from cadenza.plans.columns import STAMP
 from cadenza.plans.rows import label_lines
 from cadenza.plans.suite import query, r6, round_doubles, table
+from cadenza.operators.windows import numbered_within
 from cadenza.runtime import few, scratch_path
 from cadenza.sources import readers as R
 from cadenza.sources import writers as Wr
@@ -111,28 +112,30 @@ def scan_corpus_html(spark, sf):
 
 
 def subtitles(spark, sf):
-    u = S.utterances(spark, sf).withColumn("idx", F.row_number().over(W.partitionBy("source_id").orderBy("turn")))
+    u = numbered_within(S.utterances(spark, sf), ["source_id"], ["turn"], "idx", start=1)
     return u.filter("turn % 5 != 1").withColumn("translated_text", F.when((F.col("turn") % 2 == 0) & (F.col("text") != ""), F.concat(F.lit("["), F.col("text"), F.lit("]"))))
 
 
 MS = "(SELECT {} FROM (SELECT CAST(round_even({} * 1000, 0) AS BIGINT) ms))"
 
 
-@query("sink_srt", f"""
-SELECT source_id, string_agg(idx || chr(10) || {MS.format(STAMP, 'start_time')} || ' --> ' || {MS.format(STAMP, 'end_time')} || chr(10) || text || chr(10), chr(10) ORDER BY idx) srt
-FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn) idx FROM v_utt) WHERE turn % 5 <> 1 GROUP BY source_id""")
-def sink_srt(spark, sf):
+SRT = f"idx || chr(10) || {MS.format(STAMP, 'start_time')} || ' --> ' || {MS.format(STAMP, 'end_time')} || chr(10) || {{}} || chr(10) block FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn) idx FROM v_utt) WHERE turn % 5 <> 1"
+
+
+def written_srt(spark, sf, translated=False):
     path = scratch_path(spark, "srt")
-    Wr.write_srt(subtitles(spark, sf), path)
-    back = spark.read.schema("value string, source_id long").text(path, wholetext=True)
-    return back.select("source_id", F.regexp_replace("value", r"\n\z", "").alias("srt"))
+    Wr.write_srt(subtitles(spark, sf), path, translated)
+    return Wr.read_srt(spark, path)
+
+
+@query("sink_srt", f"SELECT source_id, idx, {SRT.format('text')}")
+def sink_srt(spark, sf):
+    return written_srt(spark, sf)
 
 
-@query("sink_srt_translated", f"""
-SELECT source_id, string_agg(idx || chr(10) || {MS.format(STAMP, 'start_time')} || ' --> ' || {MS.format(STAMP, 'end_time')} || chr(10) || '[' || text || ']' || chr(10), chr(10) ORDER BY idx) srt
-FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn) idx FROM v_utt) WHERE turn % 5 <> 1 AND turn % 2 = 0 AND text <> '' GROUP BY source_id""")
+@query("sink_srt_translated", f"SELECT source_id, idx, {SRT.format("'[' || text || ']'")} AND turn % 2 = 0 AND text <> ''")
 def sink_srt_translated(spark, sf):
-    return Wr.srt_blocks(subtitles(spark, sf), translated=True)
+    return written_srt(spark, sf, translated=True)
 
 
 @query("sink_results_csv", """
@@ -253,9 +256,15 @@ TRIALS = [i / 20 for i in range(1, 21)]
 WITH f AS (SELECT i / 20 trial, source_id, count_if(p >= i / 20) hits, count(*) n FROM v_frames, (SELECT unnest(range(1, 21)) i) GROUP BY i, source_id),
 t AS (SELECT trial, avg(CASE WHEN hits = 0 THEN 1 ELSE abs(hits / n - 0.3) END) score FROM f GROUP BY trial) SELECT trial, round(score, 6) score, trial = (SELECT arg_min(trial, (score, trial)) FROM t) best FROM t""")
 def trial_scores(spark, sf):
-    """Candidate thresholds scored by the mean error per source; sources without a segment score 1; the lowest mean is best."""
-    f = S.frames(spark, sf).select("source_id", "p", F.explode(F.lit(TRIALS)).alias("trial"))
-    per = f.groupBy("trial", "source_id").agg(F.count_if(F.col("p") >= F.col("trial")).alias("hits"), F.count("*").alias("n"))
+    """Candidate thresholds scored by the mean error per source; sources without a segment score 1; the lowest mean is best.
+
+    A frame adds to one step of its source's histogram over the grid; sums from above give the hits of every threshold.
+    """
+    step = F.size(F.filter(F.lit(TRIALS), lambda t: t <= F.col("p")))
+    steps = S.frames(spark, sf).groupBy("source_id", step.alias("step")).agg(F.count("*").alias("n"))
+    wide = steps.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("at"), F.sum("n").alias("n"))  # one entry a step
+    above = lambda i: F.aggregate(F.map_entries(F.map_filter("at", lambda k, _: k > i)), F.lit(0).cast("long"), lambda s, x: s + x["value"])
+    per = wide.select("source_id", "n", "at", F.posexplode(F.lit(TRIALS)).alias("i", "trial")).select("trial", "source_id", "n", above(F.col("i")).alias("hits"))
     error = F.when(F.col("hits") == 0, 1.0).otherwise(F.abs(F.col("hits") / F.col("n") - 0.3))
     t = per.groupBy("trial").agg(F.avg(error).alias("score"))
     first = F.row_number().over(W.orderBy("score", "trial"))  # one row a trial

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import stamp
 
 
-def srt_blocks(subtitles: DataFrame, translated: bool = False, key: str = "source_id") -> DataFrame:
-    """(key, srt): each source's subtitles(idx, start_time, end_time, text, translated_text) in order; indices keep their gaps.
+#: Blocks that one subtitle file holds at most.
+BLOCKS_PER_FILE = 100_000
+
+
+def srt_rows(subtitles: DataFrame, translated: bool = False, key: str = "source_id") -> DataFrame:
+    """(key, idx, block): a row for each of subtitles(idx, start_time, end_time, text, translated_text); indices keep their gaps.
 
     translated: only rows with a translation, under their own index.
     """
     s = subtitles.filter(F.coalesce(F.col("translated_text"), F.lit("")) != "") if translated else subtitles
     text = F.col("translated_text" if translated else "text")
-    block = F.concat(F.col("idx").cast("string"), F.lit("\n"), stamp("start_time"), F.lit(" --> "), stamp("end_time"), F.lit("\n"), text, F.lit("\n"))
-    return s.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", block.alias("b")))), lambda x: x["b"]), "\n").alias("srt"))
+    return s.select(key, "idx", F.concat(F.col("idx").cast("string"), F.lit("\n"), stamp("start_time"), F.lit(" --> "), stamp("end_time"), F.lit("\n"), text, F.lit("\n")).alias("block"))
+
+
+def write_srt(subtitles: DataFrame, path: str, translated: bool = False, most: int = BLOCKS_PER_FILE) -> None:
+    """Subtitles of each source in a folder of its own, in files of ``most`` blocks at most whose names are in the order of their blocks.
+
+    Blocks are dealt by ranges of (source, index) and stream through tasks in order, so a source of any length is many
+    tasks' work and never one row; a task's files appear when its commit succeeds, so a retry leaves no part of one.
+    """
+    rows = srt_rows(subtitles, translated).repartitionByRange("source_id", "idx").sortWithinPartitions("source_id", "idx")
+    rows.select("source_id", F.col("block").alias("value")).write.partitionBy("source_id").option("maxRecordsPerFile", most).text(path)
 
 
-def write_srt(subtitles: DataFrame, path: str, translated: bool = False) -> None:
-    srt_blocks(subtitles, translated).withColumnRenamed("srt", "value").write.partitionBy("source_id").text(path)
+def read_srt(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, idx, block) of what write_srt has written; a blank line ends a block."""
+    back = spark.read.schema("value string, source_id long").option("lineSep", "\n\n").text(path)
+    return back.select("source_id", F.element_at(F.split("value", "\n", 2), 1).cast("long").alias("idx"), F.concat("value", F.lit("\n")).alias("block"))
 
 
 def result_rows(results: DataFrame) -> DataFrame:

@@ -187,8 +187,10 @@ def brute_common(a, b):
     return best
 
 
-def test_longest_common(spark):
-    """Any length down to one character, ties, blank and null transcripts, a language without reference."""
+@pytest.mark.parametrize("chars", [align.REFERENCE_CHARS, 70])
+def test_longest_common(spark, monkeypatch, chars):
+    """In one round, and in parts and rounds that cut through matches. Any length down to one character, ties, blank and null transcripts, a language without reference."""
+    monkeypatch.setattr(align, "REFERENCE_CHARS", chars)
     rng = np.random.default_rng(2)
     word = lambda n, letters="ab": "".join(letters[x] for x in rng.integers(0, len(letters), n))
     t = [(i, "x", word(n)) for i, n in enumerate((40, 40, 3, 1, 25, 60))] + [(6, "x", word(9, "bz")), (7, "x", "zzz"), (8, "x", " "), (9, "x", None), (10, "y", "ab"), (11, "x", " 砂漠 ")]
@@ -200,8 +202,17 @@ def test_longest_common(spark):
         size, i, j = brute_common(text, reference)
         want = (i, j, size, text[i : i + size], pytest.approx(size / len(text))) if size else (None, None, None, None, 0.0)
         assert (g["i"], g["j"], g["size"], g["matched"], g["coverage"]) == want
-    with pytest.raises(ValueError):
-        align.longest_common(spark.createDataFrame(t, "tid long, lang string, text string"), spark.range(5).selectExpr("id rid", "'x' lang", f"repeat('a', {align.REFERENCE_CHARS // 4}) text"), "lang")
+
+
+def test_parts_of_references():
+    """Every stretch of the overlap's length lies within a part, and rounds keep to their size."""
+    for overlap, most in ((5, 20), (1, 7), (9, 9), (30, 12)):
+        rounds = align.parts_of([(1, 53), (2, 0), (3, 4), (4, 200)], overlap, most)
+        assert all(sum(b - a for _, a, b in x) <= max(most, overlap + 1) for x in rounds)
+        parts = [p for x in rounds for p in x]
+        for rid, n in ((1, 53), (4, 200)):
+            assert all(any(r == rid and a <= i and i + overlap <= b for r, a, b in parts) for i in range(n - overlap + 1))
+        assert (2, 0, 0) in parts and (3, 0, 4) in parts
 
 
 # arrays -------------------------------------------------------------------------------------------
@@ -454,8 +465,23 @@ def test_strict_manifest_raises(spark, tmp_path):
 
 def test_srt(spark):
     d = spark.createDataFrame([(1, 1, 0.0, 1.5, "a", None), (1, 3, 2.0, 3.0, "b", "B")], "source_id long, idx int, start_time double, end_time double, text string, translated_text string")
-    assert writers.srt_blocks(d).first()["srt"] == "1\n00:00:00,000 --> 00:00:01,500\na\n\n3\n00:00:02,000 --> 00:00:03,000\nb\n"
-    assert writers.srt_blocks(d, True).first()["srt"] == "3\n00:00:02,000 --> 00:00:03,000\nB\n"
+    assert [r["block"] for r in writers.srt_rows(d).orderBy("idx").collect()] == ["1\n00:00:00,000 --> 00:00:01,500\na\n", "3\n00:00:02,000 --> 00:00:03,000\nb\n"]
+    assert [r["block"] for r in writers.srt_rows(d, True).collect()] == ["3\n00:00:02,000 --> 00:00:03,000\nB\n"]
+
+
+def test_srt_of_a_long_source_is_many_ordered_files(spark, tmp_path):
+    """Blocks of a source lie in bounded files whose names follow their order, and no row holds two of them."""
+    n = 5000
+    d = spark.range(n).selectExpr("if(id % 10 = 0, 2, 1) source_id", "cast(id as int) idx", "id * 1.0D start_time", "id + 0.5D end_time", "concat('t', id) text", "cast(null as string) translated_text").repartition(5)
+    writers.write_srt(d, f"file://{tmp_path}/srt", most=700)
+    for source in (1, 2):
+        files = sorted((tmp_path / "srt" / f"source_id={source}").glob("*.txt"))
+        blocks = [b for f in files for b in f.read_text().split("\n\n") if b]
+        assert [int(b.split("\n")[0]) for b in blocks] == [i for i in range(n) if (i % 10 == 0) == (source == 2)]
+        assert max(f.read_text().count(" --> ") for f in files) <= 700 and (len(files) > 6 or source == 2)
+    got = writers.read_srt(spark, f"file://{tmp_path}/srt")
+    want = writers.srt_rows(d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_pareto_null_recall_is_no_worse(spark):
