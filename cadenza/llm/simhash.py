@@ -16,6 +16,9 @@ pair at the similarity is missed with probability ``miss`` at most. The trie joi
 pairs keep to, then finds links, and each is checked on the whole shingle sets. The first join gives a spanning
 forest, in which a link that the check refutes may have hidden a true one. So the nodes that refuted links
 connect are joined a second time, for all pairs between those that verified links have not brought together.
+In that join a sketch goes with each text, the parities of its shingles in 512 buckets: sets whose parities
+differ more often than sets at the similarity can differ at all are no pair, so most chance comers end in
+their deal and no link is lost.
 
 Null text is empty; a document without words has fingerprint zero and links like any other. Repeated
 rows share a fingerprint; rows without id take part but give no component its id. An empty table gives
@@ -25,6 +28,7 @@ an empty table. Extra columns are ignored; ``keep_one`` and ``keep_similar`` pas
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +101,22 @@ class Forest:
 
 
 class Across(Forest):
-    """All pairs whose members have different labels, which stay as they are."""
+    """All pairs whose members have different labels, which stay as they are, but for those that ``possible`` rules out."""
 
-    def __init__(self, label: np.ndarray):
+    def __init__(self, label: np.ndarray, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         super().__init__(0)
-        self.label = label
+        self.label, self.possible = label, possible
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        differ = self.label[a] != self.label[b]
-        if differ.any():
+        differ = np.flatnonzero(self.label[a] != self.label[b])
+        if self.possible is not None and len(differ):
+            differ = differ[self.possible(a[differ], b[differ])]
+        if len(differ):
             self.pairs.append((a[differ], b[differ]))
 
 
-def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], block: int = 200_000, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within each group that differ in at most budgets[-1] bits; with labels, all such pairs of different labels.
+def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], block: int = 200_000, labels: np.ndarray | None = None, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within each group that differ in at most budgets[-1] bits; with labels, all such pairs of different labels that ``possible`` holds for.
 
     codes has a column for each 64 bits; rows are distinct within a group and sorted by group and columns.
     A trie node is a range of that order; a frontier holds node pairs of one depth, and at most ``block``
@@ -118,7 +124,7 @@ def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], b
     once. Lesser budgets first let close pairs form the forest before distant ones.
     """
     n, lanes = codes.shape
-    forest = Forest(n) if labels is None else Across(labels)
+    forest = Forest(n) if labels is None else Across(labels, possible)
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], n)
     keep = ends - cuts > 1
@@ -174,17 +180,20 @@ def trie_links(codes: np.ndarray, group: np.ndarray, budgets: tuple[int, ...], b
     return tuple(np.concatenate([none, *x]) for x in zip(*forest.pairs, strict=True)) if forest.pairs else (none, none)
 
 
-def _joined(dealt: DataFrame, lanes: int, budgets: tuple[int, ...]) -> DataFrame:
-    """(u, v): the forest of each deal of dealt (key, node, c0, c1 ...), or with a column label all pairs across labels. A deal is held by one task, with few others at a time."""
+def _joined(dealt: DataFrame, lanes: int, budgets: tuple[int, ...], similarity: float = 0.0) -> DataFrame:
+    """(u, v): the forest of each deal of dealt (key, node, c0, c1 ...), or with a column label all pairs across labels that may reach the similarity. A deal is held by one task, with few others at a time."""
     cols = [f"c{i}" for i in range(lanes)]
-    labelled = ["label"] if "label" in dealt.columns else []
+    labelled = ["label", *SKETCH] if "label" in dealt.columns else []
 
     def solve(t: pa.Table):
         node, key = t.column("node").to_numpy(), t.column("key").to_numpy()
         codes = np.stack([t.column(c).to_numpy().view(np.uint64) for c in cols], axis=1)
         order = np.lexsort((*codes.T[::-1], key))
-        labels = t.column("label").to_numpy()[order] if labelled else None
-        a, b = trie_links(codes[order], key[order], budgets, labels=labels)
+        labels = possible = None
+        if labelled:
+            labels, n, *parity = (t.column(c).to_numpy()[order] for c in labelled)
+            possible = may_reach(n, np.stack(parity, axis=1), similarity)
+        a, b = trie_links(codes[order], key[order], budgets, labels=labels, possible=possible)
         f = node[order]
         return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], names=["u", "v"])
 
@@ -269,6 +278,10 @@ def one_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame, id_col: str
 LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
+#: The size of a set of shingles and 512 parities of it, each of the shingles in one bucket of their hashes.
+SKETCH = ("n", *(f"p{i}" for i in range(8)))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct XXH64 hashes (seed 42) of the text's shingles, as signed longs; fewer words are one shingle."""
     import xxhash
@@ -302,9 +315,21 @@ def wide_code(sh: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(sh: np.ndarray) -> np.ndarray:
+    """The SKETCH of a set of shingle hashes."""
+    odd = np.bincount((sh.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.concatenate(([len(sh)], np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")))
+
+
+def may_reach(n: np.ndarray, parity: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of pairs of rows that no pair at the similarity (Jaccard) fails: two sets differ by at least as many members as parities."""
+    share, parity = (1 - similarity) / (1 + similarity), parity.view(np.uint64)
+    return lambda a, b: np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= share * (n[a] + n[b]) + 1e-6
+
+
 def wide_rows(texts: DataFrame, words: int, bits: int = 64) -> DataFrame:
-    """(doc_id, rid, fp, fp2, c0, c1 ...) of texts (doc_id, rid, text): fp and fp2 hash the set of shingles; bits of fp are used."""
-    cols = [f"c{i}" for i in range(len(LANES))]
+    """(doc_id, rid, fp, fp2, c0, c1 ..., SKETCH) of texts (doc_id, rid, text): fp and fp2 hash the set of shingles; bits of fp are used."""
+    cols = [*(f"c{i}" for i in range(len(LANES))), *SKETCH]
 
     def run(batches):
         import xxhash
@@ -315,7 +340,7 @@ def wide_rows(texts: DataFrame, words: int, bits: int = 64) -> DataFrame:
                 s = shingles(t.as_py(), words)
                 fp.append(xxhash.xxh64_intdigest(s.tobytes(), 42) >> (64 - bits))
                 fp2.append(xxhash.xxh64_intdigest(s.tobytes(), 43))
-                codes.append(wide_code(s))
+                codes.append(np.concatenate((wide_code(s), sketch(s))))
             c = np.array(codes, np.int64).reshape(len(codes), len(cols))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (fp, fp2)), *map(pa.array, c.T.copy())], names=["doc_id", "rid", "fp", "fp2", *cols])
 
@@ -338,9 +363,9 @@ def tables_for(p: float, width: int, miss: float) -> int:
 
 
 def _sample_bits(rows: DataFrame, width: int, tables: int, seed: int) -> DataFrame:
-    """rows (key, node, c0 ..., maybe label) once for each table: the key takes in the table and the values of its bits."""
+    """rows (key, node, c0 ..., maybe label and SKETCH) once for each table: the key takes in the table and the values of its bits."""
     cols = [f"c{i}" for i in range(len(LANES))]
-    others = [*cols, *(["label"] if "label" in rows.columns else [])]
+    others = [*cols, *(["label", *SKETCH] if "label" in rows.columns else [])]
     picks = np.stack([np.random.default_rng([seed, t]).permutation(64 * len(LANES))[:width] for t in range(tables)])
 
     def run(batches):
@@ -357,7 +382,7 @@ def _sample_bits(rows: DataFrame, width: int, tables: int, seed: int) -> DataFra
 
 
 def similar_links(nodes: DataFrame, similarity: float, miss: float, width: int, hot: int = 50_000) -> DataFrame:
-    """(u, v): pairs of nodes (fp, c0 ...) that may reach the similarity, a spanning forest task by task; of nodes with a label, all pairs of different labels.
+    """(u, v): pairs of nodes (fp, c0 ...) that may reach the similarity, a spanning forest task by task; of nodes with a label, all pairs of different labels that their SKETCH does not rule out.
 
     Tables take ``width`` bits.
     """
@@ -370,7 +395,7 @@ def similar_links(nodes: DataFrame, similarity: float, miss: float, width: int,
         dealt = _sample_bits(rows, width, tables_for(p, width, miss if level == 0 else 0.15), level)
         large = _large(dealt, hot) if level < 3 else None
         here = dealt if large is None else dealt.join(large, "key", "left_anti")
-        got = _joined(here, len(LANES), (budget,) if "label" in nodes.columns else tuple(budget * i // 4 for i in (1, 2, 3, 4)))
+        got = _joined(here, len(LANES), (budget,) if "label" in nodes.columns else tuple(budget * i // 4 for i in (1, 2, 3, 4)), similarity)
         found = got if found is None else found.union(got)
         if large is None:
             return found

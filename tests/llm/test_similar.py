@@ -101,6 +101,26 @@ def test_pairs_across_labels_equal_brute_force():
     assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) == [(i, j) for i, j in np.argwhere(near).tolist() if i < j]
 
 
+def test_sketch_rules_out_no_similar_pair():
+    """Sets of 0 to 3,000 hashes, and copies with changes up to and beyond a Jaccard similarity of 0.8."""
+    rng = np.random.default_rng(9)
+    sets, wrong, far = [], 0, 0
+    for n in (0, 1, 2, 5, 9, 10, 40, 90, 300, 3000):
+        base = rng.integers(-(1 << 63), 1 << 63, n)
+        for share in (0.0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.3):
+            k = round(n * share)
+            sets.append(np.unique(np.concatenate((base[k:], rng.integers(-(1 << 63), 1 << 63, k)))))
+    sk = np.array([simhash.sketch(x) for x in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    says = simhash.may_reach(sk[:, 0], sk[:, 1:], 0.8)(a, b)
+    for i, j, may in zip(a, b, says, strict=True):
+        shared, both = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
+        assert may or 5 * shared < 4 * both
+        if 10 <= both <= 1000 and shared < 0.7 * both:
+            far, wrong = far + 1, wrong + bool(may)
+    assert far > 500 and wrong < 0.02 * far
+
+
 def test_wide_trie_equals_brute_force():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 63, (300, 4), dtype=np.int64).view(np.uint64)
