@@ -55,7 +55,7 @@ class Deadline:
 
 
 def with_scorer(segments: DataFrame, opener: Callable[[], Callable[[np.ndarray, int], tuple[str, float]]], rate: int, samples: str = "samples", seconds: float | None = None) -> DataFrame:
-    """segments with text, confidence and error; ``opener`` is called once per task. A failing segment has an empty text."""
+    """segments with text, confidence and error; ``opener`` is called once per task. A failing segment has an empty text, and so has one without samples, which is not scored."""
     schema = T.StructType([f for f in segments.schema if f.name != samples] + [T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +63,9 @@ def with_scorer(segments: DataFrame, opener: Callable[[], Callable[[np.ndarray,
         for pdf in batches:
             out = []
             for a in pdf[samples]:
+                if a is None:
+                    out.append(("", None, None))
+                    continue
                 got, error = call(score, np.asarray(a), rate)
                 if error is None:
                     try:

@@ -227,28 +227,42 @@ def joined(a: dict, b: dict) -> dict:
     return a | {"text": a["text"] + (" " if spaced else "") + b["text"], "end_time": b["end_time"], "confidence": min(a["confidence"], b["confidence"]), "language": language, "merged": a["merged"] + b["merged"]}
 
 
-def push(held: dict | None, new: dict, window: float = 5.0) -> tuple[dict | None, list[dict]]:
-    """(held, emitted) after a new utterance: a held short one merges with it inside the window, else leaves alone."""
+def timed_out(end, next_end, window: float, chunk: float, ceiling=ceil):
+    """Whether a chunk of audio ends at least the window after ``end`` and before the chunk that ``next_end`` lies in; for numbers, or columns with F.ceil."""
+    return (ceiling(next_end / chunk) - 1) * chunk >= end + window
+
+
+def push(held: dict | None, new: dict, window: float = 5.0, chunk: float | None = None) -> tuple[dict | None, list[dict]]:
+    """(held, emitted) after a new utterance: a held short one merges with it inside the window, else leaves alone.
+
+    With chunk (seconds) the audio comes in chunks, each of which ends by releasing what waits longer than the window; an
+    utterance comes with the chunk that its end lies in.
+    """
     out = []
     if held is not None:
-        if new["start_time"] - held["end_time"] <= window:
+        late = chunk is not None and timed_out(held["end_time"], new["end_time"], window, chunk)
+        if new["start_time"] - held["end_time"] <= window and not late:
             new = joined(held, new)
         else:
             out.append(held)
     return (new, out) if short(new["text"]) else (None, [*out, new])
 
 
-def coalesce_utterances(utterances: DataFrame, window: float = 5.0, key: str = "source_id", order: str = "turn", size: int = CELL) -> DataFrame:
-    """Short utterances merged into the next of their source within the window; ``merged`` counts the parts.
+def coalesce_utterances(utterances: DataFrame, window: float = 5.0, key: str = "source_id", order: str = "turn", size: int = CELL, chunk: float | None = None) -> DataFrame:
+    """Short utterances merged into the next of their source within the window; ``merged`` counts the parts. chunk: see ``push``.
 
-    A source is cut before every utterance that starts beyond the window after the one before, where nothing can merge.
+    A source is cut before every utterance that starts beyond the window after the one before, or comes after that one
+    has timed out, where nothing can merge.
     """
     u = utterances.select(F.col(key).alias("k"), F.col(order).alias("o"), *UTTERANCE).withColumn("__cell", F.floor(F.col("o") / size))
     u = u.withColumn("__end", F.lag("end_time").over(W.partitionBy("k", "__cell").orderBy("o")))
     # one row a cell carries the end of its last utterance on to the next
     last = u.groupBy("k", "__cell").agg(F.max_by("end_time", "o").alias("end")).select("k", "__cell", F.lag("end").over(W.partitionBy("k").orderBy("__cell")).alias("__before"))
-    gap = F.col("start_time") - F.coalesce("__end", "__before")
-    u = u.join(last, ["k", "__cell"]).withColumn("__new", F.coalesce(gap > window, F.lit(True))).drop("__cell", "__end", "__before")
+    before = F.coalesce("__end", "__before")
+    apart = F.col("start_time") - before > window
+    if chunk is not None:
+        apart = apart | timed_out(before, F.col("end_time"), window, chunk, F.ceil)
+    u = u.join(last, ["k", "__cell"]).withColumn("__new", F.coalesce(apart, F.lit(True))).drop("__cell", "__end", "__before")
     u = stretches(u.withColumn("language", F.coalesce("language", F.lit(""))), "k", "o", "__new", size).select("k", "stretch", "o", *UTTERANCE)
     fields = [*UTTERANCE, "merged"]
 
@@ -257,7 +271,7 @@ def coalesce_utterances(utterances: DataFrame, window: float = 5.0, key: str = "
 
     def step(held, row, out):
         new = dict(zip(UTTERANCE, row[3:], strict=True))
-        held, done = push(held, new | {"language": new["language"] or None, "merged": 1}, window)
+        held, done = push(held, new | {"language": new["language"] or None, "merged": 1}, window, chunk)
         emit(row[0], done, out)
         return held
 

@@ -71,8 +71,9 @@ def interim_updates(spark, sf):
     return round_doubles(J.run_available(J.vad_stream(scattered_frames(spark, sf), INTERIM, interim=True), "interim")).filter("not is_final")
 
 
-def coalesce_sql(view: str) -> str:
-    """Recursive SQL of the push rule with a window of 2 s over a view of utterances; rows of e are emitted."""
+def coalesce_sql(view: str, waits: str = "true", window: float = 2) -> str:
+    """Recursive SQL of the push rule over a view of utterances; rows of e are emitted. waits: whether m.h still waits when u comes."""
+    near = f"(u.start_time - m.h.e <= {window} AND {waits})"
     short = r"(trim({0}) <> '' AND NOT regexp_matches(trim({0}), '[。！？.!?]$') AND NOT regexp_matches(trim({0}), '\s') AND length(trim({0})) <= 4)"
     return f"""
 u AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn) i FROM {view}),
@@ -80,8 +81,8 @@ m(source_id, i, n, h, e) AS (
  SELECT DISTINCT source_id, 0::BIGINT, (SELECT max(i) FROM u x WHERE x.source_id = u.source_id), NULL::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE, l VARCHAR, k INT), []::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE, l VARCHAR, k INT)[] FROM u
  UNION ALL
  SELECT source_id, i, n, CASE WHEN {short.format('w.t')} THEN w END, list_concat(out, CASE WHEN {short.format('w.t')} THEN [] ELSE [w] END) FROM (
-  SELECT u.source_id, u.i, m.n, CASE WHEN m.h IS NOT NULL AND u.start_time - m.h.e > 2 THEN [m.h] ELSE [] END out,
-   CASE WHEN m.h IS NOT NULL AND u.start_time - m.h.e <= 2 THEN struct_pack(t := CASE WHEN coalesce(m.h.l, u.language) = 'en' OR (coalesce(m.h.l, u.language) IS NULL AND (contains(m.h.t, ' ') OR contains(u.text, ' '))) THEN m.h.t || ' ' || u.text ELSE m.h.t || u.text END, s := m.h.s, e := u.end_time, c := least(m.h.c, u.confidence), l := coalesce(m.h.l, u.language), k := (m.h.k + 1)::INT)
+  SELECT u.source_id, u.i, m.n, CASE WHEN m.h IS NOT NULL AND NOT {near} THEN [m.h] ELSE [] END out,
+   CASE WHEN m.h IS NOT NULL AND {near} THEN struct_pack(t := CASE WHEN coalesce(m.h.l, u.language) = 'en' OR (coalesce(m.h.l, u.language) IS NULL AND (contains(m.h.t, ' ') OR contains(u.text, ' '))) THEN m.h.t || ' ' || u.text ELSE m.h.t || u.text END, s := m.h.s, e := u.end_time, c := least(m.h.c, u.confidence), l := coalesce(m.h.l, u.language), k := (m.h.k + 1)::INT)
    ELSE struct_pack(t := u.text, s := u.start_time, e := u.end_time, c := u.confidence, l := u.language, k := 1::INT) END w
   FROM m JOIN u ON u.source_id = m.source_id AND u.i = m.i + 1)),
 done AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL)
@@ -94,6 +95,18 @@ def utterance_coalesce(spark, sf):
     return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
 
 
+#: Chunks of half a second; within this window about half of the short utterances time out before the next one ends.
+CHUNK_S, LIVE_S = 0.5, 3.0
+MERGED = "source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged"
+
+
+@query("utterance_coalesce_clocked", f"WITH {coalesce_sql('v_utt', f'(ceil(u.end_time / {CHUNK_S}::DOUBLE) - 1) * {CHUNK_S}::DOUBLE < m.h.e + {LIVE_S}', LIVE_S)} SELECT {MERGED} FROM done")
+def utterance_coalesce_clocked(spark, sf):
+    """The coalescer as it runs live: chunks of half a second, each of which ends by releasing what has waited for the window."""
+    out = G.coalesce_utterances(S.utterances(spark, sf), LIVE_S, chunk=CHUNK_S)
+    return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
+
+
 #: The stream's clock stands a millisecond after the start of an utterance, and the watermark so far behind the newest.
 DELAY_MS, CELL_MS, WINDOW_S = 90_000, 60_000, 2.0
 S.SQL["v_clock"] = f"SELECT *, floor(start_time * 1000)::BIGINT + 1 ms, max(floor(start_time * 1000)::BIGINT + 1) OVER () - {DELAY_MS} mark FROM v_utt"
@@ -300,3 +313,61 @@ def hook_callbacks(spark, sf):
     )
     sinks = [spark.read.schema("source_id long, turn long, kind string, emitted boolean").parquet(f"{path}/{kind}/*") for kind in ("interim", "result", "settled")]
     return sinks[0].union(sinks[1]).union(sinks[2])
+
+
+# the whole chain -------------------------------------------------------------------------------------
+
+#: Frames of a chunk, the peak below which a segment is not scored, and the least confidence.
+CHUNK, PEAK, SURE = 16, 100.0, 0.105
+
+
+def length_scorer():
+    """A stand-in scorer: words for long segments and loud ones, nothing for some; the confidence follows the peak."""
+
+    def score(a, rate):
+        n = len(a)
+        text = "" if n % 7 == 0 else f"w{n}" if a[0] < 60 else f"a text of {n}"
+        return text, float(a.max()) / 1000
+
+    return score
+
+
+S.SQL["v_spoken"] = f"""WITH RECURSIVE {machine_sql(3, 3, 5, 30)}, s AS (SELECT source_id, fin_start, ts FROM m WHERE fin)
+SELECT s.source_id, fin_start start_time, s.ts end_time, count(*) n, max(value) peak, arg_min(value, frame_idx) head, max(frame_idx) // {CHUNK} * {CHUNK} * 0.032::DOUBLE tick
+FROM s JOIN v_frames f ON f.source_id = s.source_id AND f.ts_s > fin_start + 0.016 AND f.ts_s < s.ts + 0.016 GROUP BY ALL"""
+S.SQL["v_scored"] = f"""SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY end_time) turn, start_time, end_time, tick, peak / 1000 confidence, CASE WHEN source_id % 2 = 0 THEN 'en' END AS language,
+ CASE WHEN n % 7 = 0 THEN '' WHEN head < 60 THEN 'w' || n ELSE 'a text of ' || n END AS text,
+ CASE WHEN peak < {PEAK} THEN 'energy_gate' WHEN n % 7 = 0 THEN 'engine_empty' WHEN peak / 1000 < {SURE} THEN 'filter_reject' END AS reason FROM v_spoken"""
+S.SQL["v_heard"] = "SELECT * FROM v_scored WHERE reason IS NULL"
+
+
+@query("caption_chain", f"""
+WITH {coalesce_sql('v_heard', 'u.tick < m.h.e + 2')}, ends AS (SELECT source_id, count(*) // {CHUNK} * {CHUNK} * 0.032::DOUBLE clock FROM v_frames GROUP BY ALL),
+told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m JOIN ends USING (source_id) WHERE i = n AND h IS NOT NULL AND clock >= h.e + 2),
+said AS (SELECT *, length(coalesce(array_to_string(list(w.t) OVER (PARTITION BY source_id ORDER BY w.s ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '')) before FROM told)
+SELECT source_id, 'result' kind, NULL::VARCHAR reason, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, w.k merged, '[' || w.t || ']/' || before AS translated FROM said
+UNION ALL SELECT source_id, 'settled', NULL, NULL, round(w.s, 6), round(w.e, 6), w.k, NULL FROM said
+UNION ALL SELECT source_id, 'settled', reason, NULL, round(start_time, 6), round(end_time, 6), NULL, NULL FROM v_scored WHERE reason IS NOT NULL""")
+def caption_chain(spark, sf):
+    """One stream from frames to translated captions: state machine, energy gate, scorer, filter, coalescer with the audio clock, translator, and two sinks."""
+    f = S.frames(spark, sf).select("source_id", "frame_idx", "ts_s", "p", "value")
+    s = J.speech_stream(J.stream_of(spark, f, "frames", BATCHES // 2, ["source_id", "frame_idx"]), CONFIG, CHUNK)
+    quiet = F.array_max("samples") < PEAK
+    s = s.withColumn("quiet", quiet).withColumn("samples", F.when(~quiet, F.col("samples")))
+    s = H.with_scorer(s, length_scorer, 31)
+    reason = F.when(F.col("quiet"), "energy_gate").when(F.col("text") == "", "engine_empty").when(F.col("confidence") < SURE, "filter_reject")
+    s = s.withColumns({"reason": reason, "language": F.when(F.col("source_id") % 2 == 0, "en")})
+    s = J.settled_stream(s, WINDOW_S)
+    s = s.withColumns({"is_final": F.lit(True), "translated": H.translated(F.col("text"), F.col("context"), "en", "ja", bracket_translator)})
+    path = scratch_path(spark, "chain")
+    each = ["start_time", "end_time", "merged"]
+    row = lambda d, kind, *own: d.select("source_id", F.lit(kind).alias("kind"), *own)
+    none = F.lit(None).cast("string")
+    J.each_batch(
+        s, path,
+        on_result=lambda d, n: J.overwrite_epoch(row(d.filter("emitted"), "result", none.alias("reason"), "text", *each, "translated"), f"{path}/result", n),
+        on_settled=lambda d, n: J.overwrite_epoch(row(d, "settled", "reason", none.alias("text"), *each, none.alias("translated")), f"{path}/settled", n),
+    )
+    schema = "source_id long, kind string, reason string, text string, start_time double, end_time double, merged int, translated string"
+    sinks = [spark.read.schema(schema).parquet(f"{path}/{kind}/*") for kind in ("result", "settled")]
+    return round_doubles(sinks[0].union(sinks[1]))

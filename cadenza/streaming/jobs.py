@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from math import ceil
+from math import ceil, inf
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,67 @@ def vad_stream(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool
     return in_sequence(frames, "frame_idx", {"ts_s": "double", "p": "double"}, kept, START, step, SEGMENT)
 
 
+def speech_stream(frames: DataFrame, config: VadConfig = VadConfig(), chunk: int = 16) -> DataFrame:
+    """(source_id, seq, clock, start_time, end_time, samples): finished segments with their frames' values, and the audio clock.
+
+    frames(source_id, frame_idx, ts_s, p, value). After every ``chunk`` frames of a source comes a row without samples, for
+    which clock is true and both times are the chunk's end. Rows of a source are numbered together, so a fold that follows sees them in this order. A frame
+    stands once in its segment; a source waits with what its machine holds, never with more than one segment.
+    """
+
+    def step(state, row, out):
+        machine = SpeechMachine(config, state[:8])
+        values, seq, n = [*state[8], row[2]], state[9], state[10] + 1
+        was = machine.mode
+        for start, end, _ in machine.step(row[1], row[0]):
+            out.append((seq, False, start, end, values))
+            seq += 1
+        if "silence" in (was, machine.mode):  # what the pre-buffer holds
+            values = values[-machine.pre :] if machine.pre else []
+        if n % chunk == 0:
+            out.append((seq, True, row[0], row[0], None))
+            seq += 1
+        return (*machine.state, values, seq, n)
+
+    kept = "mode string, pre int, loud int, quiet int, start double, held int, told_at double, told int, samples array<double>, seq long, n long"
+    fields = {"ts_s": "double", "p": "double", "value": "double"}
+    return in_sequence(frames, "frame_idx", fields, kept, (*START, [], 0, 0), step, "source_id long, seq long, clock boolean, start_time double, end_time double, samples array<double>")
+
+
+def settled_stream(results: DataFrame, window: float = 5.0, context: int = 2) -> DataFrame:
+    """What becomes of each result: emitted, alone or merged, with the texts before it, or dropped for its reason.
+
+    results(source_id, seq, clock, start_time, end_time, text, confidence, language, reason), numbered as ``speech_stream``
+    does, with its clock, which releases what is held once the window has passed. A null text is empty; a null confidence
+    stays null and does not lower that of the texts it merges with.
+    """
+    fields = [*UTTERANCE, "merged"]
+
+    def step(state, row, out):
+        held = dict(zip(fields, state[:6], strict=True)) if state[5] else None
+        clock, start, end, text, confidence, language, reason = row
+        done, before = [], list(state[6])
+        if clock:
+            if held and end >= held["end_time"] + window:
+                held, done = None, [held]
+        elif reason:
+            out.append((False, reason, None, start, end, None, None, None))
+        else:
+            new = {"text": text, "start_time": start, "end_time": end, "confidence": confidence, "language": language or None, "merged": 1}
+            held, done = push(held, new, window)
+        for r in done:
+            out.append((True, None, r["text"], r["start_time"], r["end_time"], r["confidence"] if r["confidence"] < inf else None, r["merged"], "\n".join(before)))
+            before = [*before, r["text"]][-context:] if context else []
+        return (*(held[c] for c in fields), before) if held else (*none, before)
+
+    none = ("", 0.0, 0.0, 0.0, None, 0)
+    kinds = {"clock": "boolean", "start_time": "double", "end_time": "double", "text": "string", "confidence": "double", "language": "string", "reason": "string"}
+    kept = "text string, start_time double, end_time double, confidence double, language string, merged int, before array<string>"
+    out = "source_id long, emitted boolean, reason string, text string, start_time double, end_time double, confidence double, merged int, context string"
+    known = {"text": F.coalesce("text", F.lit("")), "confidence": F.coalesce("confidence", F.lit(inf)), "language": F.coalesce("language", F.lit("")), "reason": F.coalesce("reason", F.lit(""))}
+    return in_sequence(results.withColumns(known), "seq", kinds, kept, (*none, []), step, out)
+
+
 def gate_stream(series: DataFrame, config: GateConfig) -> DataFrame:
     """The envelope gate over (source_id, frame_idx, value)."""
 
@@ -147,7 +208,9 @@ def each_batch(stream: DataFrame, path: str, on_result: Callable[[DataFrame, int
         finally:
             batch.unpersist()
 
-    stream.writeStream.foreachBatch(all_of).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    with _state_in_rocks(stream.sparkSession):
+        q = stream.writeStream.foreachBatch(all_of).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
 
 
 def overwrite_epoch(rows: DataFrame, path: str, epoch: int) -> None:

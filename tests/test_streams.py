@@ -127,3 +127,90 @@ def test_a_model_that_hangs_stalls():
     got = [call(time.sleep, 2)[1] for _ in range(hooks.ABANDONED + 3)]
     assert got == ["timeout"] * hooks.ABANDONED + ["stalled"] * 3
     assert hooks.Deadline(None)(lambda: 3) == (3, None) and hooks.Deadline(5)(lambda: 3) == (3, None)
+
+
+def test_chain_of_two_folds_equals_chunks_in_turn(spark):
+    """Frames in no order through the machine and the coalescer, against chunks of frames fed one after the other."""
+    rng, chunk, window = np.random.default_rng(11), 7, 0.6
+    series = {s: [(float(p), float(i)) for i, p in enumerate((np.repeat(rng.random(60), rng.integers(2, 9, 60)) > 0.5).astype(float))] for s in range(4)}
+    text = lambda values: ["", "ab", "ok", "a long text."][int(values[0]) % 4]
+
+    want, spans = [], set()
+    for source, frames in series.items():
+        machine, held, before, kept = G.SpeechMachine(CONFIG), None, [], []
+
+        def emit(r):
+            want.append((source, True, None, r["text"], r["start_time"], r["end_time"], r["confidence"], r["merged"], "\n".join(before)))
+            before[:] = [*before, r["text"]][-2:]
+
+        for i, (p, value) in enumerate(frames):
+            now = (i + 1) * 0.032
+            kept.append((now, value))
+            for start, end, _ in machine.step(p, now):
+                values = [v for t, v in kept if start + 0.016 < t < end + 0.016]
+                spans.add((source, start, end, tuple(values)))
+                said = text(values)
+                if not said:
+                    want.append((source, False, "engine_empty", None, start, end, None, None, None))
+                    continue
+                new = {"text": said, "start_time": start, "end_time": end, "confidence": 1 / (1 + values[0]), "language": "en", "merged": 1}
+                held, done = G.push(held, new, window)
+                for r in done:
+                    emit(r)
+            if (i + 1) % chunk == 0 and held and now >= held["end_time"] + window:
+                emit(held)
+                held = None
+
+    rows = [(s, i, (i + 1) * 0.032, p, v) for s, fs in series.items() for i, (p, v) in enumerate(fs)]
+    d = spark.createDataFrame(rows, "source_id long, frame_idx long, ts_s double, p double, value double")
+    speech = jobs.speech_stream(jobs.stream_of(spark, d, "frames", 5, ["source_id", "frame_idx"]), CONFIG, chunk)
+    said = F.when(~F.col("clock"), F.element_at(F.array(*map(F.lit, ["", "ab", "ok", "a long text."])), (F.col("samples")[0] % 4 + 1).cast("int")))
+    first = F.col("samples")[0]
+    scored = speech.withColumns({"text": said, "confidence": 1 / (1 + first), "language": F.lit("en"), "reason": F.when(said == "", "engine_empty")})
+    got = [tuple(r) for r in jobs.run_available(jobs.settled_stream(scored.drop("samples"), window), "settled").collect()]
+    key = lambda r: (r[0], r[4], r[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[7] for r in want if r[1]} >= {1, 2} and any(not r[1] for r in want)
+    again = jobs.stream_of(spark, d, "frames", 2, ["source_id", "frame_idx"])
+    out = jobs.run_available(jobs.speech_stream(again, CONFIG, chunk), "speech").filter("not clock").collect()
+    assert {(r["source_id"], r["start_time"], r["end_time"], tuple(r["samples"])) for r in out} == spans
+
+
+def test_results_without_text_confidence_or_language(spark):
+    """Nulls have a defined result, and no rows give none."""
+    schema = "source_id long, seq long, clock boolean, start_time double, end_time double, text string, confidence double, language string, reason string"
+    rows = [(1, 0, False, 0.0, 1.0, "a", None, None, None), (1, 1, False, 1.5, 2.0, "b", 0.5, None, None), (1, 2, True, 3.0, 3.0, None, None, None, None), (1, 3, True, 9.0, 9.0, None, None, None, None)]
+    rows += [(2, 0, False, 0.0, 1.0, None, None, None, None), (2, 1, False, 1.0, 2.0, "alone it stays.", None, None, None), (2, 2, False, 2.0, 3.0, "c", None, None, "late")]
+    run = lambda r: [tuple(x) for x in jobs.run_available(jobs.settled_stream(jobs.stream_of(spark, spark.createDataFrame(r, schema), "results", 2, ["seq"]), 5.0), "settled").collect()]
+    got = sorted(run(rows), key=str)
+    assert got == sorted([(1, True, None, "ab", 0.0, 2.0, 0.5, 2, ""), (2, True, None, "", 0.0, 1.0, None, 1, ""), (2, True, None, "alone it stays.", 1.0, 2.0, None, 1, ""), (2, False, "late", None, 2.0, 3.0, None, None, None)], key=str)
+    assert run([]) == []
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_coalescer_with_a_clock_equals_chunks_in_turn(spark, size):
+    rng, chunk, window = random.Random(4), 0.5, 2.0
+    rows = []
+    for s in range(3):
+        t = 0.0
+        for turn in range(60):
+            start = t + rng.choice([0.0, 0.25, 1.0, 1.75, 2.0, 2.5])
+            t = start + rng.choice([0.25, 0.5, 1.0, 3.0])
+            rows.append((s, turn, rng.choice(["ab", "ok", "a long text.", "yes"]), start, t, rng.random(), "en"))
+    d = spark.createDataFrame(rows, "source_id long, turn long, text string, start_time double, end_time double, confidence double, language string")
+    want = []
+    for s in range(3):
+        mine = [r for r in rows if r[0] == s]
+        held, out = None, []
+        for k in range(1, int(mine[-1][4] / chunk) + 2):
+            for r in (r for r in mine if (k - 1) * chunk < r[4] <= k * chunk):
+                held, done = G.push(held, dict(zip([*G.UTTERANCE, "merged"], (*r[2:], 1), strict=True)), window)
+                out += done
+            if held and k * chunk >= held["end_time"] + window:
+                held, out = None, [*out, held]
+        want += [(s, r["text"], r["start_time"], r["end_time"], r["merged"]) for r in [*out, *([held] if held else [])]]
+    cols = ["source_id", "text", "start_time", "end_time", "merged"]
+    got = [tuple(r) for r in G.coalesce_utterances(d.repartition(5), window, size=size, chunk=chunk).select(cols).collect()]
+    assert sorted(got) == sorted(want)
+    plain = [tuple(r) for r in G.coalesce_utterances(d, window).select(cols).collect()]
+    assert len(plain) < len(got)  # the clock ends some waits that the push rule alone would not
