@@ -71,7 +71,11 @@ def interim_updates(spark, sf):
     return round_doubles(J.run_available(J.vad_stream(scattered_frames(spark, sf), INTERIM, interim=True), "interim")).filter("not is_final")
 
 
-def coalesce_sql(view: str, waits: str = "true", window: float = 2) -> str:
+#: Seconds; utterances start three seconds apart, so short ones merge within it.
+WINDOW_S = 3.0
+
+
+def coalesce_sql(view: str, waits: str = "true", window: float = WINDOW_S) -> str:
     """Recursive SQL of the push rule over a view of utterances; rows of e are emitted. waits: whether m.h still waits when u comes."""
     near = f"(u.start_time - m.h.e <= {window} AND {waits})"
     short = r"(trim({0}) <> '' AND NOT regexp_matches(trim({0}), '[。！？.!?]$') AND NOT regexp_matches(trim({0}), '\s') AND length(trim({0})) <= 4)"
@@ -91,30 +95,31 @@ done AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM
 
 @query("utterance_coalesce", f"WITH {coalesce_sql('v_utt')} SELECT source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged FROM done")
 def utterance_coalesce(spark, sf):
-    out = G.coalesce_utterances(S.utterances(spark, sf), 2.0)
+    out = G.coalesce_utterances(S.utterances(spark, sf), WINDOW_S)
     return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
 
 
-#: Chunks of half a second; within this window about half of the short utterances time out before the next one ends.
-CHUNK_S, LIVE_S = 0.5, 3.0
+#: Chunks of half a second: many short utterances time out before the next one ends.
+CHUNK_S = 0.5
 MERGED = "source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged"
 
 
-@query("utterance_coalesce_clocked", f"WITH {coalesce_sql('v_utt', f'(ceil(u.end_time / {CHUNK_S}::DOUBLE) - 1) * {CHUNK_S}::DOUBLE < m.h.e + {LIVE_S}', LIVE_S)} SELECT {MERGED} FROM done")
+@query("utterance_coalesce_clocked", f"WITH {coalesce_sql('v_utt', f'(ceil(u.end_time / {CHUNK_S}::DOUBLE) - 1) * {CHUNK_S}::DOUBLE < m.h.e + {WINDOW_S}')} SELECT {MERGED} FROM done")
 def utterance_coalesce_clocked(spark, sf):
     """The coalescer as it runs live: chunks of half a second, each of which ends by releasing what has waited for the window."""
-    out = G.coalesce_utterances(S.utterances(spark, sf), LIVE_S, chunk=CHUNK_S)
+    out = G.coalesce_utterances(S.utterances(spark, sf), WINDOW_S, chunk=CHUNK_S)
     return round_doubles(out.withColumn("language", F.nullif("language", F.lit(""))))
 
 
 #: The stream's clock stands a millisecond after the start of an utterance, and the watermark so far behind the newest.
-DELAY_MS, CELL_MS, WINDOW_S = 90_000, 60_000, 2.0
+DELAY_MS, CELL_MS = 90_000, 60_000
 S.SQL["v_clock"] = f"SELECT *, floor(start_time * 1000)::BIGINT + 1 ms, max(floor(start_time * 1000)::BIGINT + 1) OVER () - {DELAY_MS} mark FROM v_utt"
 S.SQL["v_seen"] = f"SELECT * FROM v_clock WHERE (ms // {CELL_MS} + 1) * {CELL_MS} <= mark"
 
 
 @query("coalesce_timeout", f"""
-WITH {coalesce_sql('v_seen')}, told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL AND ceil(h.e * 1000) + {int(WINDOW_S * 1000)} + 1 <= (SELECT max(mark) FROM v_clock))
+WITH {coalesce_sql('v_seen')}, told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m WHERE i = n AND h IS NOT NULL AND ceil(h.e * 1000) + {int(WINDOW_S * 1000)} + 1 <= (SELECT max(mark) FROM v_clock)
+ AND NOT EXISTS (SELECT 1 FROM v_clock c WHERE c.source_id = m.source_id AND (c.ms // {CELL_MS} + 1) * {CELL_MS} > c.mark AND c.ms // {CELL_MS} * {CELL_MS} <= ceil(h.e * 1000) + {int(WINDOW_S * 1000)}))
 SELECT source_id, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, round(w.c, 6) confidence, w.l AS language, w.k merged FROM told""")
 def coalesce_timeout(spark, sf):
     """The streaming coalescer over utterances that come up to a minute out of order: what is held leaves when the event clock passes its end and the window."""
@@ -137,7 +142,7 @@ UNION ALL SELECT source_id, false, CASE WHEN text = '' THEN 'engine_empty' ELSE
 def settled_events(spark, sf):
     """One row per logical utterance: emitted ones after merging, and drops with their reason."""
     u = S.utterances(spark, sf).withColumn("reason", F.when(F.col("text") == "", "engine_empty").when(F.col("confidence") < 0.2, "filter_reject"))
-    done = G.coalesce_utterances(u.filter("reason is null"), 2.0)
+    done = G.coalesce_utterances(u.filter("reason is null"), WINDOW_S)
     rows = lambda d, e, r: d.select("source_id", F.lit(e).alias("emitted"), r.alias("reason"), "start_time", "end_time")
     return round_doubles(rows(done, True, F.lit(None).cast("string")).union(rows(u.filter("reason is not null"), False, F.col("reason"))))
 
@@ -342,8 +347,8 @@ S.SQL["v_heard"] = "SELECT * FROM v_scored WHERE reason IS NULL"
 
 
 @query("caption_chain", f"""
-WITH {coalesce_sql('v_heard', 'u.tick < m.h.e + 2')}, ends AS (SELECT source_id, count(*) // {CHUNK} * {CHUNK} * 0.032::DOUBLE clock FROM v_frames GROUP BY ALL),
-told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m JOIN ends USING (source_id) WHERE i = n AND h IS NOT NULL AND clock >= h.e + 2),
+WITH {coalesce_sql('v_heard', 'u.tick < m.h.e + 1', 1)}, ends AS (SELECT source_id, count(*) // {CHUNK} * {CHUNK} * 0.032::DOUBLE clock FROM v_frames GROUP BY ALL),
+told AS (SELECT source_id, unnest(e) w FROM m UNION ALL SELECT source_id, h FROM m JOIN ends USING (source_id) WHERE i = n AND h IS NOT NULL AND clock >= h.e + 1),
 said AS (SELECT *, length(coalesce(array_to_string(list(w.t) OVER (PARTITION BY source_id ORDER BY w.s ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '')) before FROM told)
 SELECT source_id, 'result' kind, NULL::VARCHAR reason, w.t AS text, round(w.s, 6) start_time, round(w.e, 6) end_time, w.k merged, '[' || w.t || ']/' || before AS translated FROM said
 UNION ALL SELECT source_id, 'settled', NULL, NULL, round(w.s, 6), round(w.e, 6), w.k, NULL FROM said
@@ -357,7 +362,7 @@ def caption_chain(spark, sf):
     s = H.with_scorer(s, length_scorer, 31)
     reason = F.when(F.col("quiet"), "energy_gate").when(F.col("text") == "", "engine_empty").when(F.col("confidence") < SURE, "filter_reject")
     s = s.withColumns({"reason": reason, "language": F.when(F.col("source_id") % 2 == 0, "en")})
-    s = J.settled_stream(s, WINDOW_S)
+    s = J.settled_stream(s, 1.0)
     s = s.withColumns({"is_final": F.lit(True), "translated": H.translated(F.col("text"), F.col("context"), "en", "ja", bracket_translator)})
     path = scratch_path(spark, "chain")
     each = ["start_time", "end_time", "merged"]

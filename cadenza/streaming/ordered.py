@@ -80,7 +80,7 @@ class Timed(StatefulProcessor):
     """A fold over the rows of a key in event time, cell by cell as the watermark passes them, with a deadline for what the fold holds.
 
     ``clock`` names the event time, ``order`` the columns that order rows of a cell. ``due(state)`` is the time in
-    milliseconds from which ``expire(state, outputs)`` may end what is held, or None. Rows behind the watermark
+    milliseconds from which ``expire(state, outputs)`` may end what is held, or None; cells that begin before it come first. Rows behind the watermark
     are dropped by Spark, which counts them.
     """
 
@@ -118,10 +118,11 @@ class Timed(StatefulProcessor):
                 state = self.step(state, row, out)
             self.waiting.removeKey((c,))
         due = self.due(state)
-        if due is not None and due <= now:
-            state = self.expire(state, out)
-        elif due is not None:
+        if due is not None and due > now:
             self._wake(due)
+        # a cell that waits may hold rows from before the deadline; its own timer comes back to this state
+        elif due is not None and not any(c * self.cell_ms <= due for (c,) in self.waiting.keys()):
+            state = self.expire(state, out)
         self.folded.update(state)
         if out:
             yield pd.DataFrame([(*key, *o) for o in out], columns=self.out)

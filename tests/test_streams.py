@@ -176,6 +176,16 @@ def test_chain_of_two_folds_equals_chunks_in_turn(spark):
     assert {(r["source_id"], r["start_time"], r["end_time"], tuple(r["samples"])) for r in out} == spans
 
 
+def test_a_held_utterance_waits_for_the_cell_that_its_window_reaches(spark):
+    """The watermark passes the window of "ab" while "cd", which merges with it, still waits in the next cell."""
+    schema = "source_id long, turn long, text string, start_time double, end_time double, confidence double, language string, slice int"
+    rows = [(1, 0, "ab", 59.0, 59.5, 0.5, "en", 0), (1, 1, "cd", 60.5, 61.0, 0.5, "en", 0), (2, 0, "long enough.", 75.0, 76.0, 0.5, "en", 1), (2, 1, "and again.", 80.0, 81.0, 0.5, "en", 2), (2, 2, "the last.", 200.0, 201.0, 0.5, "en", 3), (2, 3, "the very last.", 201.0, 202.0, 0.5, "en", 4)]
+    d = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis((F.col("start_time") * 1000 + 1).cast("long")))
+    s = jobs.slices_of(spark, d, "border", F.col("slice"), 5).drop("slice").withWatermark("ts", "1 second")
+    got = [tuple(r) for r in jobs.run_available(jobs.coalesce_stream(s, 3.0, 60_000), "border-out").filter("source_id = 1").select("text", "end_time", "merged").collect()]
+    assert got == [("ab cd", 61.0, 2)]
+
+
 def test_results_without_text_confidence_or_language(spark):
     """Nulls have a defined result, and no rows give none."""
     schema = "source_id long, seq long, clock boolean, start_time double, end_time double, text string, confidence double, language string, reason string"
