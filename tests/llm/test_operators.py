@@ -472,6 +472,14 @@ def test_packing_round_trip(spark, sf, texts):
     assert used <= least * 1.02 + 1
 
 
+def test_packing_of_several_groups(spark, sf, docs, texts):
+    """Groups are packed apart: no sequence is shared, and each group leaves at most about one part-filled."""
+    got = rows(packing.pack(docs, Q.tokenizer_path(), 2048, group_rows=40))
+    used, least = check_packing(got, texts, 2048)
+    groups = -(-sum(r["length"] < 2048 for r in got) // 40)
+    assert groups > 2 and used <= least * 1.02 + groups
+
+
 def test_packing_odd_white_space(spark):
     texts = dict(enumerate(["a  b", " a", "a ", "x\n y", "x \ny", "x \n y", "x\n \ny", "x\n ", "\u3000 \u3000a", "a <|endoftext|> b", "a\0 b", "don't  they'll 12 é́ ..  !!", "", None, "w " * 3000, "\t \t", "a\u00a0 b"]))
     check_packing(rows(packing.pack(frame(spark, [(d, t, None) for d, t in texts.items()]), Q.tokenizer_path(), 64)), texts, 64)
