@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.segments import START, UTTERANCE, GateConfig, SpeechMachine, VadConfig, gate_step, push
 from cadenza.runtime import materialise, scratch_path
-from cadenza.streaming.ordered import Sequenced, Timed
+from cadenza.streaming.ordered import Sequenced, Timed, grouped
 
 SEGMENT = "source_id long, start_time double, end_time double, is_final boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,9 +25,14 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
-def in_sequence(rows: DataFrame, order: str, fields: dict[str, str], state: str, start: tuple, step, out: str, key: str = "source_id") -> DataFrame:
-    """The outputs (schema out, the key first) of a fold over each key's rows, numbered by order from 0."""
-    return rows.select(key, order, *fields).groupBy(key).transformWithStateInPandas(Sequenced(order, fields, state, start, step, _names(out)), out, "Append", "None")
+#: Neighbouring sources that share a group's state, where sources are many.
+TOGETHER = 32
+
+
+def in_sequence(rows: DataFrame, order: str, fields: list[str], start: tuple, step, out: str, key: str = "source_id", together: int = 1) -> DataFrame:
+    """The outputs (schema out, the key first) of a fold over each key's rows, numbered by order from 0; together: see ``ordered``."""
+    fold = Sequenced(key, order, fields, start, step, _names(out), together)
+    return grouped(rows.select(key, order, *fields), key, together).transformWithStateInPandas(fold, out, "Append", "None")
 
 
 def vad_stream(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool = False) -> DataFrame:
@@ -38,8 +43,7 @@ def vad_stream(frames: DataFrame, config: VadConfig = VadConfig(), interim: bool
         out += machine.step(row[1], row[0], interim)
         return machine.state
 
-    kept = "mode string, pre int, loud int, quiet int, start double, held int, told_at double, told int"
-    return in_sequence(frames, "frame_idx", {"ts_s": "double", "p": "double"}, kept, START, step, SEGMENT)
+    return in_sequence(frames, "frame_idx", ["ts_s", "p"], START, step, SEGMENT, together=TOGETHER)
 
 
 def speech_stream(frames: DataFrame, config: VadConfig = VadConfig(), chunk: int = 16) -> DataFrame:
@@ -64,9 +68,8 @@ def speech_stream(frames: DataFrame, config: VadConfig = VadConfig(), chunk: int
             seq += 1
         return (*machine.state, values, seq, n)
 
-    kept = "mode string, pre int, loud int, quiet int, start double, held int, told_at double, told int, samples array<double>, seq long, n long"
-    fields = {"ts_s": "double", "p": "double", "value": "double"}
-    return in_sequence(frames, "frame_idx", fields, kept, (*START, [], 0, 0), step, "source_id long, seq long, clock boolean, start_time double, end_time double, samples array<double>")
+    out_type = "source_id long, seq long, clock boolean, start_time double, end_time double, samples array<double>"
+    return in_sequence(frames, "frame_idx", ["ts_s", "p", "value"], (*START, [], 0, 0), step, out_type, together=TOGETHER)
 
 
 def settled_stream(results: DataFrame, window: float = 5.0, context: int = 2) -> DataFrame:
@@ -96,11 +99,10 @@ def settled_stream(results: DataFrame, window: float = 5.0, context: int = 2) ->
         return (*(held[c] for c in fields), before) if held else (*none, before)
 
     none = ("", 0.0, 0.0, 0.0, None, 0)
-    kinds = {"clock": "boolean", "start_time": "double", "end_time": "double", "text": "string", "confidence": "double", "language": "string", "reason": "string"}
-    kept = "text string, start_time double, end_time double, confidence double, language string, merged int, before array<string>"
+    kinds = ["clock", "start_time", "end_time", "text", "confidence", "language", "reason"]
     out = "source_id long, emitted boolean, reason string, text string, start_time double, end_time double, confidence double, merged int, context string"
     known = {"text": F.coalesce("text", F.lit("")), "confidence": F.coalesce("confidence", F.lit(inf)), "language": F.coalesce("language", F.lit("")), "reason": F.coalesce("reason", F.lit(""))}
-    return in_sequence(results.withColumns(known), "seq", kinds, kept, (*none, []), step, out)
+    return in_sequence(results.withColumns(known), "seq", kinds, (*none, []), step, out, together=TOGETHER)
 
 
 def gate_stream(series: DataFrame, config: GateConfig) -> DataFrame:
@@ -111,7 +113,7 @@ def gate_stream(series: DataFrame, config: GateConfig) -> DataFrame:
         out.append((state[3], row[0], new[1]))
         return (*new, state[3] + 1)
 
-    return in_sequence(series, "frame_idx", {"value": "double"}, "envelope double, open boolean, hold int, next long", (0.0, False, 0, 0), step, "source_id long, frame_idx long, value double, open boolean")
+    return in_sequence(series, "frame_idx", ["value"], (0.0, False, 0, 0), step, "source_id long, frame_idx long, value double, open boolean")
 
 
 def frame_stream(chunks: DataFrame, size: int) -> DataFrame:
@@ -123,7 +125,7 @@ def frame_stream(chunks: DataFrame, size: int) -> DataFrame:
         out += [(n + i, rest[i * size : (i + 1) * size]) for i in range(k)]
         return rest[k * size :], n + k
 
-    return in_sequence(chunks, "seq", {"samples": "array<double>"}, "rest array<double>, n long", ([], 0), step, "source_id long, frame_idx long, samples array<double>")
+    return in_sequence(chunks, "seq", ["samples"], ([], 0), step, "source_id long, frame_idx long, samples array<double>")
 
 
 def coalesce_stream(utterances: DataFrame, window: float = 5.0, cell_ms: int = 1000) -> DataFrame:
@@ -154,11 +156,11 @@ def coalesce_stream(utterances: DataFrame, window: float = 5.0, cell_ms: int = 1
         return none
 
     none = ("", 0.0, 0.0, 0.0, None, 0)
-    kinds = {"turn": "long", "text": "string", "start_time": "double", "end_time": "double", "confidence": "double", "language": "string"}
+    kinds = ["turn", *UTTERANCE]
     row = "text string, start_time double, end_time double, confidence double, language string, merged int"
-    timed = Timed("ts", ["start_time", "turn"], kinds, row, none, step, due, expire, ["source_id", *fields], cell_ms)
+    timed = Timed("source_id", "ts", ["start_time", "turn"], kinds, none, step, due, expire, ["source_id", *fields], cell_ms)
     u = utterances.withColumn("language", F.coalesce("language", F.lit(""))).select("source_id", "ts", *kinds)
-    return u.groupBy("source_id").transformWithStateInPandas(timed, f"source_id long, {row}", "Append", "EventTime")
+    return grouped(u, "source_id", TOGETHER).transformWithStateInPandas(timed, f"source_id long, {row}", "Append", "EventTime")
 
 
 @contextmanager

@@ -1,16 +1,19 @@
 """Streams whose rows come in no order, over many micro-batches, and the hooks' failures."""
 
+import pickle
 import random
 import time
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import hooks
 from cadenza.operators import segments as G
 from cadenza.runtime import scratch_path
-from cadenza.streaming import jobs
+from cadenza.streaming import jobs, ordered
 
 CONFIG = G.VadConfig(min_speech_ms=96, min_silence_ms=96, speech_pad_ms=160, max_speech_ms=960)
 
@@ -224,3 +227,53 @@ def test_coalescer_with_a_clock_equals_chunks_in_turn(spark, size):
     assert sorted(got) == sorted(want)
     plain = [tuple(r) for r in G.coalesce_utterances(d, window).select(cols).collect()]
     assert len(plain) < len(got)  # the clock ends some waits that the push rule alone would not
+
+
+class Store:
+    """State of one group as the processors see it, which counts calls and the rows of each cell."""
+
+    def __init__(self):
+        self.held, self.value, self.calls, self.most = {}, None, 0, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.count(self.value), update=lambda v: self.count(setattr(self, "value", v)))
+
+    def count(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValue(self, key):
+        return self.count(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self.most = max(self.most, len(pickle.loads(value[0])))
+        self.count(self.held.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self.count(self.held.pop(key))
+
+
+@pytest.mark.parametrize(("sources", "length", "room"), [(32, 66, 4096), (1, 500, 16), (3, 100, 24)])
+def test_a_micro_batch_costs_a_group_a_few_calls(monkeypatch, sources, length, room):
+    """Rows over 20 micro-batches in no order, some handed out twice: outputs in order, calls by cells and not by rows or sources, and no cell of more rows than there is room."""
+    monkeypatch.setattr(ordered, "ROOM", room)
+    fold = ordered.Sequenced("s", "i", ["x"], (0,), lambda state, row, out: out.append((state[0], row[0])) or (state[0] + 1,), ["s", "n", "x"], sources)
+    store, rng, got = Store(), random.Random(3), []
+    fold.init(store)
+    batches = [[] for _ in range(20)]
+    for s in range(sources):
+        for i in range(length):
+            for b in {rng.randrange(20), *([rng.randrange(20)] if i % 5 == 0 else [])}:
+                batches[b].append((s, i, s + i / 1000))
+    for rows in batches:
+        rng.shuffle(rows)
+        half = len(rows) // 2
+        for pdf in fold.handleInputRows((0,), iter([pd.DataFrame(r, columns=["s", "i", "x"]) for r in (rows[:half], rows[half:]) if r]), None):
+            got += pdf.itertuples(index=False, name=None)
+    for s in range(sources):
+        assert [(n, x) for k, n, x in got if k == s] == [(i, s + i / 1000) for i in range(length)]
+    cells = -(-length // (room // sources))
+    assert store.calls <= 20 * (2 + 3 * cells) and store.most <= room and not store.held
