@@ -529,3 +529,25 @@ def test_partitions_do_not_matter(spark, sf, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     test_partitions_do_not_matter.seen = getattr(test_partitions_do_not_matter, "seen", got)
     assert got == test_partitions_do_not_matter.seen
+
+
+def test_subtitle_files_are_read_whole(spark, tmp_path):
+    """Blank texts and blank lines within texts, in files of one source that hold two blocks each: the whole files are those of the SQL twin."""
+    import duckdb
+
+    from cadenza.plans import files
+    from cadenza.registry import ORACLES, QUERIES
+    from cadenza.sources import writers
+
+    said = [(c, t, "user", f"one  two\n\nthree {' '.join(f'w{c}{i}' for i in range(30))} end") for c in (1, 2, 7) for t in range(3)] + [(9, 0, "user", "")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    res = con.execute(ORACLES["sink_srt"])
+    names = [d[0] for d in res.description]
+    want = {r[names.index("source_id")]: r[names.index("srt")] for r in res.fetchall()}
+    got = {r["source_id"]: r["srt"] for r in QUERIES["sink_srt"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 4
+    writers.write_srt(files.subtitles(spark, str(tmp_path)), f"{tmp_path}/srt", most=2)
+    assert len(list((tmp_path / "srt" / "source_id=7").glob("*.txt"))) > 10
+    assert {r["source_id"]: r["srt"] for r in writers.read_srt_files(spark, f"{tmp_path}/srt").collect()} == want
