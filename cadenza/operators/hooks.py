@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterator
+from queue import Empty, SimpleQueue
 
 import numpy as np
 import pandas as pd
@@ -19,39 +20,59 @@ from pyspark.sql import types as T
 SECONDS, ABANDONED = 10.0, 8
 
 
+def _serve(inbox: SimpleQueue, outbox: SimpleQueue) -> None:
+    """Makes the calls that come in, until there is none."""
+    while (work := inbox.get()) is not None:
+        outbox.put(_result(*work))
+
+
+def _result(f: Callable, args: tuple) -> tuple[object, str | None]:
+    try:
+        return f(*args), None
+    except Exception as e:  # noqa: BLE001  a row's failure is a value, not the job's
+        return None, type(e).__name__
+
+
 class Deadline:
     """Calls a model in a thread of this worker and waits so many seconds for it; None waits as long as it takes.
 
-    A call that is late is left behind, since threads can't be ended; after ``ABANDONED`` of them that still run, further
-    calls fail with ``stalled`` at once, so a model that hangs costs a task a bounded time and number of threads.
+    One thread makes all calls, as a new one each would cost more than a short call. A call that is late is left behind with
+    its thread, since threads can't be ended, and the next call gets another; after ``ABANDONED`` of them that still run,
+    further calls fail with ``stalled`` at once, so a model that hangs costs a task a bounded time and number of threads.
     """
 
     def __init__(self, seconds: float | None):
-        self.seconds, self.late = seconds, []
+        self.seconds, self.late, self.at_work = seconds, [], None
 
     def __call__(self, f: Callable, *args) -> tuple[object, str | None]:
         """(result, None) or (None, error)."""
-        got: list[tuple[object, str | None]] = []
-
-        def run() -> None:
-            try:
-                got.append((f(*args), None))
-            except Exception as e:  # noqa: BLE001  a row's failure is a value, not the job's
-                got.append((None, type(e).__name__))
-
         if self.seconds is None:
-            run()
-            return got[0]
+            return _result(f, args)
         self.late = [t for t in self.late if t.is_alive()]
         if len(self.late) >= ABANDONED:
             return None, "stalled"
-        t = threading.Thread(target=run, daemon=True)
-        t.start()
-        t.join(self.seconds)
-        if t.is_alive():
-            self.late.append(t)
+        if self.at_work is None:
+            inbox, outbox = SimpleQueue(), SimpleQueue()
+            thread = threading.Thread(target=_serve, args=(inbox, outbox), daemon=True)
+            thread.start()
+            self.at_work = thread, inbox, outbox
+        thread, inbox, outbox = self.at_work
+        inbox.put((f, args))
+        try:
+            return outbox.get(timeout=self.seconds)
+        except Empty:
+            self._leave()
+            self.late.append(thread)
             return None, "timeout"
-        return got[0]
+
+    def _leave(self) -> None:
+        """The thread ends after the call that it makes."""
+        if self.at_work is not None:
+            self.at_work[1].put(None)
+            self.at_work = None
+
+    def __del__(self):
+        self._leave()
 
 
 def with_scorer(segments: DataFrame, opener: Callable[[], Callable[[np.ndarray, int], tuple[str, float]]], rate: int, samples: str = "samples", seconds: float | None = None) -> DataFrame:

@@ -296,8 +296,7 @@ BEFORE = "length(coalesce(array_to_string(list(text) OVER (PARTITION BY source_i
 @query("hook_translator", f"SELECT source_id, turn, CASE WHEN text <> '' AND NOT text LIKE '%x' AND NOT text LIKE 'zz%' THEN '[' || text || ']/' || {BEFORE} END AS translated, CASE WHEN text LIKE '%x' THEN 'ValueError' WHEN text LIKE 'zz%' THEN 'timeout' END AS error FROM v_utt")
 def hook_translator(spark, sf):
     """Translations with the two texts before, a deadline and an error for each row."""
-    u = S.utterances(spark, sf).select("source_id", "turn", "text")
-    u = u.join(context_of(u, 2), ["source_id", "turn"])
+    u = context_of(S.utterances(spark, sf), 2, own=True)
     t = H.translation(F.col("text"), F.col("context"), "en", "ja", bracket_translator, seconds=1.0)
     return u.withColumn("t", t).select("source_id", "turn", "t.translated", "t.error")
 

@@ -277,3 +277,20 @@ def test_a_micro_batch_costs_a_group_a_few_calls(monkeypatch, sources, length, r
         assert [(n, x) for k, n, x in got if k == s] == [(i, s + i / 1000) for i in range(length)]
     cells = -(-length // (room // sources))
     assert store.calls <= 20 * (2 + 3 * cells) and store.most <= room and not store.held
+
+
+def test_calls_in_time_share_a_thread():
+    """A new thread takes over from one that is late, and threads end with their deadline."""
+    import threading
+
+    call, seen = hooks.Deadline(0.2), set()
+    here = lambda *_: seen.add(threading.get_ident())
+    for _ in range(50):
+        assert call(here) == (None, None)
+    assert len(seen) == 1 and call(time.sleep, 1) == (None, "timeout") and call(lambda x: 1 / x, 0) == (None, "ZeroDivisionError")
+    call(here)
+    assert len(seen) == 2
+    threads = [call.at_work[0], *call.late]
+    del call
+    [t.join(3) for t in threads]
+    assert len(threads) == 2 and not any(t.is_alive() for t in threads)
