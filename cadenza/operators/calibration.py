@@ -162,6 +162,8 @@ def percentiles(rows: DataFrame, by: list[str], value: str, qs: list[float], acc
     sketch = x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", probes, accuracy).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     one = lambda i, q: F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), (F.get("b", F.lit(2 * i)) if q > spread else F.col("lo")).alias("from"), (F.get("b", F.lit(2 * i + 1)) if q < 1 - spread else F.col("hi")).alias("to"))
     bounds = sketch.select(*by, "n", F.explode(F.array(*(one(i, q) for i, q in enumerate(qs)))).alias("x")).select(*by, "n", "x.*").withColumn("__k", F.lit(1))
+    # stored and counted: Spark takes an aggregate for as large as its input, and would deal all values by their few groups
+    bounds = few(materialise(bounds, "bounds"))
     met = x.withColumn("__k", F.lit(1)).join(bounds, ["__k", *by])
     zone = F.when(F.col("v") < F.col("from"), -1).when(F.col("v") > F.col("to"), 1).otherwise(0)
     # below and above the bounds a group's rows are one count each, with the value next to the bound; between them one for every value

@@ -551,3 +551,17 @@ def test_subtitle_files_are_read_whole(spark, tmp_path):
     writers.write_srt(files.subtitles(spark, str(tmp_path)), f"{tmp_path}/srt", most=2)
     assert len(list((tmp_path / "srt" / "source_id=7").glob("*.txt"))) > 10
     assert {r["source_id"]: r["srt"] for r in writers.read_srt_files(spark, f"{tmp_path}/srt").collect()} == want
+
+
+def test_percentiles_deal_no_values_by_group(spark):
+    """The bounds of a few groups come to the values, whatever Spark takes an aggregate for; else a task would read a whole group."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        d = spark.range(1001).select((F.col("id") % 2).alias("of"), F.col("id").cast("double").alias("v"))
+        q = C.percentiles(d, ["of"], "v", [0.0, 0.5, 1.0])
+        assert "SortMergeJoin" not in q._jdf.queryExecution().executedPlan().toString()
+        assert {r["of"]: r["q"] for r in q.collect()} == {0: [0.0, 500.0, 1000.0], 1: [1.0, 500.0, 999.0]}
+    finally:
+        spark.conf.set(name, old)
