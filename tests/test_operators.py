@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +167,39 @@ def test_edit_distance(a, b):
     assert X.edit_distance(a, b) == brute_edits(a, b) and X.edit_distance(a.split(), b.split()) == brute_edits(a.split(), b.split())
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij é砂😀", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+@pytest.mark.parametrize("fewest", [1, 16])
+def test_edits_of_many_pairs(monkeypatch, letters, fewest):
+    """Lengths about the borders of a batch's words, beyond the longest that goes as one, empty and null; by characters and by elements."""
+    monkeypatch.setattr(X, "LEAST_PAIRS", fewest)
+    rng = np.random.default_rng(5)
+    some = lambda n: [letters[x] for x in rng.integers(0, len(letters), n)]
+    rows = [(None, []), (some(3), None), (None, None), ([], []), *[(x, x) for x in map(some, (5, 70))]]
+    for n in np.repeat([0, 1, 5, 62, 63, 64, 125, 126, 127, 200, 400, 1100], 24):
+        r = some(n)
+        kept = [x for x in r if rng.random() > 0.1]
+        rows.append((r, some(rng.integers(0, 90)) if rng.random() < 0.2 else [y for x in kept for y in [x] * (1 + (rng.random() < 0.1))]))
+    want = [None if r is None or h is None else X.edit_distance(r, h) for r, h in rows]
+    text, words = ([pa.array([x if x is None else kind(x) for x in side], t) for side in zip(*rows, strict=True)] for kind, t in (("".join, pa.string()), (list, pa.list_(pa.string()))))
+    for ref, hyp in (text, words):
+        assert X.edits.func(ref, hyp).to_pylist() == want
+        assert X.edits.func(ref.slice(5, 90), hyp.slice(5, 90)).to_pylist() == want[5:95]
+        assert X.edits.func(ref.slice(0, 0), hyp.slice(0, 0)).to_pylist() == []
+
+
+def test_utterances_go_in_batches(monkeypatch):
+    """Pairs of utterances of 60 words are compared together, not each by steps of its own."""
+    rng = np.random.default_rng(6)
+    words = [[f"w{x}" for x in rng.integers(0, 500, 60)] for _ in range(400)]
+    refs, hyps = words, [[x for i, x in enumerate(w, 1) if i % 7] for w in words]
+    want = [[X.edit_distance(" ".join(r), " ".join(h)) for r, h in zip(refs, hyps, strict=True)], [X.edit_distance(r, h) for r, h in zip(refs, hyps, strict=True)]]
+    alone, one_by_one = [], X.edit_distance
+    monkeypatch.setattr(X, "edit_distance", lambda a, b: alone.append(a) or one_by_one(a, b))
+    texts = X.edits.func(*(pa.array([" ".join(w) for w in side]) for side in (refs, hyps)))
+    assert [texts.to_pylist(), X.edits.func(pa.array(refs), pa.array(hyps)).to_pylist()] == want
+    assert len(alone) < 40
+
+
 def test_rates_of_whole_long_texts(spark):
     """More distinct words than there are characters to name them by, and edits beyond any head of the text."""
     ref = [f"w{i}" for i in range(70_000)]
